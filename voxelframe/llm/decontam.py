@@ -26,6 +26,11 @@ def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return w.groupBy("len", "words").agg(F.collect_set("item_id").alias("items"))
 
 
+def starts(k: int) -> Column:
+    """Hashes of the windows of k words, from the word hashes _h; one entry at least."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("_n") - k)), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, k)))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per distinct (doc_id, text): copies, n_words, positions hit (sorted), items.
 
@@ -40,7 +45,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     d = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), tokens(F.col("text")).alias("_t"))
     d = d.withColumns({"_n": F.size("_t"), "_h": F.transform("_t", lambda w: F.xxhash64(w))})
     # Position 0 is always present, so that documents too short for a window stay.
-    at = [F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("_n") - k)), lambda i, k=k: F.xxhash64(F.slice(F.col("_h"), i + 1, k))) for k in lengths]
+    at = [starts(k) for k in lengths]
     out = None
     for k, hashes in zip(lengths, at, strict=True):
         e = d.select("doc_id", "_text", "_n", "_t", F.posexplode(hashes).alias("_p", "_hash"))
