@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import BYTES_LOWER, WordHash, mix64, shingles, stored
 
-#: Coordinates of a sketch (a power of two) and rows of a band: at similarity 0.8 a pair shares no band with probability 5e-8.
-T, ROWS = 128, 4
-BANDS = T // ROWS
+#: Coordinates of a sketch (a power of two), bands and rows of a band (of the first coordinates): at similarity 0.8 a pair shares no band with probability 5e-8.
+T, BANDS, ROWS = 256, 32, 4
+BIN_BITS, ROUND_BITS = 8, 9
 #: A pair of one band is dropped unread if fewer coordinates agree; at similarity 0.8 that is 4.5 standard deviations off.
-LEAST_AGREE = 82
+LEAST_AGREE = 176
 _EMPTY = np.uint64(2**64 - 1)
-_VALUE = np.uint64((1 << 48) - 1)
+_VALUE_BITS = 64 - BIN_BITS - ROUND_BITS
+_VALUE = np.uint64((1 << _VALUE_BITS) - 1)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
@@ -39,12 +40,12 @@ def sketch(a: np.ndarray) -> np.ndarray:
     while r < 2 * T and (out == _EMPTY).any():
         rounds = np.arange(r, min(2 * T, r + step), dtype=np.uint64)[:, None]
         h = mix64(a[None, :] ^ _SEEDS[r : r + step, None])
-        bins = np.where(rounds < T, h >> np.uint64(57), rounds - np.uint64(T) * (rounds >= T))
-        packed = ((bins << np.uint64(57)) | (rounds << np.uint64(48)) | (h & _VALUE)).ravel()
+        bins = np.where(rounds < T, h >> np.uint64(64 - BIN_BITS), rounds - np.uint64(T) * (rounds >= T))
+        packed = ((bins << np.uint64(64 - BIN_BITS)) | (rounds << np.uint64(_VALUE_BITS)) | (h & _VALUE)).ravel()
         packed.sort()
-        b = (packed >> np.uint64(57)).astype(np.int64)
+        b = (packed >> np.uint64(64 - BIN_BITS)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        out[b[first]] = np.minimum(out[b[first]], packed[first] & np.uint64((1 << 57) - 1))
+        out[b[first]] = np.minimum(out[b[first]], packed[first] & np.uint64((1 << (64 - BIN_BITS)) - 1))
         r += step
     return out
 
@@ -52,7 +53,7 @@ def sketch(a: np.ndarray) -> np.ndarray:
 def bands(s: np.ndarray) -> np.ndarray:
     """One 64-bit key a band; the band's number is part of it."""
     out = _BAND.copy()
-    for col in s.reshape(BANDS, ROWS).T:
+    for col in s[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + col)
     return out
 
@@ -136,7 +137,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     rep = stored(named.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
     one = rep.groupBy("node").agg(F.min("fp").alias("fp"))
     members = named.selectExpr("fp", "cast(doc_id as long) node", "n_shingles n", "bands", "small").join(one, ["fp", "node"])
-    keyed = members.select("node", "n", F.explode("bands").alias("band"))
+    keyed = members.select("node", "n", F.posexplode("bands").alias("which", "band"))
     ends = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo < hi")
     ends = stored(ends.select("band", "lo", "hi"))
     shared = stored(keyed.join(ends, "band"))
@@ -151,15 +152,17 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     edges = linked(star, sets, percent)
     label = components(edges)
     # Bands whose members are not all of one component yet.
-    at = shared.select("band", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = shared.select("band", "which", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     most = at.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
     most = most.agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "top")
-    open_ = at.join(most, "band").distinct().join(members.select("node", "small").dropDuplicates(["node"]), "node")
+    open_ = at.join(most, "band").distinct().join(members.select("node", "small", "bands").dropDuplicates(["node"]), "node")
     open_ = stored(open_)
-    left = open_.where("component <> top").selectExpr("band", "node x", "n nx", "component cx", "small sx", "top")
-    right = open_.selectExpr("band", "node y", "n ny", "component cy", "small sy")
+    left = open_.where("component <> top").selectExpr("band", "node x", "n nx", "component cx", "small sx", "bands bx", "top", "which")
+    right = open_.selectExpr("band", "node y", "n ny", "component cy", "small sy", "bands by_")
+    # A pair meets in the first band that it shares, and only there.
+    first = F.expr("array_position(zip_with(bx, by_, (p, q) -> p = q), true) = which + 1")
     agree = F.expr(f"aggregate(zip_with(sx, sy, (p, q) -> int(p = q)), 0, (s, v) -> s + v) >= {LEAST_AGREE}")
-    on = (F.expr(f"cx <> cy and (cy = top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")) & agree
+    on = (F.expr(f"cx <> cy and (cy = top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")) & first & agree
     rest = left.join(right, "band").where(on).selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
     more = linked(rest, sets, percent)
