@@ -95,8 +95,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordHash()
     for batch in batches:
         ids, keys = [], []
-        for doc, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            k = np.unique(anchors(memo.all(text.split()))) if text and doc is not None else ()
+        for doc, text, copy in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            k = np.unique(anchors(memo.all(text.split()))) if text and doc is not None and not copy else ()
             if len(k):
                 ids.append(np.full(len(k), doc, np.int64)), keys.append(k)
         if not ids:
@@ -148,9 +148,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordHash()
     for batch in batches:
         parts = []
-        for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for doc, text, copy, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             words = text.split() if text else []
-            if len(words) < WINDOW or doc is None:
+            if len(words) < WINDOW or doc is None or copy:
                 continue
             h = memo.all(words)
             s = np.flatnonzero(np.isin(anchors(h).view(np.int64), keys.values.to_numpy()))
@@ -239,14 +239,14 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     several = least.groupBy("doc").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("doc")
     copies = copies.join(several, "doc", "left_anti")
     out_of = copies.select(F.col("doc").alias("k"), "copy")
-    own = base.join(out_of, "k", "left_anti")
+    own = base.join(out_of, "k", "left")
     keys = own.mapInArrow(_keys, "key long, doc long, known boolean")
     dealt = keys.repartition(F.when(F.col("known"), F.xxhash64("doc", "key")).otherwise(F.col("key"))).sortWithinPartitions("known", "key", "doc")
     shared = dealt.mapInArrow(_shared, "doc long, key long").groupBy(F.col("doc").alias("k")).agg(F.collect_set("key").alias("keys"))
-    cand = own.join(shared, "k").select("doc", "t", "keys")
+    cand = own.join(shared, "k").select("doc", "t", "copy", "keys")
     wins = cand.mapInArrow(_windows, "a long, b int, doc long, at long, known boolean")
     dealt = wins.repartition(F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("a"))).sortWithinPartitions("known", "a", "b", "doc")
     gone = dealt.mapInArrow(_repeats, "doc long, at long").groupBy(F.col("doc").alias("k")).agg(F.collect_set("at").alias("ats"))
-    full = base.join(gone, "k", "left").join(out_of, "k", "left").select(F.col("doc").alias("doc_id"), "t", "ats", "copy")
+    full = own.join(gone, "k", "left").select(F.col("doc").alias("doc_id"), "t", "ats", "copy")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return full.mapInArrow(_kept, schema + ", kept_text binary") if texts else full.mapInArrow(_without_text, schema)
