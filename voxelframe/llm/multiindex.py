@@ -52,8 +52,11 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int, codes: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codebooks of the two halves of unit vectors, from the `sample` vectors of least hash, and these."""
-    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sample).select("v").toPandas()
+    """Codebooks of the two halves of unit vectors, from about `sample` vectors of least hash, and these."""
+    n = vectors.count()
+    share = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(1, n)))
+    some = vectors if n <= sample else vectors.where(share).limit(2 * sample)
+    rows = some.select("v").toPandas()
     x = normed(np.array(rows["v"].tolist()))
     h = x.shape[1] // 2
     return codebook(x[:, :h], codes, seed), codebook(x[:, h:], codes, seed + 1), x
