@@ -17,35 +17,37 @@ from .shared import BYTES_LOWER, WordHash, mix64, shingles, stored
 
 #: Coordinates of a sketch (a power of two), bands and rows of a band (of the first coordinates): at similarity 0.8 a pair shares no band with probability 5e-8.
 T, BANDS, ROWS = 256, 32, 4
-BIN_BITS, ROUND_BITS = 8, 9
-#: A pair of one band is dropped unread if fewer coordinates agree; at similarity 0.8 that is 4.5 standard deviations off.
-LEAST_AGREE = 176
+#: Coordinates of the wide sketch that residual pairs are compared on, one bit of each.
+WIDE = 4096
+#: A residual pair is dropped unread if fewer bits agree; at similarity 0.8 (nine bits in ten agree) that is 4.5 standard deviations off.
+LEAST_AGREE = 3600
 _EMPTY = np.uint64(2**64 - 1)
-_VALUE_BITS = 64 - BIN_BITS - ROUND_BITS
-_VALUE = np.uint64((1 << _VALUE_BITS) - 1)
-_SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix64(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def sketch(a: np.ndarray) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set of 64-bit fingerprints: T coordinates.
+def sketch(a: np.ndarray, t: int = T) -> np.ndarray:
+    """Fast similarity sketch of a non-empty set of 64-bit fingerprints: t coordinates (a power of two).
 
-    Round r < T puts each element by hash into one bin; rounds T..2T-1 put all of
-    them into bin r - T, so every coordinate is filled. A coordinate keeps the
+    Round r < t puts each element by hash into one bin; rounds t..2t-1 put all of
+    them into bin r - t, so every coordinate is filled. A coordinate keeps the
     least (round, value). Rounds stop when all are filled; later ones change
     nothing, so several may be run at once.
     """
-    out = np.full(T, _EMPTY)
-    step, r = max(1, min(2 * T, ceil(1.3 * T * log(T) / len(a)))), 0
-    while r < 2 * T and (out == _EMPTY).any():
-        rounds = np.arange(r, min(2 * T, r + step), dtype=np.uint64)[:, None]
-        h = mix64(a[None, :] ^ _SEEDS[r : r + step, None])
-        bins = np.where(rounds < T, h >> np.uint64(64 - BIN_BITS), rounds - np.uint64(T) * (rounds >= T))
-        packed = ((bins << np.uint64(64 - BIN_BITS)) | (rounds << np.uint64(_VALUE_BITS)) | (h & _VALUE)).ravel()
+    bits = t.bit_length() - 1
+    low, shift = np.uint64(64 - bits), np.uint64(64 - 2 * bits - 1)
+    value, rest = (np.uint64(1) << shift) - np.uint64(1), (np.uint64(1) << low) - np.uint64(1)
+    out = np.full(t, _EMPTY)
+    step, r = max(1, min(2 * t, ceil(1.3 * t * log(t) / len(a)))), 0
+    while r < 2 * t and (out == _EMPTY).any():
+        rounds = np.arange(r, min(2 * t, r + step), dtype=np.uint64)[:, None]
+        h = mix64(a[None, :] ^ _SEEDS[r : min(2 * t, r + step), None])
+        bins = np.where(rounds < t, h >> low, rounds - np.uint64(t) * (rounds >= t))
+        packed = ((bins << low) | (rounds << shift) | (h & value)).ravel()
         packed.sort()
-        b = (packed >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+        b = (packed >> low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        out[b[first]] = np.minimum(out[b[first]], packed[first] & np.uint64((1 << (64 - BIN_BITS)) - 1))
+        out[b[first]] = np.minimum(out[b[first]], packed[first] & rest)
         r += step
     return out
 
@@ -66,20 +68,18 @@ def _sketches(k: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         for batch in batches:
-            n, fp, keys, small = [], [], [], []
+            n, fp, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 s = text_shingles(text, k, memo)
                 n.append(len(s))
                 if len(s):
-                    x = sketch(s)
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(bands(x).view(np.int64))
-                    small.append(mix64(x).astype(np.uint16).view(np.int16))
+                    keys.append(bands(sketch(s)).view(np.int64))
                 else:
-                    fp.append(None), keys.append(None), small.append(None)
+                    fp.append(None), keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int16()))],
-                names=["doc_id", "n_shingles", "fp", "bands", "small"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "fp", "bands"],
             )
 
     return run
@@ -97,6 +97,13 @@ def _sets(k: int):
     return run
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wide sketches of stored sets, one bit a coordinate, packed into longs."""
+    for batch in batches:
+        x = [np.packbits((mix64(sketch(np.frombuffer(s, np.uint64), WIDE)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for s in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int64()))], names=["node", "wide"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,7 +131,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     doc_id, so copies are never paired. Class names meet per band: all are paired
     with the band's smallest and largest member and verified on full sets. What a
     band's largest component leaves over is then paired with the band's members of
-    other components, if enough sketch coordinates agree, and verified too; so no
+    other components, if enough bits of wide sketches agree, and verified too; so no
     link is lost and no band is expanded into all pairs. Components are named by
     their smallest doc_id. Null or blank texts are empty sets and linked with
     nothing. A null doc_id is linked with nothing and kept. If a doc_id has several
@@ -132,11 +139,11 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     text = F.col("text").cast("binary")
-    rows = stored(docs.select("doc_id", text.alias("t")).mapInArrow(_sketches(k, None), f"doc_id {kind}, n_shingles long, fp binary, bands array<long>, small array<short>"))
+    rows = stored(docs.select("doc_id", text.alias("t")).mapInArrow(_sketches(k, None), f"doc_id {kind}, n_shingles long, fp binary, bands array<long>"))
     named = rows.where("fp is not null and doc_id is not null")
     rep = stored(named.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
     one = rep.groupBy("node").agg(F.min("fp").alias("fp"))
-    members = named.selectExpr("fp", "cast(doc_id as long) node", "n_shingles n", "bands", "small").join(one, ["fp", "node"])
+    members = named.selectExpr("fp", "cast(doc_id as long) node", "n_shingles n", "bands").join(one, ["fp", "node"])
     keyed = members.select("node", "n", F.posexplode("bands").alias("which", "band"))
     ends = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo < hi")
     ends = stored(ends.select("band", "lo", "hi"))
@@ -155,13 +162,15 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     at = shared.select("band", "which", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     most = at.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
     most = most.agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "top")
-    open_ = at.join(most, "band").distinct().join(members.select("node", "small", "bands").dropDuplicates(["node"]), "node")
+    open_ = stored(at.join(most, "band").distinct())
+    wide = sets.join(open_.select("node"), "node", "left_semi").select("node", "set").mapInArrow(_wide, "node long, wide array<long>")
+    open_ = open_.join(stored(wide), "node").join(members.select("node", "bands").dropDuplicates(["node"]), "node")
     open_ = stored(open_)
-    left = open_.where("component <> top").selectExpr("band", "node x", "n nx", "component cx", "small sx", "bands bx", "top", "which")
-    right = open_.selectExpr("band", "node y", "n ny", "component cy", "small sy", "bands by_")
+    left = open_.where("component <> top").selectExpr("band", "node x", "n nx", "component cx", "wide wx", "bands bx", "top", "which")
+    right = open_.selectExpr("band", "node y", "n ny", "component cy", "wide wy", "bands by_")
     # A pair meets in the first band that it shares, and only there.
     first = F.expr("array_position(zip_with(bx, by_, (p, q) -> p = q), true) = which + 1")
-    agree = F.expr(f"aggregate(zip_with(sx, sy, (p, q) -> int(p = q)), 0, (s, v) -> s + v) >= {LEAST_AGREE}")
+    agree = F.expr(f"aggregate(zip_with(wx, wy, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {WIDE - LEAST_AGREE}")
     on = (F.expr(f"cx <> cy and (cy = top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")) & first & agree
     rest = left.join(right, "band").where(on).selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
