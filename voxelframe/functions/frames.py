@@ -49,8 +49,8 @@ def register(x: Column, y: Column, z: Column) -> list[Column]:
 
 
 def nearest(c: Column, n: int) -> Column:
-    """Half-even rounding, clipped to 0..n-1."""
-    return F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(float(n - 1))).cast("long")
+    """Half-even rounding, clipped to 0..n-1; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(float(n - 1)))).cast("long")
 
 
 def contrast(v: Column) -> Column:

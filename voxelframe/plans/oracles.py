@@ -6,7 +6,7 @@ import math
 
 from ..functions import frames
 from ..operators.stencil import DIFF, SMOOTH
-from .queries import MATRIX, PLANES
+from .queries import CHUNK, MATRIX, PLANES
 from .views import sql
 
 COUNTS = "count(*) FILTER (pred>127) positives, count(*) FILTER (pred>127 AND ct<=0) phantom"
@@ -128,6 +128,9 @@ def oracle_sql() -> dict[str, str]:
         "discover_pairs": "WITH l AS (SELECT regexp_extract(url,'([a-z]+\\.[a-z]+)/',1) sample, url, page_id FROM pages), p AS (SELECT sample, arg_min(url,page_id) preds FROM l WHERE starts_with(url,'https://') GROUP BY 1), c AS (SELECT sample, arg_min(url,page_id) ct FROM l WHERE starts_with(url,'http://') GROUP BY 1) SELECT sample, preds, ct, CASE WHEN regexp_extract(preds,'page=(\\d)',1)='' THEN '2' ELSE regexp_extract(preds,'page=(\\d)',1) END AS level FROM p JOIN c USING (sample)",
         "prefix_listing": "SELECT page_id, count(*) n, min(x) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html,'<p>([^<]+)</p>',1)) x FROM pages) GROUP BY 1",
         "resume_jobs": "SELECT c_custkey job FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F')",
+        "chunk_survey": sql(planes.format(w=""), "vox"),
+        "chunk_support": sql(f"SELECT z//{CHUNK[0]} cz, y//{CHUNK[1]} cy, x//{CHUNK[2]} cx, count(*) FILTER (pred>127) positives, round(1-(count(*) FILTER (pred>127 AND ct<=0))/(count(*) FILTER (pred>127)),6) support FROM vox GROUP BY 1,2,3 HAVING count(*) FILTER (pred>127)>0", "vox"),
+        "chunk_clean": sql("SELECT z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0", "vox"),
         "batch_status": "SELECT o_orderstatus, count(*) jobs FROM orders GROUP BY 1",
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
         "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 BETWEEN 1 AND 29 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",

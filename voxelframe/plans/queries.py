@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import frames
-from ..operators import calibrate, catalog, energy, sampling, snap, stencil, support, winding
+from ..operators import calibrate, catalog, chunks, energy, sampling, snap, stencil, support, winding
 from . import views as V
 
 QUERIES: dict[str, Callable] = {}
 PLANES = (3, 7, 3, 50)
+#: A chunk grid that leaves partial blocks at the far edges of 64^3.
+CHUNK = (16, 24, 24)
 #: A fixed 3 x 4 test matrix.
 MATRIX = [[0.9, 0.1, 0.0, 5.0], [-0.1, 0.95, 0.05, -3.0], [0.0, 0.02, 1.1, 7.0]]
 
@@ -355,5 +357,25 @@ def surface_stride(s, d):
     return p.where((F.col("v") >= 1) & (F.col("v") < 30) & ((F.col("v") - 1) % 4 == 0) & (F.col("u") % 5 == 0))
 
 
+def _chunked(s, d):
+    v = V.vox(s, d)
+    return [chunks.pack(v, c, CHUNK, (64, 64, 64)) for c in ("pred", "ct")]
+
+
+@query
+def chunk_survey(s, d):
+    return rounded(chunks.planes(*_chunked(s, d)), "phantom_frac")
+
+
+@query
+def chunk_support(s, d):
+    return rounded(chunks.cubes(*_chunked(s, d)), "support")
+
+
+@query
+def chunk_clean(s, d):
+    return chunks.unpack(chunks.clean(*_chunked(s, d)))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
