@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from voxelframe.operators import chunks
 from voxelframe.sources import zarr
@@ -67,6 +68,36 @@ def test_stored_arrays_against_numpy(spark, volumes, pair):
     assert cubes[2, 1, 2] == (pos[block].sum(), 1 - phantom[block].sum() / pos[block].sum())
 
 
+def dense(c, shape):
+    out = np.zeros(shape, np.uint8)
+    for r in chunks.unpack(c).collect():
+        out[r.z, r.y, r.x] = r.value
+    return out
+
+
+@pytest.mark.parametrize("size", [(1, 9, 14), (3, 4, 6), (16, 16, 16), SIZE])
+def test_rechunk(spark, volumes, pair, size):
+    p = zarr.read(spark, pair[0])
+    got = chunks.rechunk(p, size, SHAPE)
+    assert (dense(got, SHAPE) == volumes[0]).all()
+    assert all(list(r["shape"]) == [min(c, n - s) for c, n, s in zip(size, SHAPE, (r.z0, r.y0, r.x0))] for r in got.collect())
+    cut = chunks.rechunk(p, size, (5, 9, 10), first=3)
+    assert (dense(cut, (5, 9, 10)) == volumes[0][3:8, :, :10]).all()
+    assert chunks.rechunk(p.where("false"), size, SHAPE).count() == 0
+    twice = chunks.rechunk(p.union(p).withColumn("at", F.lit(1)), size, SHAPE)
+    assert (dense(twice, SHAPE) == volumes[0]).all()
+
+
+def test_pair_on_unequal_grids(spark, volumes, tmp_path):
+    preds, ct = volumes
+    store(tmp_path / "p" / "0", preds, SIZE, "/", None)
+    store(tmp_path / "c" / "2", ct, (3, 9, 6), "/", "zlib")
+    roots = f"file://{tmp_path}/p", f"file://{tmp_path}/c"
+    for window, planes in (({}, range(10)), ({"z0": 5, "z1": 7}, range(4, 8))):
+        got = {r.z: r.phantom for r in chunks.planes(*zarr.open_pair(spark, *roots, **window)).collect()}
+        assert got == {z: ((preds[z] > 127) & (ct[z] == 0)).sum() for z in planes}
+
+
 def test_window_reads_only_its_slabs(spark, pair):
     assert {r.cz for r in zarr.read(spark, pair[0], z0=4, z1=8).collect()} == {1}
     assert {r.cz for r in zarr.read(spark, pair[0], z0=7, z1=99).collect()} == {1, 2}

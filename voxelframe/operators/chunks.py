@@ -8,6 +8,7 @@ the blocks. A missing chunk, or null data, counts as zeros. Columns beside these
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,47 @@ def unpack(chunks: DataFrame) -> DataFrame:
     return chunks.select(*PLACE, "data").mapInArrow(run, "z long, y long, x long, value long")
 
 
+def rechunk(chunks: DataFrame, size: tuple[int, int, int], extent: tuple[int, int, int], first: int = 0) -> DataFrame:
+    """Chunks of another grid: planes from `first` on become z = 0, 1, ..., and what lies outside the extent goes.
+
+    Only pieces that are not all 0 are shuffled, by the new block's key; the pieces of
+    one block hold no more than the block, unless chunks overlap, where the largest
+    value stays. Blocks of zeros have no row; an empty table gives none.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z0, y0, x0, shp, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block, at, rows = _block(data, shp), (z0 - first, y0, x0), []
+                spans = [(max(a, 0), min(a + n, e)) for a, n, e in zip(at, shp, extent, strict=True)]
+                for key in product(*[range(lo // c, -(-hi // c)) for (lo, hi), c in zip(spans, size, strict=True)]):
+                    lo = [max(s[0], k * c) for s, k, c in zip(spans, key, size, strict=True)]
+                    hi = [min(s[1], (k + 1) * c) for s, k, c in zip(spans, key, size, strict=True)]
+                    piece = block[tuple(slice(p - a, q - a) for p, q, a in zip(lo, hi, at, strict=True))]
+                    if piece.any():
+                        rows.append([*key, [p - k * c for p, k, c in zip(lo, key, size, strict=True)], list(piece.shape), piece.tobytes()])
+                types = [*[pa.int32()] * 3, *[pa.list_(pa.int32())] * 2, pa.binary()]
+                cols = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[*KEY, "at", "dims", "part"])
+
+    def paste(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for shp, pieces in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
+                block = np.zeros(shp, np.uint8)
+                for p in pieces:
+                    into = block[tuple(slice(a, a + n) for a, n in zip(p["at"], p["dims"], strict=True))]
+                    np.maximum(into, _block(p["part"], p["dims"]), out=into)
+                out.append(block.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(out, pa.binary())], names=[*KEY, *PLACE, "data"])
+
+    parts = chunks.select(*PLACE, "data").where("data is not null").mapInArrow(cut, "cz int, cy int, cx int, at array<int>, dims array<int>, part binary")
+    g = parts.groupBy(*KEY).agg(F.collect_list(F.struct("at", "dims", "part")).alias("pieces"))
+    start = [(F.col(k) * n).alias(p) for k, p, n in zip(KEY, PLACE[:3], size, strict=True)]
+    shape = F.array(*[F.least(F.lit(n), F.lit(e) - F.col(k) * n) for k, n, e in zip(KEY, size, extent, strict=True)])
+    return g.select(*KEY, *start, shape.alias("shape"), "pieces").mapInArrow(paste, SCHEMA)
+
+
 def mask(chunks: DataFrame, above: int) -> DataFrame:
     """One bit a voxel: value > above. Null where no voxel is."""
 

@@ -131,6 +131,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_survey": sql(planes.format(w=""), "vox"),
         "chunk_support": sql(f"SELECT z//{CHUNK[0]} cz, y//{CHUNK[1]} cy, x//{CHUNK[2]} cx, count(*) FILTER (pred>127) positives, round(1-(count(*) FILTER (pred>127 AND ct<=0))/(count(*) FILTER (pred>127)),6) support FROM vox GROUP BY 1,2,3 HAVING count(*) FILTER (pred>127)>0", "vox"),
         "chunk_clean": sql("SELECT z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0", "vox"),
+        "chunk_rechunk": sql(planes.format(w=""), "vox"),
+        "chunk_clean_window": sql("SELECT z-5 z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0 AND z>=5 AND z<40", "vox"),
         "batch_status": "SELECT o_orderstatus, count(*) jobs FROM orders GROUP BY 1",
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
         "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 BETWEEN 1 AND 29 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",

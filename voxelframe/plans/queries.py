@@ -377,5 +377,19 @@ def chunk_clean(s, d):
     return chunks.unpack(chunks.clean(*_chunked(s, d)))
 
 
+@query
+def chunk_rechunk(s, d):
+    """The scan comes in other chunks and is brought to the prediction's."""
+    v = V.vox(s, d)
+    ct = chunks.rechunk(chunks.pack(v, "ct", (24, 10, 64), (64, 64, 64)), CHUNK, (64, 64, 64))
+    return rounded(chunks.planes(chunks.pack(v, "pred", CHUNK, (64, 64, 64)), ct), "phantom_frac")
+
+
+@query
+def chunk_clean_window(s, d):
+    """Planes 5 to 39 cleaned, counted from 0."""
+    return chunks.unpack(chunks.rechunk(chunks.clean(*_chunked(s, d)), (8, 32, 32), (35, 64, 64), first=5))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)

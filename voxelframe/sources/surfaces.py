@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,64 @@ def image_rows(spark: SparkSession, path: str, width: int, header: int = 368, y0
     return files.mapInArrow(run, "z long, y long, values array<int>")
 
 
+#: Fixed values of image files: the types' letters, tags of width, height, bits, compression, strips, samples, tile width and sample format.
+_TIFF_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIPS, _SAMPLES, _STRIP_BYTES, _TILE, _FORMAT = 256, 257, 258, 259, 273, 277, 279, 322, 339
+
+
+def float_image(content: bytes) -> np.ndarray:
+    """The first image of an uncompressed file of strips with one 32- or 64-bit float a pixel; others raise ValueError."""
+    end = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if end is None or struct.unpack_from(end + "H", content, 2)[0] != 42:
+        raise ValueError("not an image file of the classic layout")
+    (at,) = struct.unpack_from(end + "I", content, 4)
+    (n,) = struct.unpack_from(end + "H", content, at)
+    tags = {}
+    for i in range(n):
+        place = at + 2 + 12 * i
+        tag, kind, count = struct.unpack_from(end + "HHI", content, place)
+        if letter := _TIFF_TYPES.get(kind):
+            size = count * struct.calcsize(end + letter)
+            tags[tag] = struct.unpack_from(f"{end}{count}{letter}", content, place + 8 if size <= 4 else struct.unpack_from(end + "I", content, place + 8)[0])
+    one = {k: tags.get(k, (d,))[0] for k, d in ((_BITS, 1), (_COMPRESSION, 1), (_SAMPLES, 1), (_FORMAT, 1))}
+    if one[_COMPRESSION] != 1 or one[_SAMPLES] != 1 or one[_FORMAT] != 3 or one[_BITS] not in (32, 64) or _TILE in tags:
+        raise ValueError(f"image layout not supported: {one}")
+    raw = b"".join(content[o : o + k] for o, k in zip(tags[_STRIPS], tags[_STRIP_BYTES], strict=True))
+    h, w = tags[_HEIGHT][0], tags[_WIDTH][0]
+    return np.frombuffer(raw, f"{end}f{one[_BITS] // 8}", h * w).reshape(h, w)
+
+
+def meshes(spark: SparkSession, path: str, missing: str = "zero") -> DataFrame:
+    """mesh (its folder), gv, gu, x, y, z, valid, scale of every mesh folder at or below the path.
+
+    A mesh is x.tif, y.tif and z.tif of one size, and maybe meta.json with `scale` (a
+    number, or a list of which the first counts; 1.0 without). Cells of all zeros are
+    not valid; with missing='nonpositive' neither is a cell with z <= 0. What one file
+    lacks is null and not valid, as is a cell with NaN. Rows of a grid are shuffled as arrays, not as points.
+    """
+    if missing not in ("zero", "nonpositive"):
+        raise ValueError(missing)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{x.tif,y.tif,z.tif,meta.json}").load(path)
+    files = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("mesh"), F.regexp_extract("path", r"([^/.]*)\.[^/]*$", 1).alias("name"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for mesh, name, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for gv, row in enumerate(float_image(content)):
+                    cols = [pa.array([mesh], pa.string()), pa.array([name], pa.string()), pa.array([gv], pa.int32()), pa.array([row.astype(np.float64)], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["mesh", "name", "gv", "row"])
+
+    rows = files.where("name <> 'meta'").mapInArrow(run, "mesh string, name string, gv int, row array<double>")
+    axes = [F.coalesce(F.max(F.when(F.col("name") == c, F.col("row"))), F.expr("cast(array() as array<double>)")).alias(c) for c in "xyz"]
+    cells = rows.groupBy("mesh", "gv").agg(*axes).select("mesh", "gv", F.posexplode(F.arrays_zip("x", "y", "z")).alias("gu", "p")).select("mesh", "gv", "gu", "p.x", "p.y", "p.z")
+    text = F.col("content").cast("string")
+    scale = [F.expr(f"try_cast({c} as double)") for c in ("first_", "whole")]
+    meta = files.where("name = 'meta'").select("mesh", F.get_json_object(text, "$.scale[0]").alias("first_"), F.get_json_object(text, "$.scale").alias("whole"))
+    meta = meta.select("mesh", F.coalesce(*scale).alias("scale"))
+    valid = "x is not null and y is not null and z is not null and not isnan(x + y + z) and abs(x) + abs(y) + abs(z) > 0" + (" and z > 0" if missing == "nonpositive" else "")
+    return cells.join(meta, "mesh", "left").select("mesh", "gv", "gu", "x", "y", "z", F.expr(f"coalesce({valid}, false)").alias("valid"), F.coalesce("scale", F.lit(1.0)).alias("scale"))
+
+
 def sample(pts: DataFrame, rows: DataFrame, depth: int, height: int, width: int) -> DataFrame:
     """pts with `value`: the nearest voxel (half to even, clipped to the volume). Rows meet points by (z, y), so only keys of rows are shuffled against points, not voxels; a row not in the stack, or a null place, gives null."""
     key = pts.withColumns({"_z": nearest(F.col("z"), depth), "_y": nearest(F.col("y"), height), "_x": nearest(F.col("x"), width)})

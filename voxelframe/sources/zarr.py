@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunks import KEY, PLACE, SCHEMA
+from ..operators.chunks import KEY, PLACE, SCHEMA, rechunk
 
 
 class GridMismatch(ValueError):
@@ -88,9 +88,16 @@ def read(spark: SparkSession, path: str, level: str = "0", z0: int = 0, z1: int
     return rows.mapInArrow(run, SCHEMA)
 
 
-def open_pair(spark: SparkSession, preds: str, ct: str, preds_level: str = "0", ct_level: str = "2", **window) -> tuple[DataFrame, DataFrame]:
-    """Chunk tables of a prediction and a scan; GridMismatch where their shapes or chunk grids differ."""
+def open_pair(spark: SparkSession, preds: str, ct: str, preds_level: str = "0", ct_level: str = "2", z0: int = 0, z1: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunk tables of a prediction and a scan on the prediction's grid; GridMismatch where their shapes differ.
+
+    A scan of other chunks is rechunked; the window then widens to whole chunks of the prediction.
+    """
     a, b = meta(spark, preds, preds_level), meta(spark, ct, ct_level)
-    if a.shape != b.shape or a.chunks != b.chunks:
-        raise GridMismatch(f"{a.shape} in {a.chunks} and {b.shape} in {b.chunks}")
-    return read(spark, preds, preds_level, **window), read(spark, ct, ct_level, **window)
+    if a.shape != b.shape:
+        raise GridMismatch(f"{a.shape} and {b.shape}")
+    p = read(spark, preds, preds_level, z0, z1)
+    if a.chunks == b.chunks:
+        return p, read(spark, ct, ct_level, z0, z1)
+    n, end = a.chunks[0], a.shape[0] if z1 is None else z1
+    return p, rechunk(read(spark, ct, ct_level, max(z0, 0) // n * n, -(-end // n) * n), a.chunks, a.shape)
