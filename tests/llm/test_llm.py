@@ -217,6 +217,45 @@ def test_class_model_sums_to_one(spark):
     assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_class_model_clusters_every_word(spark):
+    """Beyond 4,000 words too: two kinds of words take turns, so the classes of a good fit tell them apart."""
+    rng = np.random.default_rng(1)
+    a, b = [f"a{i}" for i in range(3_000)], [f"b{i}" for i in range(3_000)]
+    texts = [(" ".join(w for x, y in zip(rng.choice(a, 100), rng.choice(b, 100), strict=True) for w in (x, y)),) for _ in range(600)]
+    m = classlm.learn(spark.createDataFrame(texts, "text string"), classes=4)
+    of = {bytes(r.word): r.c for r in m.counts.collect()}
+    assert len(of) == m.distinct == m.clustered > 4_001 and set(of.values()) <= set(range(4)) and m.in_class[-1] == 0
+    kinds = [{c: sum(of[w.encode()] == c for w in ws) for c in range(4)} for ws in (a, b)]
+    assert sum(min(kinds[0][c], kinds[1][c]) for c in range(4)) < 1_500  # by chance about 2,900
+    assert len(classlm.learn(spark.createDataFrame([(" ".join(f"w{i}" for i in range(150_000)),)], "text string"), exchanges=0).in_class) > 50
+
+
+def test_class_gains_are_the_likelihood_s():
+    rng = np.random.default_rng(2)
+    w, k = 12, 4
+    n, of = rng.integers(0, 30, (w, w)) * (rng.random((w, w)) < 0.5), rng.integers(0, k, w)
+    joint = lambda of: np.array([[n[np.ix_(of == a, of == b)].sum() for b in range(k + 1)] for a in range(k + 1)], float)
+    now = joint(of)
+    table = np.stack([[classlm._rise(g, float(v)) for v in range(1, classlm.LEVELS + 1)] for g in (now, now.T)])
+    for i in range(w):
+        entries = [(0, of[j], n[j, i]) for j in range(w) if j != i and n[j, i]] + [(1, of[j], n[i, j]) for j in range(w) if j != i and n[i, j]] + [(2, -1, n[i, i])] * int(n[i, i] > 0)
+        merged: dict = {}
+        for s, c, v in entries:
+            merged[s, c] = merged.get((s, c), 0) + v
+        side, c, v = (np.array(x) for x in zip(*[(s, c, v) for (s, c), v in merged.items()], strict=True))
+        got = classlm.gains(now, table, of[[i]], np.zeros(len(v), int), side, c, v.astype(float))[0]
+        for to in range(k):
+            moved = of.copy()
+            moved[i] = to
+            assert got[to] - got[of[i]] == pytest.approx(classlm.likelihood(joint(moved)) - classlm.likelihood(now), abs=1e-6)
+
+
+def test_fingerprints_are_spark_s(spark):
+    words = [b"", b"a", b"word", "größe".encode(), b"x" * 100]
+    got = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "i int, w binary").selectExpr("i", "xxhash64(w) h").collect()
+    assert all(r.h % 2**64 == classlm.fingerprint(words[r.i]) for r in got)
+
+
 def test_url_filter(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     urls = [(r.page_id, r.url) for r in pages.collect()] + [(-1, None), (-2, "no scheme"), (-3, "http://"), (-4, "HTTP://WWW.A.Com/en/7?x#y"), (-5, "http://com/en/"), (-6, "http://xcom/en/"), (-7, "http://b.example.com/en/7://z")]

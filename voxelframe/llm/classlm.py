@@ -7,21 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTES_LOWER, stored
+from .shared import BYTES_LOWER, dropped, stored
 
-#: The words that exchange clustering assigns to classes (the most frequent ones); all others share one more class.
-CLUSTERED = 4_000
+#: Classes of a small vocabulary; a larger one gets the cube root of its words, so that the class table stays below the vocabulary.
 CLASSES = 48
 EXCHANGES = 6
+#: Of the words that gain, one in so many moves at once; the next share is tried where the last lowered the likelihood, then the best word alone.
+SHARES = (2, 8, 32)
 #: Words whose counts each Python worker holds; the others meet their counts in a shuffled join.
 HEAD = 100_000
 #: The end of a text counts as a token; an empty string is no word.
 END = b""
 #: A worker's partial word counts are sent on at this size.
 FLUSH = 400_000
+#: Word pairs are summed in the worker over so many tokens.
+TOKENS = 4_000_000
+#: Counts up to this size have their gains tabulated.
+LEVELS = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,95 +57,162 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pairs(shared):
-    """Counts of neighbouring clustered words (left, right), summed over many texts before they leave the worker."""
+def fingerprint(word: bytes) -> int:
+    """Spark's xxhash64 of the same bytes."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
-        get = ids.get
-        kept: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array((code // (m + 1)).astype(np.int32)), pa.array((code % (m + 1)).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring words (fingerprints l, r), summed over many texts before they leave the worker."""
+    ids: dict[bytes, int] = {}
+    kept: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(kept), return_counts=True)
+        name = np.fromiter(map(fingerprint, ids), np.uint64, len(ids)).view(np.int64)
+        kept.clear(), ids.clear()
+        return pa.RecordBatch.from_arrays([pa.array(name[code >> 31]), pa.array(name[code & (2**31 - 1)]), pa.array(n)], names=["l", "r", "n"])
+
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            x = np.fromiter((ids.setdefault(w, len(ids)) for w in split(text)), np.int64)
+            kept.append((np.r_[x[-1], x[:-1]] << 31) | x)  # the last token is END, and so is what stands before the first
+            size += len(x)
+            if size > TOKENS:
+                yield flush()
+                size = 0
+    if kept:
+        yield flush()
 
-        size = 0
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of a batch of (w, c, x): words, their classes, and of each entry its row, side (0 before, 1 after, 2 beside itself), class and count."""
+    x = batch.column(2)
+    at, entry = x.offsets.to_numpy(), x.values
+    side, c, n = (entry.field(i).to_numpy()[at[0] : at[-1]] for i in range(3))
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.repeat(np.arange(len(batch)), np.diff(at)), side, c, n.astype(float)
+
+
+def _joint(k: int, unseen: bool):
+    """Counts of neighbouring classes. With `unseen`, a word seen once also counts as one of class k: what new words come after and before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((k + 1, k + 1))
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = np.fromiter((get(w, m) for w in split(text)), np.int64)
-                kept.append(np.r_[ids[END], x[:-1]] * (m + 1) + x)
-                size += len(x)
-                if size > 4_000_000:
-                    yield flush()
-                    size = 0
-        if kept:
-            yield flush()
+            _, a, row, side, c, n = _lists(batch)
+            own, before = side == 2, side == 0
+            np.add.at(out, (c[before], a[row[before]]), n[before])
+            np.add.at(out, (a[row[own]], a[row[own]]), n[own])
+            if unseen:
+                once = np.bincount(row[side != 1], n[side != 1], len(a)) == 1
+                was, then = before & once[row], (side == 1) & once[row]
+                np.add.at(out[:, k], c[was], n[was])
+                np.add.at(out[k], c[then], n[then])
+        l, r = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(out[l, r])], names=["l", "r", "n"])
 
     return run
 
 
-def _gains(shared):
-    """For each clustered word the class that raises the class likelihood most, and the gain of moving there."""
+def xlog(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1e-300))
+
+
+def _rise(n: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """xlog(n + v) - xlog(n), without loss where n is large."""
+    n = np.maximum(n, 0)
+    return v * np.log(np.maximum(n + v, 1e-300)) + n * np.log1p(v / np.maximum(n, 1e-300))
+
+
+def gains(n: np.ndarray, table: np.ndarray, a: np.ndarray, row: np.ndarray, side: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each word (of class a) and class: the likelihood with the word there, against that without it. table[s, v - 1]: rises of n (s = 0) and of its transpose by v."""
+    k1, m, every = len(n), len(a), np.arange(len(a))
+    own = np.bincount(row[side == 2], v[side == 2], m)
+    beside = [np.bincount(row[side == s] * k1 + c[side == s], v[side == s], m * k1).reshape(m, k1) for s in (0, 1)]
+    total = np.zeros((m, k1))
+    for s, grid in ((0, n), (1, n.T)):
+        mine, other = beside[s], beside[1 - s]
+        on = side == s
+        i, f, x = row[on], c[on], v[on]
+        if not len(i):
+            continue
+        level = np.clip(x.astype(int), 1, LEVELS) - 1
+        g = table[s, level, f]
+        far = x > LEVELS
+        g[far] = _rise(grid[f[far]], x[far, None])
+        home = f == a[i]  # the word's own class has lost its counts
+        g[home] = _rise(grid[f[home]] - other[i[home]], x[home, None])
+        at = a[i]
+        g[np.arange(len(i)), at] = _rise(grid[f, at] - mine[i, f] - home * (other[i, at] + own[i]), x)
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        total[i[first]] += np.add.reduceat(g, first, axis=0)
+    # Where both of its sides or the word itself meet in one class.
+    to, fro = beside
+    r, f = np.nonzero(((to > 0) & (fro > 0)) | (own > 0)[:, None])
+    t, u, o, at = to[r, f], fro[r, f], own[r], f == a[r]
+    d = np.maximum(n[f, f] - at * (t + u + o), 0)
+    total[r, f] += xlog(d + t + u + o) - xlog(d + t) - xlog(d + u) + xlog(d)
+    for sums, size in ((n.sum(1), fro.sum(1) + own), (n.sum(0), to.sum(1) + own)):
+        level, which = np.unique(size, return_inverse=True)
+        edge = _rise(sums[None, :], level[:, None])[which]
+        edge[every, a] = _rise(sums[a] - size, size)
+        total -= edge
+    return total
+
+
+def _moves(shared):
+    """For each word the class that raises the class likelihood most, and the gain of moving there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, n = shared.value
-        k = len(n)
-        xlog = lambda v: v * np.log(np.maximum(v, 1e-300))
-        nl, nr = n.sum(1), n.sum(0)
+        n = shared.value
+        k = len(n) - 1
+        table = np.stack([[_rise(g, float(v)) for v in range(1, LEVELS + 1)] for g in (n, n.T)])
         for batch in batches:
-            out = []
-            for w, left, ln, right, rn in zip(*(batch.column(i) for i in range(5)), strict=True):
-                w = w.as_py()
-                a = classes[w]
-                # Counts of w after each class (to_w) and before each class (from_w), w beside itself apart.
-                lid, rid = left.values.to_numpy(), right.values.to_numpy()
-                lv, rv = ln.values.to_numpy(), rn.values.to_numpy()
-                own = float(rv[rid == w].sum())
-                to_w = np.bincount(classes[lid[lid != w]], lv[lid != w], k)
-                from_w = np.bincount(classes[rid[rid != w]], rv[rid != w], k)
-                base = n.copy()
-                base[:, a] -= to_w
-                base[a, :] -= from_w
-                base[a, a] -= own
-                bl, br = nl.copy(), nr.copy()
-                bl[a] -= from_w.sum() + own
-                br[a] -= to_w.sum() + own
-                # Adding w to class c changes column c, row c and their crossing.
-                col = (xlog(base + to_w[:, None]) - xlog(base)).sum(0)
-                row = (xlog(base + from_w[None, :]) - xlog(base)).sum(1)
-                d = np.diag(base)
-                cross = xlog(d + to_w + from_w + own) - xlog(d + to_w) - xlog(d + from_w) + xlog(d)
-                edge = xlog(bl + from_w.sum() + own) - xlog(bl) + xlog(br + to_w.sum() + own) - xlog(br)
-                gain = col + row + cross - edge
-                gain[-1] = -np.inf  # the class of all other words takes none
-                best = int(gain.argmax())
-                out.append((w, best, float(gain[best] - gain[a])))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("w", pa.int32()), ("c", pa.int32()), ("gain", pa.float64())]))
+            w, a, row, side, c, v = _lists(batch)
+            # Blocks of words, so that entries x classes stay within a few MB.
+            ends = np.searchsorted(row, np.arange(len(w) + 1))
+            best, gain, start = a.copy(), np.zeros(len(w)), 0
+            while start < len(w):
+                end = max(start + 1, min(start + 1_000, int(np.searchsorted(ends, ends[start] + 10_000, "right")) - 1))
+                x = slice(ends[start], ends[end])
+                order = np.argsort(row[x], kind="stable")
+                g = gains(n, table, a[start:end], row[x][order] - start, side[x][order], c[x][order], v[x][order])
+                g[:, k] = -np.inf  # the class of all other words takes none
+                at = g.argmax(1)
+                here = np.arange(end - start)
+                better = a[start:end] < k
+                best[start:end] = np.where(better, at, k)
+                gain[start:end][better] = (g[here, at] - g[here, a[start:end]])[better]
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(a), pa.array(best.astype(np.int32)), pa.array(gain)], names=["w", "c", "best", "gain"])
 
     return run
 
 
 class Model:
-    """What scoring needs: totals, the head's words, classes and transitions (all of bounded size) and the table of all counts."""
+    """What scoring needs: totals, the head's words, classes and transitions, and the table of all words' counts and classes. `unseen`: places of new words."""
 
-    def __init__(self, counts: DataFrame, tokens: int, distinct: int, head: list, classes: np.ndarray, n: np.ndarray, in_class: np.ndarray):
-        self.counts, self.tokens, self.distinct, self.head, self.classes, self.n, self.in_class = counts, tokens, distinct, head, classes, n, in_class
+    def __init__(self, counts: DataFrame, tokens: int, distinct: int, clustered: int, unseen: int, head: list, n: np.ndarray, in_class: np.ndarray):
+        self.counts, self.tokens, self.distinct, self.clustered, self.unseen, self.head, self.n, self.in_class = counts, tokens, distinct, clustered, unseen, head, n, in_class
 
 
-def learn(texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD, exchanges: int = EXCHANGES) -> Model:
+def learn(texts: DataFrame, clustered: int | None = None, classes: int | None = None, head: int = HEAD, exchanges: int = EXCHANGES) -> Model:
     """Fit on texts(text). Word and pair counts cover every token and are summed on the workers before the shuffle.
 
-    The head (at most so many words, by count) and the class of each clustered word go to
-    the driver: both are bounded by parameters. Exchange clustering runs as Spark
-    jobs: a table holds each clustered word's neighbours; every exchange gives all
-    words their best class in parallel and moves every second one of those that
-    gain, then the class counts are taken again.
+    All words are clustered, or the `clustered` most frequent ones; the number of
+    classes grows with them. Counts, pairs and assignments are tables, met in joins;
+    only the class counts (classes squared) and the head go to the driver. Every
+    exchange gives all words their best class in parallel and moves a share of
+    those that gain. Where that does not raise the likelihood, a smaller share is
+    tried, at last the best word alone, which always raises it.
     """
     spark = texts.sparkSession
     t = texts.select(F.col("text").cast("binary").alias("t"))
     counts = stored(t.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    if not total.v:
+        return Model(counts.withColumn("c", F.lit(0)), 0, 0, 0, 1, [], np.zeros((1, 1)), np.ones(1))
     # The head by count, cut at a level of count, so that no more than `head` rows leave the executors.
     level = F.floor(F.log2("n") * 16).cast("int")
     floor_, held = None, 0
@@ -148,86 +221,122 @@ def learn(texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
         if held > head:
             break
         floor_ = r.level
-    top = [] if floor_ is None else [(bytes(r.word), r.n) for r in counts.where(level >= floor_).collect()]
-    top.sort(key=lambda x: (-x[1], x[0]))
-    if total.v and END not in dict(top):
-        top.append((END, counts.where(F.col("word") == F.lit(bytearray(END))).first().n))
-    words = [w for w, _ in top[:clustered]]
-    if total.v and END not in words:
-        words.append(END)
-    m = len(words)
-    k = max(1, min(classes, m))
-    if not m:
-        return Model(counts, 0, 0, [], np.zeros(1, np.int64), np.zeros((1, 1)), np.ones(1))
-    ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, m))
-    pairs = stored(t.mapInArrow(_pairs(ids), "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").cast("double").alias("n")))
-    left = pairs.groupBy(F.col("r").alias("w")).agg(F.collect_list("l").alias("li"), F.collect_list("n").alias("ln"))
-    right = pairs.groupBy(F.col("l").alias("w")).agg(F.collect_list("r").alias("ri"), F.collect_list("n").alias("rn"))
-    beside = stored(left.join(right, "w").where(F.col("w") < m).repartition(24, "w"))
-    of = np.r_[np.arange(m) % k, k].astype(np.int64)
-
-    def class_counts(of: np.ndarray) -> np.ndarray:
-        cls = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "w int, c int")
-        rows = pairs.join(F.broadcast(cls.selectExpr("w l", "c cl")), "l").join(F.broadcast(cls.selectExpr("w r", "c cr")), "r").groupBy("cl", "cr").agg(F.sum("n").alias("n"))
+    in_head = (F.col("word") == F.lit(bytearray(END))) | (F.lit(False) if floor_ is None else level >= floor_)
+    m = total.v
+    all_ = counts.select("word", "n", F.xxhash64("word").alias("w"))
+    if clustered is not None and clustered < m:
+        top = sorted(((bytes(r.word), r.n) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
+        words = dict(top[:clustered]) | {END: dict(top)[END]}
+        m = len(words)
+        own = F.broadcast(spark.createDataFrame([(bytearray(w), True) for w in words], "word binary, own boolean"))
+        all_ = all_.join(own, "word", "left")
+    else:
+        all_ = all_.withColumn("own", F.lit(True))
+    k = max(1, min(classes or max(CLASSES, int(np.ceil(m ** (1 / 3)))), m))
+    pairs = stored(t.mapInArrow(_pairs, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n")))
+    of = stored(all_.select("w", F.when(F.col("own"), F.pmod("w", F.lit(k))).otherwise(k).cast("int").alias("c")).dropDuplicates(["w"]))
+
+    def beside(of: DataFrame) -> DataFrame:
+        """(w, c, x): each word's class and the counts of the classes next to it, at most two entries a class."""
+        apart = pairs.where("l <> r")
+        sides = [apart.join(of.withColumnRenamed("w", a), a).groupBy(F.col(b).alias("w"), "c").agg(F.sum("n").alias("n")).select("w", F.lit(s).alias("side"), "c", "n") for s, a, b in ((0, "l", "r"), (1, "r", "l"))]
+        own = pairs.where("l = r").select(F.col("l").alias("w"), F.lit(2).alias("side"), F.lit(-1).alias("c"), "n")
+        x = sides[0].unionAll(sides[1]).unionAll(own).groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("x"))
+        out = stored(of.join(x, "w").select("w", "c", "x"))
+        spark.sparkContext._jvm.System.gc()  # lets go of the shuffled files of past exchanges
+        return out
+
+    def joint(near: DataFrame, unseen: bool = False) -> np.ndarray:
         out = np.zeros((k + 1, k + 1))
-        for r in rows.collect():
-            out[r.cl, r.cr] = r.n
+        for r in near.mapInArrow(_joint(k, unseen), "l int, r int, n double").groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
+            out[r.l, r.r] = r.n
         return out
 
-    n = class_counts(of)
+    near = beside(of)
+    n = joint(near)
     for turn in range(exchanges):
-        state = spark.sparkContext.broadcast((of, n))
-        moves = beside.mapInArrow(_gains(state), "w int, c int, gain double").where("gain > 1e-6").collect()
-        new = of.copy()
-        for r in moves:
-            if (r.w + turn) % 2 == 0 or len(moves) < 20:
-                new[r.w] = r.c
-        if (new == of).all():
-            break
-        after = class_counts(new)
-        if likelihood(after) <= likelihood(n):
+        moves = stored(near.mapInArrow(_moves(spark.sparkContext.broadcast(n)), "w long, c int, best int, gain double"))
+        gaining = F.col("gain") > 1e-6
+        found = moves.where(gaining).agg(F.count(F.lit(1)).alias("n"), F.max_by("w", F.struct("gain", "w")).alias("w")).first()
+        raised = False
+        for share in (*(SHARES if found.n >= 20 else (1,)), 0) if found.n else ():
+            go = gaining & (F.pmod(F.xxhash64("w", F.lit(turn)), F.lit(share)) == 0 if share else F.col("w") == found.w)
+            new = stored(moves.select("w", F.when(go, F.col("best")).otherwise(F.col("c")).alias("c")))
+            after = beside(new)
+            n_after = joint(after)
+            raised = likelihood(n_after) > likelihood(n)
+            if raised:
+                dropped(of), dropped(near)
+                of, near, n = new, after, n_after
+                break
+            dropped(new), dropped(after)
+        dropped(moves)
+        if not raised:
             break
-        of, n = new, after
+    if m == total.v:
+        n = joint(near, unseen=True)
+        once = all_.where("n = 1").select("w")
+        n[k, k] = pairs.where("n = 1").join(once.withColumnRenamed("w", "l"), "l", "left_semi").join(once.withColumnRenamed("w", "r"), "r", "left_semi").count()
+    dropped(near), dropped(pairs)
+    counts = stored(all_.join(of, "w").select("word", "n", "c"))
     in_class = np.zeros(k + 1)
-    np.add.at(in_class, of, np.r_[n_words(top, words), 0])
-    in_class[k] = total.n - in_class[:k].sum()
-    full = {w: i for i, w in enumerate(words)}
-    return Model(counts, total.n, total.v, [(w, c, int(of[full[w]]) if w in full else k) for w, c in top], of, n, in_class)
-
-
-def n_words(top: list, words: list) -> np.ndarray:
-    by = dict(top)
-    return np.array([by.get(w, 0) for w in words], float)
+    for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect():
+        in_class[r.c] = r.n
+    top = sorted(((bytes(r.word), r.n, r.c) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
+    return Model(counts, total.n, total.v, m, max(1, total.once) if m == total.v else 1, top, n, in_class)
 
 
 def likelihood(n: np.ndarray) -> float:
-    x = lambda v: float((v * np.log(np.maximum(v, 1e-300))).sum())
-    return x(n) - x(n.sum(0)) - x(n.sum(1))
+    return float(xlog(n).sum() - xlog(n.sum(0)).sum() - xlog(n.sum(1)).sum())
 
 
 def _score(shared):
+    """Of each text what the head's words give, and the other words with their place and the classes of the head's words beside them (-1: not of the head)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, count, cls, step, in_class, rare, tokens, distinct = shared.value
+        ids, count, cls, step, in_class, rare, below = shared.value
         get, h, tail = ids.get, len(ids), len(in_class) - 1
-        below = tokens + distinct + 1
         base_log = np.log10((count + 1) / below)
-        emit = np.where(cls < tail, count / np.maximum(in_class[cls], 1), (count + 1) / rare)
+        emit = np.log10(np.where(cls < tail, count / np.maximum(in_class[cls], 1), (count + 1) / rare))
+        log_step = np.log10(np.maximum(step, 1e-300))
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(8)]
             for text in batch.column(2).to_pylist():
                 words = split(text)
                 x = np.fromiter((get(w, h) for w in words), np.int64, len(words))
-                c = np.where(x < h, cls[np.minimum(x, h - 1)], tail) if h else np.full(len(x), tail)
+                c = np.where(x < h, cls[np.minimum(x, h - 1)], -1) if h else np.full(len(x), -1)
                 before = np.r_[cls[ids[END]] if h else tail, c[:-1]]
-                go = step[before, c]
-                in_ = x < h
-                xi = x[in_]
-                p = go[in_] * emit[xi]
-                rest = np.flatnonzero(~in_)
-                for col, v in zip(cols, (len(words), int((count[xi] > 0).sum()), float(base_log[xi].sum()), float(np.log10(p).sum()), [words[i] for i in rest], go[rest]), strict=True):
+                both = (c >= 0) & (before >= 0)
+                xi = x[x < h]
+                rest = np.flatnonzero(x >= h)
+                own = float(emit[xi].sum()) + float(log_step[before[both], c[both]].sum())
+                after = np.r_[c[1:], -1]
+                for col, v in zip(cols, (len(words), int((count[xi] > 0).sum()), float(base_log[xi].sum()), own, [words[i] for i in rest], rest, before[rest], after[rest]), strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], names=["row", "doc_id", "n_tokens", "known", "base", "own", "words", "go"])
+            ints = pa.list_(pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), ints, ints, ints)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], names=["row", "doc_id", "n_tokens", "known", "base", "own", "words", "at", "before", "after"])
+
+    return run
+
+
+def _rest(shared):
+    """Of each text what its other words give: x is in order of place, with (at, before, after, c, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, step, in_class, rare, below = shared.value
+        tail = len(in_class) - 1
+        log_step = np.log10(np.maximum(step, 1e-300))
+        for batch in batches:
+            x = batch.column(1)
+            off, entry = x.offsets.to_numpy(), x.values
+            before, after, c, n = (entry.field(i).to_numpy()[off[0] : off[-1]] for i in range(1, 5))
+            row = np.repeat(np.arange(len(batch)), np.diff(off))
+            emit = np.log10(np.where(c < tail, n / np.maximum(in_class[c], 1), (n + 1) / rare))
+            into = log_step[np.where(before >= 0, before, np.r_[tail, c[:-1]]), c]
+            out = np.where(after >= 0, log_step[c, np.maximum(after, 0)], 0)
+            sums = [np.bincount(row, v, len(batch)) for v in (np.log10((n + 1) / below), emit + into + out, n > 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["row", "tb", "ts", "tk"])
 
     return run
 
@@ -236,10 +345,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
 
     P(w | v) = P(class w | class v) P(w | class w). Transitions are smoothed by the
-    classes' own shares, words of the class of all others by add-one, with one
-    place for all unknown words; it sums to one. Base is the add-one unigram. Words
-    outside the head meet their counts in a join by word; the texts themselves are
-    not shuffled. A null or blank text is its end token alone. Without training
+    classes' own shares. New words are a class of their own, which comes as often
+    as words seen once did, with a place for each of those; words left unclustered
+    share it by add-one. It sums to one. Base is the add-one unigram. Words
+    outside the head meet their counts and classes in a join by word; the texts
+    themselves are not shuffled. A null or blank text is its end token alone. Without training
     tokens every probability is 1.
     """
     spark = docs.sparkSession
@@ -247,19 +357,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     count = np.array([c for _, c, _ in model.head], float)
     cls = np.array([c for _, _, c in model.head], np.int64)
     share = (model.in_class + (1 if model.head else 0)) / (model.in_class + (1 if model.head else 0)).sum()
-    clustered = int((cls < len(model.in_class) - 1).sum())
-    rare = float(model.in_class[-1] + model.distinct - clustered + 1) if model.head else 1.0
+    rare = float(model.in_class[-1] + model.distinct - model.clustered + model.unseen) if model.head else 1.0
     step = (model.n + share[None, :]) / (model.n.sum(1, keepdims=True) + 1)
-    shared = spark.sparkContext.broadcast((ids, count, cls, step, model.in_class, rare, model.tokens, model.distinct))
+    below = float(model.tokens + model.distinct + 1)
+    shared = spark.sparkContext.broadcast((ids, count, cls, step, model.in_class, rare, below))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("t"))
-    part = stored(rows.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, known long, base double, own double, words array<binary>, go array<double>"))
-    tail = part.select("row", F.explode(F.arrays_zip("words", "go")).alias("x")).select("row", "x.words", "x.go")
-    tail = tail.join(model.counts.select(F.col("word").alias("words"), "n"), "words", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    below = float(model.tokens + model.distinct + 1)
-    base = (F.col("n") + 1) / below
-    p = F.col("go") * (F.col("n") + 1) / rare
-    tail = tail.groupBy("row").agg(F.sum(F.log10(base)).alias("tb"), F.sum(F.log10(p)).alias("ts"), F.count_if(F.col("n") > 0).alias("tk"))
+    part = stored(rows.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, known long, base double, own double, words array<binary>, at array<int>, before array<int>, after array<int>"))
+    tail = part.select("row", F.explode(F.arrays_zip("words", "at", "before", "after")).alias("x")).select("row", F.col("x.words").alias("word"), "x.at", "x.before", "x.after")
+    new = len(model.in_class) - 1
+    tail = tail.join(model.counts, "word", "left").select("row", F.struct("at", "before", "after", F.coalesce("c", F.lit(new)).alias("c"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).alias("x"))
+    tail = tail.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_rest(shared), "row long, tb double, ts double, tk long")
     zero = F.lit(0.0)
     return part.select("row", "doc_id", "n_tokens", "known", "base", "own").join(tail, "row", "left").select(
         "doc_id",
