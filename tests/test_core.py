@@ -7,6 +7,7 @@ import pytest
 
 from voxelframe.functions import frames
 from voxelframe.operators import calibrate, catalog, sampling, snap, support, winding
+from voxelframe.plans import views as V
 from voxelframe.plans.oracles import oracle_sql
 from voxelframe.plans.queries import QUERIES
 
@@ -97,3 +98,21 @@ def test_constraints_keep_null_fields(spark):
     out = catalog.export(p)
     assert '"wind_a":null' in out.first().json
     assert [(r.collection, r.n, r.x) for r in catalog.load(out).collect()] == [(7, 1, 1.0)]
+
+
+def test_whole_mesh_is_used(spark):
+    """At sf0.01 the mesh has 40 rows: points beyond its fourth row and grid rows from 30 on count."""
+    d = DATA.replace("0.001", "0.01")
+    mesh = {(r.gv, r.gu): (r.x, r.y, r.z) for r in V.mesh(spark, d).where("valid").collect()}
+    got = {r.id: r for r in QUERIES["bilinear_lookup"](spark, d).collect()}
+    points = V.pts(spark, d).collect()
+    assert len(got) == len(points) and sum((p.x - 700) / 100 > 3 for p in points) > 10
+    for p in points:
+        v, u = min(max((p.x - 700) / 100, 0), 39 - 1e-6), min(max((p.y - 700) / 12, 0), 49 - 1e-6)
+        corners = [((int(v) + i, int(u) + j), (v % 1 if i else 1 - v % 1) * (u % 1 if j else 1 - u % 1)) for i in (0, 1) for j in (0, 1)]
+        total = sum(w for at, w in corners if at in mesh)
+        for k, name in enumerate("xyz"):
+            want = sum(w * mesh[at][k] for at, w in corners if at in mesh) / total if total else None
+            assert got[p.vec_id][name] == (want if want is None else pytest.approx(want, abs=2e-5))
+    rows = [(r.v, r.u) for r in QUERIES["surface_stride"](spark, d).collect()]
+    assert sorted(rows) == [(v, u) for v in range(1, 40, 4) for u in range(0, 50, 5)]

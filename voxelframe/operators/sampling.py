@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -24,8 +24,8 @@ def along_normal(points: DataFrame, offsets: Sequence[float]) -> DataFrame:
     return p.withColumns({c: F.col(c) + F.col(f"n{c}") * F.col("t") for c in "xyz"})
 
 
-def bilinear(at: DataFrame, mesh: DataFrame, height: int, width: int) -> DataFrame:
-    """at(id, gv, gu) with x, y, z of the mesh: four corners weighted over the valid ones; null if none weighs. Beyond the grid the border cell counts."""
+def bilinear(at: DataFrame, mesh: DataFrame, height: int | Column, width: int) -> DataFrame:
+    """at(id, gv, gu) with x, y, z of the mesh: four corners weighted over the valid ones; null if none weighs. Beyond the grid the border cell counts. height may be a column of at."""
     v = F.least(F.greatest(F.col("gv"), F.lit(0.0)), F.lit(height - 1.000001))
     u = F.least(F.greatest(F.col("gu"), F.lit(0.0)), F.lit(width - 1.000001))
     a = at.select("id", v.alias("v"), u.alias("u")).withColumns({"v0": F.floor("v"), "u0": F.floor("u")})
