@@ -9,7 +9,7 @@ from voxelframe.functions import frames
 from voxelframe.operators import calibrate, catalog, sampling, snap, support, winding
 from voxelframe.plans import views as V
 from voxelframe.plans.oracles import oracle_sql
-from voxelframe.plans.queries import QUERIES
+from voxelframe.plans.queries import QUERIES, _samples
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -116,3 +116,16 @@ def test_whole_mesh_is_used(spark):
             assert got[p.vec_id][name] == (want if want is None else pytest.approx(want, abs=2e-5))
     rows = [(r.v, r.u) for r in QUERIES["surface_stride"](spark, d).collect()]
     assert sorted(rows) == [(v, u) for v in range(1, 40, 4) for u in range(0, 50, 5)]
+
+
+def test_calibration_takes_all_grid_points(spark):
+    k = QUERIES["kfit"](spark, DATA).first().k
+    rows = {r.z: r for r in _samples(spark, DATA).collect()}
+    anchors = [r for r in rows.values() if r.frac is not None]
+    grid = [1 + 24 / 3_999 * i for i in range(4_000)]
+    assert k == pytest.approx(min(grid, key=lambda k: (round(sum((1 - (1 - r.share) ** k - r.frac) ** 2 for r in anchors), 9), k)), abs=2e-6)
+    model = lambda r: 1 - (1 - r.share) ** k
+    for r in QUERIES["calib_estimates"](spark, DATA).collect():
+        at = rows[r.z]
+        assert r.est == pytest.approx(model(at) if at.frac is None else at.frac, abs=2e-6)
+    assert QUERIES["calib_residuals"](spark, DATA).first().band == pytest.approx(max(abs(r.frac - model(r)) for r in anchors), abs=2e-6)

@@ -96,19 +96,19 @@ def _samples(s, d):
 
 @query
 def kfit(s, d):
-    return rounded(calibrate.fit(_samples(s, d).where("frac is not null"), 400), "k")
+    return rounded(calibrate.fit(_samples(s, d).where("frac is not null")), "k")
 
 
 @query
 def calib_estimates(s, d):
     t = _samples(s, d)
-    return rounded(calibrate.estimates(t, calibrate.fit(t.where("frac is not null"), 400)).select("z", "share", "est"), "share", "est")
+    return rounded(calibrate.estimates(t, calibrate.fit(t.where("frac is not null"))).select("z", "share", "est"), "share", "est")
 
 
 @query
 def calib_residuals(s, d):
     t = _samples(s, d).where("frac is not null")
-    return rounded(calibrate.residuals(t, calibrate.fit(t, 400)), "band")
+    return rounded(calibrate.residuals(t, calibrate.fit(t)), "band")
 
 
 @query
