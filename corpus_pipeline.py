@@ -17,11 +17,12 @@ LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; documents without a letter, or in no language to at least LEAST_SHARE, go. lang stays as it came."""
+    """Learns from the labelled documents; documents without a letter, or in no language to at least LEAST_SHARE, go. lang stays as it came. A verdict holds for its doc_id and text, not for other texts of the id."""
     langs, model = langid.learn(docs.select("lang", "text"))
-    pred = langid.predict(docs, langs, model)
-    bad = pred.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    sha = F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")), 256)
+    pred = langid.predict(docs.withColumn("doc_id", F.struct("doc_id", sha.alias("sha"))), langs, model)
+    bad = pred.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.sha").alias("_sha")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (sha == bad["_sha"]), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

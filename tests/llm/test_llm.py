@@ -314,6 +314,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() == len(rows)
 
 
+def test_clean_texts_stay_where_another_of_their_id_goes(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = corpus_pipeline.language_id(spark, docs, DATA).where("length(text) > 300").orderBy("doc_id").first()
+    odd = [good.asDict() | {"doc_id": i, "text": t} for i, t in ((None, good.text), (None, None), (good.doc_id, "1234"))]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, both, DATA).collect()]
+    assert (None, good.text) in got and (good.doc_id, good.text) in got
+    assert (None, None) not in got and (good.doc_id, "1234") not in got
+    a, b, c = (" ".join(W[i : i + 30]) for i in (0, 30, 60))
+    near = spark.createDataFrame([(3, b), (7, a), (7, b), (8, c), (8, a + " x"), (None, b)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, near, DATA).collect()}
+    assert {(3, b), (8, c), (None, b)} <= kept and (7, b) not in kept
+    assert len({(7, a), (8, a + " x")} & kept) == 1 and len(kept) == 4
+
+
 def test_stages_on_edges(spark, edges, empty):
     for frame in (edges, empty):
         for _, f in corpus_pipeline.STAGES:

@@ -183,6 +183,16 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each class: the rows whose doc_id names their class. Rows that repeat a doc_id stay with it."""
-    gone = classes(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each class: the rows whose id names their class. Rows of one doc_id and text are one document.
+
+    If a doc_id has several texts, each further one is judged under an id of its own,
+    a hash of both above the ids in use, so that a text never goes with another.
+    """
+    sha = F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")), 256)
+    texts = docs.where("doc_id is not null").select("doc_id", sha.alias("_sha")).distinct()
+    least = texts.groupBy("doc_id").agg(F.min("_sha").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    own = F.xxhash64("doc_id", "_sha").bitwiseAND(F.lit(2**63 - 1)).bitwiseOR(F.lit(2**62))
+    more = stored(texts.join(least, "doc_id").where("_sha <> _least").select(F.col("doc_id").alias("_id"), "_sha", own.alias("_own")))
+    named = docs.join(more, (docs["doc_id"] == more["_id"]) & (sha == more["_sha"]), "left").withColumn("_key", F.coalesce("_own", docs["doc_id"].cast("long"))).drop("_id", "_sha", "_own")
+    gone = classes(named.select(F.col("_key").alias("doc_id"), "text"), k, percent).where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(gone, "_key", "left_anti").select(*docs.columns)
