@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, broadcast_if
+from .shared import LOWER, UPPER, broadcast_if, stored
 
 #: (host, path, verdict); fixed values.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -60,26 +60,28 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str =
     the list in an exact hash join, which removes false positives. Null URLs have
     empty host and path and are allowed unless '' is listed; nulls and repeats in
     the list are ignored. Columns of pages named like a result are replaced.
-    Pages whose canonical URL is very frequent are no skew: the filter's side and
-    the list have one row a key, so a hot key is a split probe side.
+    Pages that the filter stops, most of them, are in no shuffle; those it passes
+    are joined by canonical URL, where a very frequent one is left to the skew join
+    of adaptive execution, as the list has one row a key. Very long URLs are keys
+    like others. The list is written once and read by filter and join.
     """
-    listed = listed.where("canon is not null").select("canon").distinct()
+    listed = stored(listed.where("canon is not null").select("canon").distinct())
     n = listed.count()
     blocks = max(1, -(-n * BITS_A_KEY // (64 * WORDS_A_BLOCK)))
-    d = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns]).withColumn("_url", F.col(url_col))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    d = pages.select(F.struct(*kept).alias("_page"), F.col(url_col).alias("_url"))
     host, path = host_path(F.col("_url"))
     d = d.withColumns({"host": host, "path": path}).drop("_url")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    d = d.withColumns({"rule": rule, "_said": verdict, "_canon": canonical(F.col("host"), F.col("path"))})
-    d = d.withColumn("_block", F.pmod(F.xxhash64(F.lit(0), "_canon"), F.lit(blocks)))
-    sieve = bloom(listed, blocks).withColumnRenamed("block", "_block")
-    d = d.join(broadcast_if(sieve, blocks, MOST_BLOCKS), "_block", "left")
-    passed = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(c) != 0 for i, c in enumerate(bits(F.col("_canon")))])
-    d = d.withColumn("_key", F.when(F.coalesce(passed, F.lit(False)) & F.col("_said").isNull(), F.col("_canon")))
-    hits = listed.select(F.col("canon").alias("_key"), F.lit(True).alias("_hit"))
-    d = d.join(hits, "_key", "left")
-    d = d.withColumn("verdict", F.coalesce("_said", F.when(F.col("_hit"), "block").otherwise("allow")))
-    return d.drop("_block", "_key", "_hit", "_said", "_canon", *[f"w{i}" for i in range(WORDS_A_BLOCK)])
+    d = d.withColumns({"rule": rule, "verdict": verdict, "canon": canonical(F.col("host"), F.col("path"))})
+    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(0), "canon"), F.lit(blocks)))
+    d = d.join(broadcast_if(bloom(listed, blocks), blocks, MOST_BLOCKS), "block", "left")
+    passed = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(c) != 0 for i, c in enumerate(bits(F.col("canon")))])
+    open_ = F.col("verdict").isNull() & F.coalesce(passed, F.lit(False))
+    hits = d.where(open_).join(listed.withColumn("hit", F.lit(True)), "canon", "left").withColumn("verdict", F.when(F.col("hit"), "block").otherwise("allow"))
+    rest = d.where(~open_).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    cols = ("_page.*", "host", "path", "rule", "verdict")
+    return rest.select(*cols).unionByName(hits.select(*cols))
 
 
 def thin_pages(pages: DataFrame, least_paragraphs: int = 2) -> DataFrame:
