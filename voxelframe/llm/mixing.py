@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import WORD, stored
+from .shared import WORD, broadcast_if, stored
 
 #: The mix repeats a document at most so many times.
 PASSES = 3
 #: Rows that one bucket of the shuffled order holds on average.
 ROWS_A_BUCKET = 50_000
+#: Ranges of finish time (two longs each) that may be broadcast; more are joined by shuffle.
+MOST_RANGES = 500_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -43,10 +45,11 @@ def targets(totals: DataFrame, passes: int = PASSES) -> DataFrame:
 
 
 def placed(d: DataFrame, rows: int, seed: int, passes: int) -> DataFrame:
-    """d (with size) with source_size, target and _start, the words of its source ahead of it in the first pass.
+    """d (doc_id, source, size, tie, ...) with source_size, target and start, the words of its source ahead of it in the first pass.
 
-    Cumulative sums are two-level (bucket sums, then the rows of a bucket), so no
-    task holds a whole source.
+    Each document waits in its source at a place set by a hash of its id. Cumulative
+    sums are two-level (bucket sums, then the rows of a bucket), so no task holds a
+    whole source.
     """
     buckets = max(16, -(-rows // ROWS_A_BUCKET))
     place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
@@ -57,48 +60,93 @@ def placed(d: DataFrame, rows: int, seed: int, passes: int) -> DataFrame:
     offsets = sums.select("source", "_bucket", (F.sum("_sum").over(ahead) - F.col("_sum")).alias("_ahead"))
     plan = offsets.alias("o").join(targets(totals, passes).alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
     plan = plan.select(F.col("o.source").alias("_source"), F.col("_bucket").alias("_b"), "_ahead", "source_size", "target")
-    here = Window.partitionBy("source", "_bucket").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("source", "_bucket").orderBy("_place", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_here", F.sum("size").over(here))
     d = d.join(plan, d.source.eqNullSafe(plan._source) & (d._bucket == plan._b))
-    return d.withColumn("_start", F.col("_ahead") + F.col("_here") - F.col("size")).drop("_place", "_bucket", "_here", "_source", "_b", "_ahead")
+    return d.withColumn("start", F.col("_ahead") + F.col("_here") - F.col("size")).drop("_place", "_bucket", "_here", "_source", "_b", "_ahead")
 
 
-def served(k: Column) -> Column:
-    """Words of the document that pass k serves before virtual time 1."""
-    start = F.col("_start") + k * F.col("source_size")
-    return F.least(F.col("size"), F.greatest(F.lit(0), F.floor(F.col("target") - start))).cast("long")
+def queued(d: DataFrame, passes: int) -> DataFrame:
+    """placed() rows of positive size, once a pass, with pass, virtual_finish and offered.
+
+    Virtual time is the source's words up to the document's end, over all passes,
+    divided by the source's target. The document that is being served when its
+    source reaches the target, at time 1, finishes there and offers what it has
+    been served by then, in whole words.
+    """
+    d = d.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    begin = F.col("start") + F.col("pass") * F.col("source_size")
+    finish, over = (begin + F.col("size")) / F.col("target"), begin + F.col("size") > F.col("target")
+    open_ = begin < F.col("target")
+    return d.withColumns({
+        "virtual_finish": F.when(over & open_, F.lit(1.0)).otherwise(finish),
+        "offered": F.when(over & open_, F.floor(F.col("target") - begin)).otherwise(F.col("size")).cast("long"),
+    })
+
+
+def truncated(q: DataFrame, budget: DataFrame, rows: int) -> DataFrame:
+    """queued() with served: the global queue, in order of virtual finish time, cut at the budget (one row, column budget).
+
+    The queue is ranged into buckets of finish time; a bucket's offset is the sum of
+    the buckets before it (a table of one row a bucket), and only buckets that begin
+    below the budget are sorted. All behind them are served nothing.
+    """
+    buckets = max(16, -(-rows // ROWS_A_BUCKET))
+    q = q.withColumn("_range", F.floor(F.least(F.col("virtual_finish"), F.lit(2.0)) * buckets).cast("long"))
+    sums = q.groupBy("_range").agg(F.sum("offered").alias("_sum"))
+    before = (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before")
+    reached = stored(sums.select(F.col("_range").alias("_r"), before).crossJoin(F.broadcast(budget)).where("_before < budget"))
+    q = q.join(broadcast_if(reached, reached.count(), MOST_RANGES), F.col("_range") == F.col("_r"), "left")
+    w = Window.partitionBy("_range").orderBy("virtual_finish", "source", "start", "pass")
+    near = q.where("_before is not null").withColumn("_ahead", F.col("_before") + F.sum("offered").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("offered"))
+    near = near.withColumn("served", F.greatest(F.lit(0).cast("long"), F.least(F.col("offered"), F.col("budget") - F.col("_ahead")))).drop("_ahead")
+    far = q.where("_before is null").withColumn("served", F.lit(0).cast("long"))
+    return near.unionByName(far).drop("_range", "_r", "_before", "budget")
+
+
+def _queue(d: DataFrame, rows: int, seed: int, passes: int) -> tuple[DataFrame, DataFrame]:
+    """The placed documents, and the truncated queue of their passes."""
+    p = placed(d, rows, seed, passes)
+    each = p.groupBy("source").agg(F.first("target").alias("target"))
+    budget = each.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).cast("long").alias("budget"))
+    return p, truncated(queued(p, passes), budget, rows * passes)
 
 
 def queue(docs: DataFrame, seed: int = 11, passes: int = PASSES) -> DataFrame:
     """One row per document and pass that the mix serves: docs' columns, size, source_size, target, pass, virtual_finish, served.
 
-    Within its source each document waits at a place set by a hash of its id; its
-    virtual finish time is the source's words up to and including it, divided by
-    the source's target, pass after pass. As targets sum to the budget, virtual
-    time 1 is where the globally ordered queue reaches the budget: what finishes
-    by then is served whole, the one document of each source that straddles it is
-    cut there, the rest is left out. Null text has size 0 and is never served;
-    null sources are one source; repeated rows are separate documents; ties in
-    the hash fall to the id and the size. Columns of docs named like a result are
+    Each shuffled document gets its virtual finish time, pass after pass; the queue
+    of all sources is ordered by it and truncated at the budget, the sum of the
+    targets in whole words. Null text has size 0 and is never served; null sources
+    are one source; repeated rows are separate documents; ties in the hash fall to
+    the id, the size and a hash of the text. Columns of docs named like a result are
     replaced.
     """
-    d = sized(docs.drop("size", "source_size", "target", "pass", "virtual_finish", "served"))
-    d = placed(d, docs.select("doc_id").count(), seed, passes)
-    d = d.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("served", served(F.col("pass")))
-    end = F.col("_start") + F.col("size") + F.col("pass") * F.col("source_size")
-    return d.where("served > 0").withColumn("virtual_finish", end / F.col("target")).drop("_start")
+    out = ["size", "source_size", "target", "pass", "virtual_finish", "served"]
+    kept = F.struct(*[c for c in docs.columns if c not in out]).alias("doc")
+    d = sized(docs.select(kept, "doc_id", "source", "text", F.xxhash64("text").alias("tie"))).drop("text")
+    _, q = _queue(d, docs.select("doc_id").count(), seed, passes)
+    return q.where("served > 0").select("doc.*", *out)
 
 
 def mixed(docs: DataFrame, seed: int = 11, passes: int = PASSES) -> DataFrame:
-    """The mix itself: documents range-sorted by virtual finish time, repeated as served; a cut document keeps its first words, joined by single spaces."""
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("served").cast("int")), " ")
-    q = queue(docs, seed, passes).withColumn("text", F.when(F.col("served") < F.col("size"), cut).otherwise(F.col("text")))
-    return q.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id", "pass").select(*docs.columns)
+    """The mix itself: documents range-sorted by virtual finish time, repeated as served; a cut document keeps its first words, joined by single spaces, and n_chars, where docs have it, says their length. All columns of docs stay, whatever their names."""
+    d = sized(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text", F.xxhash64("text").alias("tie"))).drop("text")
+    _, q = _queue(d, docs.select("doc_id").count(), seed, passes)
+    whole = F.col("served") >= F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("served").cast("int")), " ")
+    q = q.where("served > 0").withColumn("_text", F.when(whole, F.col("doc.text")).otherwise(cut))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("_text"), "n_chars": F.when(whole, F.col("doc.n_chars")).otherwise(F.length("_text").cast(kinds["n_chars"]))} if "n_chars" in kinds else {"text": F.col("_text")}
+    q = q.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id", "pass")
+    return q.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def taken(docs: DataFrame, seed: int = 11, passes: int = PASSES) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (its words in the mix, repeats counted; 0 if left out)."""
-    d = stored(sized(docs.select("doc_id", "source", "text")).drop("text"))
-    d = placed(d, docs.select("doc_id").count(), seed, passes)
-    total = sum((served(F.lit(k)) for k in range(passes)), F.lit(0))
-    return d.select("doc_id", "size", "source_size", "target", total.cast("long").alias("taken"))
+    """Per document: doc_id, size, source_size, target, taken (the sum of what the truncated queue serves of its passes; 0 if left out)."""
+    d = stored(sized(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("tie"))).drop("text"))
+    p, q = _queue(d, docs.select("doc_id").count(), seed, passes)
+    # In its source a document with words is known by where it starts.
+    q = q.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken"))
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    return q.select(*cols).unionByName(p.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))

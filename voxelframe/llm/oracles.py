@@ -31,8 +31,13 @@ t2 AS (SELECT *, source_size*{float(PASSES)!r}::double cap, source_size*{float(P
 t3 AS (SELECT *, greatest(0,total-coalesce(sum(cap) OVER o,0))/(weights-coalesce(sum(weight) OVER o,0)) lev FROM t2 WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t4 AS (SELECT *, max(CASE WHEN lev<=ratio THEN lev END) OVER () fin FROM t3),
 t AS (SELECT source, source_size, CASE WHEN fin IS NULL THEN cap ELSE least(cap,fin*weight) END target FROM t4),
-p AS (SELECT e.doc_id, e.size, t.source_size, t.target, sum(e.size) OVER (PARTITION BY e.source ORDER BY bucket, place, e.doc_id, e.size ROWS UNBOUNDED PRECEDING)-e.size start FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ({'+'.join(f'least(size,greatest(0,floor(target-(start+{k}*source_size))::bigint))' for k in range(PASSES))})::bigint taken FROM p"""
+p AS (SELECT row_number() OVER () id, e.doc_id, e.source, e.size, t.source_size, t.target, sum(e.size) OVER (PARTITION BY e.source ORDER BY bucket, place, e.doc_id, e.size ROWS UNBOUNDED PRECEDING)-e.size start FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT id, source, size, target, start+k*source_size AS begin, k FROM p, range({PASSES}) r(k) WHERE size>0),
+f AS (SELECT *, CASE WHEN begin+size<=target OR begin>=target THEN size ELSE floor(target-begin)::bigint END offered, CASE WHEN begin+size<=target OR begin>=target THEN (begin+size)/target ELSE 1 END finish FROM q),
+c AS (SELECT id, offered, sum(offered) OVER (ORDER BY finish, source, begin ROWS UNBOUNDED PRECEDING)-offered ahead FROM f),
+b AS (SELECT sum(floor(target))::bigint budget FROM t),
+s AS (SELECT id, sum(greatest(0,least(offered,budget-ahead)))::bigint taken FROM c, b GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken,0) taken FROM p LEFT JOIN s USING (id)"""
 
 DECONTAMINATION = f"""WITH b AS (SELECT item_id, {TOKENS} w FROM benchmark),
 k AS (SELECT *, least(13,len(w)) k FROM b WHERE len(w)>0),
