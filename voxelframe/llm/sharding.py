@@ -13,12 +13,12 @@ ROWS_A_BUCKET = 20_000
 def number_rows(df: DataFrame, by: Column, buckets: int) -> DataFrame:
     """df with `row_number` 0..N-1, the same at every run.
 
-    Rows are dealt by a hash of `by` and of a second key into buckets; a bucket's
-    offset is the sum of the earlier buckets' counts (a table of `buckets` rows),
-    the rest is a row_number inside the bucket. Rows that agree in all keys are
-    interchangeable.
+    Rows are dealt by the hash `by` into buckets; a bucket's offset is the sum of
+    the earlier buckets' counts (a table of `buckets` rows), the rest is a
+    row_number inside the bucket, by that hash and the columns whose names start
+    with `order`. Rows that agree in all of them are interchangeable.
     """
-    w = Window.partitionBy("_bucket").orderBy("_h", *[c for c in df.columns if c.startswith("_order")])
+    w = Window.partitionBy("_bucket").orderBy("_h", *[c for c in df.columns if c.startswith("order")])
     keyed = df.withColumn("_h", by).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"))
@@ -61,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_
     computable. size = UTF-8 bytes of the text (null: 0) + 16; text_crc32 of a
     null text is 0. Null ids, repeated rows and empty tables are fine: identical
     rows are interchangeable, an empty table gives no row. Columns of docs named
-    like a result are replaced. The hashed order spreads copies of one text.
+    like a result are replaced, all others stay. The hashed order spreads copies of one text.
     A heavy repeat of one identical (id, text) row shares a bucket and is
     numbered by a spilling sort.
     """
@@ -69,18 +69,20 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_
     rows = docs.count()
     buckets = max(16, -(-rows // ROWS_A_BUCKET))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.drop(*[c for c in out if c not in (id_col, text_col)])
-    d = d.withColumns({"size": (F.octet_length(text) + 16).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
-    d = d.withColumns({"_order1": F.col(id_col), "_order2": F.col("text_crc32"), "_order3": F.col("size")})
-    d = number_rows(d, F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col("text_crc32"), F.col("size")), buckets)
+    kept = F.struct(*[c for c in docs.columns if c not in out or c in (id_col, text_col)]).alias("doc")
+    d = docs.select(kept, F.col(id_col).alias("order1"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("order2"))
+    d = number_rows(d.withColumn("order3", F.col("size")), F.xxhash64(F.lit(seed), F.col("order1").cast("string"), F.col("order2"), F.col("size")), buckets)
     once, perm = feistel(F.col("row_number"), max(1, rows), seed)
-    d = d.withColumn("_once", once).withColumn("_p", perm)
-    return d.withColumns({
-        "law": F.lit("rows"),
-        "shard": F.pmod("_p", F.lit(shards)).cast("int"),
-        "slot": F.floor(F.col("_p") / shards).cast("long"),
-        "grown_shard": F.lit(None).cast("int"),
-    }).drop("_once", "_p", "row_number", "_order1", "_order2", "_order3")
+    d = d.withColumn("_once", once).withColumn("p", perm)
+    return d.select(
+        "doc.*",
+        "size",
+        F.col("order2").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.pmod("p", F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("p") / shards).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
