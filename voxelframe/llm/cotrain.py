@@ -14,7 +14,7 @@ from .shared import stored
 
 #: Labelled rows that the classifiers are fitted on at most (least hash first), and pseudo-labels that one view gives the other a round and class.
 LABELLED, GIVEN, ROUNDS = 20_000, 500, 3
-TEXT, META = 96, 40
+TEXT, META = 272, 40
 STYLE = 16
 #: A pseudo-label needs at least this confidence.
 SURE = 0.9
@@ -41,7 +41,7 @@ def text_features(text: bytes | None) -> np.ndarray:
     v[0] = np.log1p(len(words)) / 10
     v[1] = len(first) / len(words)
     v[2] = max(first.values()) / len(words)
-    v[3] = size / len(words) / 10
+    v[3] = np.log1p(size / len(words)) / 2
     v[4] = np.log1p(len(lines)) / 5
     v[5] = len(set(lines)) / len(lines)
     v[6] = kinds[48:58].sum() * 5
@@ -74,7 +74,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, m): both views of every whole text, 272 bytes a document."""
+    """(doc_id, t, m): both views of every whole text, 624 bytes a document."""
     cols = ["doc_id", F.col("text").cast("binary").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
     return docs.select(*cols).mapInArrow(_features, f"doc_id {dict(docs.dtypes)['doc_id']}, t binary, m binary")
 
@@ -130,8 +130,9 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
     Each round both views score all documents, and each gives the other its most
     confident pseudo-labels (at most `given` a class and round, above SURE) among
     the unlabelled. Calibrated margins are then combined by a third regression and
-    score every document. Texts are read once, for the features; the rounds scan
-    272 bytes a document. Null texts and metadata have features of their own; a
+    score every document. Texts are read once, for the features, which are bounded
+    however long a text or word is; the rounds scan 624 bytes a document. Ties in
+    confidence fall to a hash of the id, then the id; repeated rows are scored each. Null texts and metadata have features of their own; a
     label without a document or with null quality is ignored, repeated labels of a
     document count by their mean, rounded; with labels of one class only, or none,
     every score is that class's (none: 0.5).
