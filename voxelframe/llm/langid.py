@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 BINS = 1 << 15
 #: More learned languages than this raise an error: the model (BINS x languages) is broadcast.
 MOST_LANGUAGES = 512
-EM_ROUNDS = 12
+#: EM ends when no proportion moves by more than SETTLED; a text that takes so many rounds is used as it stands.
+EM_ROUNDS, SETTLED = 500, 1e-4
 #: A language joins the set if it raises the log-likelihood by more than this times ln(n-grams).
 PENALTY = 3.0
 
@@ -52,7 +53,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (BINS x languages) from (lang, text); counts cover every row and are summed before and after the shuffle."""
+    """Languages and log-probabilities (BINS x languages) from (lang, text).
+
+    Counts cover every row, repeated ones each time, and are summed before and after
+    the shuffle; at most BINS x languages sums reach the driver, whatever the input.
+    Rows with a null language or text are left out; without any, no language is learned.
+    """
     rows = labelled.where("lang is not null and text is not null").select("lang", F.col("text").cast("binary").alias("text"))
     counts = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).cache()
     langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
@@ -72,7 +78,9 @@ def mixture(p: np.ndarray, n: np.ndarray, chosen: list[int]) -> tuple[float, np.
     w = np.full(len(chosen), 1 / len(chosen))
     total = n.sum()
     for _ in range(EM_ROUNDS if len(chosen) > 1 else 0):
-        w = w * ((n / (q @ w)) @ q) / total
+        was, w = w, w * ((n / (q @ w)) @ q) / total
+        if np.abs(w - was).max() < SETTLED:
+            break
     return float(n @ np.log(q @ w)), w
 
 
@@ -95,8 +103,9 @@ def infer(logp: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[int, float
         if more - ll <= cost:
             break
         chosen, ll, w = [*chosen, j], more, v
-    k = int(w.argmax())
-    return chosen[k], float(w[k]), ll / total
+    top = w.max()
+    k = min(j for j, x in zip(chosen, w, strict=True) if x == top)
+    return k, float(top), ll / total
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text_col: str = "text") -> DataFrame:
