@@ -127,6 +127,42 @@ def op8_base(docs):
     return {i: (crc(i) % 7 == 2, len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in tokens.items()}
 
 
+def tokens(t):
+    return words(lower_az(t or "")) + [""]
+
+
+def word_counts(docs):
+    return dict(Counter(w for _, t in docs for w in tokens(t)))
+
+
+def class_model(train, test, of, k):
+    """Class counts and log10 probabilities of texts, from words' counts and classes; words seen once stand for new ones too."""
+    n = np.zeros((k + 1, k + 1))
+    once = {w for w, (c, _) in of.items() if c == 1}
+    for _, t in train:
+        ws = tokens(t)
+        for a, b in zip([""] + ws, ws):
+            x, y = of[a][1], of[b][1]
+            n[x, y] += 1
+            n[k, y] += a in once
+            n[x, k] += b in once
+            n[k, k] += a in once and b in once
+    size = np.zeros(k + 1)
+    for c, x in of.values():
+        size[x] += c
+    share = (size + 1) / (size + 1).sum()
+    new = max(1, len(once))
+    out = []
+    for i, t in test:
+        ws, total = tokens(t), 0.0
+        for a, b in zip([""] + ws, ws):
+            x, y = (of[w][1] if w in of else k for w in (a, b))
+            total += math.log10((n[x, y] + share[y]) / (n[x].sum() + 1))
+            total += math.log10(of[b][0] / size[y] if b in of else 1 / new)
+        out.append((i, total))
+    return n, out
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 

@@ -250,6 +250,22 @@ def test_class_gains_are_the_likelihood_s():
             assert got[to] - got[of[i]] == pytest.approx(classlm.likelihood(joint(moved)) - classlm.likelihood(now), abs=1e-6)
 
 
+@pytest.mark.parametrize("head", [60, 100_000])
+def test_class_scores_equal_a_plain_model(spark, docs, head):
+    """Every class count and score follows from the words' classes; every exchange raised the likelihood; words beyond the head have classes too."""
+    train, test = docs[:60], [*docs[60:75], (-1, None), (-2, ""), (-3, "zzz yyy zzz"), (-4, docs[0][1]), (-4, docs[0][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    m = classlm.learn(frame(train).select("text"), classes=5, head=head)
+    of = {bytes(r.word).decode(): (r.n, r.c) for r in m.counts.collect()}
+    assert {w: n for w, (n, _) in of.items()} == brute.word_counts(train) and {c for _, c in of.values()} <= set(range(5))
+    assert all(a < b for a, b in zip(m.rising, m.rising[1:])) and len(m.rising) > 1
+    joint, want = brute.class_model(train, test, of, 5)
+    assert np.array_equal(m.n, joint)
+    got = sorted((r.doc_id, r.score) for r in classlm.score(frame(test), m).collect())
+    for (i, a), (j, b) in zip(got, sorted(want), strict=True):
+        assert i == j and a == pytest.approx(b, rel=1e-9)
+
+
 def test_fingerprints_are_spark_s(spark):
     words = [b"", b"a", b"word", "größe".encode(), b"x" * 100]
     got = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "i int, w binary").selectExpr("i", "xxhash64(w) h").collect()

@@ -11,14 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTES_LOWER, dropped, stored
+from .shared import BYTES_LOWER, dropped, mix64, stored
 
 #: Classes of a small vocabulary; a larger one gets the cube root of its words, so that the class table stays below the vocabulary.
 CLASSES = 48
-EXCHANGES = 6
+#: Exchanges end by SETTLED, the least rise of the classes' mutual information; this bound is for callers.
+EXCHANGES, SETTLED = 100, 0.01
 #: Of the words that gain, one in so many moves at once; the next share is tried where the last lowered the likelihood, then the best word alone.
 SHARES = (2, 8, 32)
-#: Words whose counts each Python worker holds; the others meet their counts in a shuffled join.
+#: Words that each Python worker holds; the others meet their counts and classes in shuffles.
 HEAD = 100_000
 #: The end of a text counts as a token; an empty string is no word.
 END = b""
@@ -62,59 +63,137 @@ def fingerprint(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, seed=42)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring words (fingerprints l, r), summed over many texts before they leave the worker."""
-    ids: dict[bytes, int] = {}
-    kept: list[np.ndarray] = []
+def _pairs(shared):
+    """(w, side, c, n): of each word of the head, or of -1 for all others, the head's words beside it and how often; side 0 before, 1 after. Summed over many texts before they leave the worker; a word of no place in the head counts as the last one."""
 
-    def flush() -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(kept), return_counts=True)
-        name = np.fromiter(map(fingerprint, ids), np.uint64, len(ids)).view(np.int64)
-        kept.clear(), ids.clear()
-        return pa.RecordBatch.from_arrays([pa.array(name[code >> 31]), pa.array(name[code & (2**31 - 1)]), pa.array(n)], names=["l", "r", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        get, other = ids.get, len(ids)
+        kept: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, n = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            l, r = code >> 32, code & (2**32 - 1)
+            for side, w, c in ((1, l, r), (0, r, l)):
+                order = np.arange(len(w)) if side else np.lexsort((c, w))
+                w, c, m = w[order], c[order], n[order]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                own = w[first] < other
+                at = pa.array(np.append(first, len(w)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (c, m)]
+                out = pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), pa.array(np.full(len(first), side, np.int8)), *lists], names=["w", "side", "c", "n"])
+                yield out if own.all() else out.filter(pa.array(own))
+
+        size = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                x = np.fromiter((get(w, other) for w in split(text)), np.int64)
+                kept.append((np.r_[x[-1], x[:-1]] << 32) | x)  # the last token is END, and so is what stands before the first
+                size += len(x)
+                if size > TOKENS:
+                    yield from flush()
+                    size = 0
+        if kept:
+            yield from flush()
 
-    size = 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            x = np.fromiter((ids.setdefault(w, len(ids)) for w in split(text)), np.int64)
-            kept.append((np.r_[x[-1], x[:-1]] << 31) | x)  # the last token is END, and so is what stands before the first
-            size += len(x)
-            if size > TOKENS:
-                yield flush()
-                size = 0
-    if kept:
-        yield flush()
+    return run
 
 
-def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Of a batch of (w, c, x): words, their classes, and of each entry its row, side (0 before, 1 after, 2 beside itself), class and count."""
-    x = batch.column(2)
-    at, entry = x.offsets.to_numpy(), x.values
-    side, c, n = (entry.field(i).to_numpy()[at[0] : at[-1]] for i in range(3))
-    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.repeat(np.arange(len(batch)), np.diff(at)), side, c, n.astype(float)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by w → one row a word: (w, cb, nb, ca, na), the words before and after it, summed; the last word is carried over."""
+    held = None
 
+    def out(w, side, c, n):
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        which = np.cumsum(np.append(False, w[1:] != w[:-1]))
+        lists = []
+        for s in (0, 1):
+            on = side == s
+            at = pa.array(np.append(0, np.cumsum(np.bincount(which[on], minlength=len(first)))).astype(np.int32))
+            lists += [pa.ListArray.from_arrays(at, pa.array(x[on].astype(np.int32))) for x in (c, n)]
+        return pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), *lists], names=["w", "cb", "nb", "ca", "na"])
 
-def _joint(k: int, unseen: bool):
-    """Counts of neighbouring classes. With `unseen`, a word seen once also counts as one of class k: what new words come after and before."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        at = batch.column(2).offsets.to_numpy()
+        row = np.repeat(np.arange(len(batch)), np.diff(at))
+        x = (batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], *(batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (2, 3)))
+        if held is not None:
+            x = tuple(np.concatenate(p) for p in zip(held, x, strict=True))
+        order = np.lexsort((x[2], x[1], x[0]))
+        w, side, c, n = (v[order] for v in x)
+        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (side[1:] != side[:-1]) | (c[1:] != c[:-1])))
+        x = (w[first], side[first], c[first], np.add.reduceat(n.astype(np.int64), first))
+        tail = x[0] == x[0][-1]
+        held = tuple(v[tail] for v in x)
+        if not tail.all():
+            yield out(*(v[~tail] for v in x))
+    if held is not None:
+        yield out(*held)
+
+
+def _sides(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (w, cb, nb, ca, na): side, and of each of its entries the row, the neighbour and the count."""
+    for side, i in ((0, 1), (1, 3)):
+        at = batch.column(i).offsets.to_numpy()
+        c, n = (batch.column(j).values.to_numpy()[at[0] : at[-1]] for j in (i, i + 1))
+        yield side, np.repeat(np.arange(len(batch)), np.diff(at)), c, n
+
+
+def _matrix(out: np.ndarray) -> pa.RecordBatch:
+    l, r = np.nonzero(out)
+    return pa.RecordBatch.from_arrays([pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(out[l, r])], names=["l", "r", "n"])
+
+
+def _joint(shared, k: int):
+    """Counts of neighbouring classes under an assignment of the head, over all pairs but those of two words outside it. With `once`, a word seen once also counts as one of class k: what new words come after and before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((k + 1, k + 1))
+        cls, once = shared.value
+        other, k1 = len(cls) - 1, k + 1
+        out = np.zeros((k1, k1))
+
+        def add(l, r, n):
+            out.reshape(-1)[:] += np.bincount(l.astype(np.int64) * k1 + r, n, k1 * k1)
+
         for batch in batches:
-            _, a, row, side, c, n = _lists(batch)
-            own, before = side == 2, side == 0
-            np.add.at(out, (c[before], a[row[before]]), n[before])
-            np.add.at(out, (a[row[own]], a[row[own]]), n[own])
-            if unseen:
-                once = np.bincount(row[side != 1], n[side != 1], len(a)) == 1
-                was, then = before & once[row], (side == 1) & once[row]
-                np.add.at(out[:, k], c[was], n[was])
-                np.add.at(out[k], c[then], n[then])
-        l, r = np.nonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(out[l, r])], names=["l", "r", "n"])
+            w = batch.column(0).to_numpy()
+            for side, row, c, n in _sides(batch):
+                mine, beside = cls[w[row]], cls[c]
+                if side == 0:  # all pairs that end in the head
+                    add(beside, mine, n)
+                else:  # pairs that begin in the head and end outside
+                    rest = c == other
+                    add(mine[rest], beside[rest], n[rest])
+                if once is not None:
+                    new = once[w[row]]
+                    none = np.full(int(new.sum()), k)
+                    add(*((beside[new], none) if side == 0 else (none, beside[new])), n[new])
+                    if side == 0:
+                        both = new & once[c]
+                        out[k, k] += n[both].sum()
+        yield _matrix(out)
 
     return run
 
 
+def _beside(cls: np.ndarray, k: int, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Rows of one word each (w, cb, nb, ca, na) → words, their classes, and entries (row, side, class, count) in order of row; side 2 is the word beside itself."""
+    w = batch.column(0).to_numpy()
+    parts = []
+    for side, row, c, n in _sides(batch):
+        own = c == w[row]
+        if side:
+            parts.append((row[own], np.full(own.sum(), 2), np.full(own.sum(), -1), n[own]))
+        code, which = np.unique(row[~own] * (k + 1) + cls[c[~own]], return_inverse=True)
+        parts.append((code // (k + 1), np.full(len(code), side), code % (k + 1), np.bincount(which, n[~own], len(code))))
+    row, side, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    return w, cls[w], row[order], side[order], c[order], n[order].astype(float)
+
+
 def xlog(v: np.ndarray) -> np.ndarray:
     return v * np.log(np.maximum(v, 1e-300))
 
@@ -161,53 +240,153 @@ def gains(n: np.ndarray, table: np.ndarray, a: np.ndarray, row: np.ndarray, side
     return total
 
 
+def rises(n: np.ndarray) -> np.ndarray:
+    return np.stack([[_rise(g, float(v)) for v in range(1, LEVELS + 1)] for g in (n, n.T)])
+
+
+def best_classes(n: np.ndarray, table: np.ndarray, a: np.ndarray, row: np.ndarray, side: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word (of class a; entries in order of row) the class that raises the likelihood most, and the gain of moving there. The last class takes none."""
+    # Blocks of words, so that entries x classes stay within a few MB.
+    ends = np.searchsorted(row, np.arange(len(a) + 1))
+    best, gain, start = a.copy(), np.zeros(len(a)), 0
+    while start < len(a):
+        end = max(start + 1, min(start + 1_000, int(np.searchsorted(ends, ends[start] + 10_000, "right")) - 1))
+        x = slice(ends[start], ends[end])
+        g = gains(n, table, a[start:end], row[x] - start, side[x], c[x], v[x])
+        g[:, -1] = -np.inf if len(n) > 1 else 0
+        at, here = g.argmax(1), np.arange(end - start)
+        best[start:end] = at
+        gain[start:end] = g[here, at] - g[here, a[start:end]]
+        start = end
+    return best, gain
+
+
 def _moves(shared):
-    """For each word the class that raises the class likelihood most, and the gain of moving there."""
+    """For each clustered word of the head the class to move to, and the gain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, n = shared.value
+        k, table = len(n) - 1, rises(n)
+        for batch in batches:
+            w = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(cls[w] < k))
+            if len(batch):
+                w, a, *entries = _beside(cls, k, batch)
+                best, gain = best_classes(n, table, a, *entries)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(best.astype(np.int32)), pa.array(gain)], names=["w", "best", "gain"])
+
+    return run
+
+
+def _tail(shared, k: int):
+    """(word, code, n, prev): of each word outside the head the classes beside it (side x (k + 1) + class) and how often, and the fingerprints of words before it that are outside the head too; summed over many texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, cls = shared.value
+        get, other = ids.get, len(ids)
+        place: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        prev: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            row = code >> 32
+            at = np.append(0, np.cumsum(np.bincount(row, minlength=len(place)))).astype(np.int32)
+            before = np.array(sorted(prev), np.int64).reshape(-1, 2)
+            to = np.append(0, np.cumsum(np.bincount(before[:, 0], minlength=len(place)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(x)) for o, x in ((at, (code & (2**32 - 1)).astype(np.int32)), (at, n.astype(np.int32)), (to, before[:, 1]))]
+            out = pa.RecordBatch.from_arrays([pa.array(list(place), pa.binary()), *lists], names=["word", "code", "n", "prev"])
+            place.clear(), codes.clear(), prev.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = split(text)
+                x = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+                t = np.flatnonzero(x == other)
+                if not len(t):
+                    continue
+                c = cls[x].astype(np.int64)
+                row = np.fromiter((place.setdefault(words[i], len(place)) for i in t.tolist()), np.int64, len(t)) << 32
+                codes += [row | c[t - 1], row | (k + 1 + c[t + 1])]
+                for i in np.flatnonzero(x[t - 1] == other).tolist():
+                    h = fingerprint(words[t[i] - 1])
+                    prev.append((int(row[i] >> 32), h - (1 << 64) if h >> 63 else h))
+                if len(place) > FLUSH:
+                    yield flush()
+        if place:
+            yield flush()
+
+    return run
+
+
+def _assigned(shared):
+    """Of words outside the head, all in the last class so far, the best class: (word, count, c, code, n, prev)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shared.value
-        k = len(n) - 1
-        table = np.stack([[_rise(g, float(v)) for v in range(1, LEVELS + 1)] for g in (n, n.T)])
+        k, table = len(n) - 1, rises(n)
         for batch in batches:
-            w, a, row, side, c, v = _lists(batch)
-            # Blocks of words, so that entries x classes stay within a few MB.
-            ends = np.searchsorted(row, np.arange(len(w) + 1))
-            best, gain, start = a.copy(), np.zeros(len(w)), 0
-            while start < len(w):
-                end = max(start + 1, min(start + 1_000, int(np.searchsorted(ends, ends[start] + 10_000, "right")) - 1))
-                x = slice(ends[start], ends[end])
-                order = np.argsort(row[x], kind="stable")
-                g = gains(n, table, a[start:end], row[x][order] - start, side[x][order], c[x][order], v[x][order])
-                g[:, k] = -np.inf  # the class of all other words takes none
-                at = g.argmax(1)
-                here = np.arange(end - start)
-                better = a[start:end] < k
-                best[start:end] = np.where(better, at, k)
-                gain[start:end][better] = (g[here, at] - g[here, a[start:end]])[better]
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(a), pa.array(best.astype(np.int32)), pa.array(gain)], names=["w", "c", "best", "gain"])
+            if not len(batch):
+                continue
+            at = batch.column(1).offsets.to_numpy()
+            code, m = (batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (1, 2))
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            key, which = np.unique(row * (2 * k + 2) + code, return_inverse=True)
+            v = np.bincount(which, m, len(key))
+            row, code = key // (2 * k + 2), key % (2 * k + 2)
+            best, _ = best_classes(n, table, np.full(len(batch), k), row, code // (k + 1), code % (k + 1), v)
+            count = np.bincount(row[code <= k], v[code <= k], len(batch)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(best.astype(np.int32)), *batch.columns[1:]], names=["word", "count", "c", "code", "n", "prev"])
+
+    return run
+
+
+def _tail_joint(k: int):
+    """What pairs of a word outside the head (of class c) and one of the head give; a word seen once also counts as one of class k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            count, c = (batch.column(i).to_numpy() for i in (0, 1))
+            at = batch.column(2).offsets.to_numpy()
+            code, n = (batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (2, 3))
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            side, f = code // (k + 1), code % (k + 1)
+            for s in (0, 1):
+                for mine, on in ((c[row], (side == s) & (f < k)), (np.full(len(row), k), (side == s) & (f < k) & (count[row] == 1))):
+                    l, r = (f, mine) if s == 0 else (mine, f)
+                    out += np.bincount(l[on].astype(np.int64) * (k + 1) + r[on], n[on], (k + 1) ** 2).reshape(k + 1, k + 1)
+        yield _matrix(out)
 
     return run
 
 
 class Model:
-    """What scoring needs: totals, the head's words, classes and transitions, and the table of all words' counts and classes. `unseen`: places of new words."""
+    """What scoring needs: totals, the head's words, classes and transitions, and the table of all words' counts and classes. `unseen`: places of new words. `rising`: the likelihood after each exchange."""
 
-    def __init__(self, counts: DataFrame, tokens: int, distinct: int, clustered: int, unseen: int, head: list, n: np.ndarray, in_class: np.ndarray):
-        self.counts, self.tokens, self.distinct, self.clustered, self.unseen, self.head, self.n, self.in_class = counts, tokens, distinct, clustered, unseen, head, n, in_class
+    def __init__(self, counts: DataFrame, tokens: int, distinct: int, clustered: int, unseen: int, head: list, n: np.ndarray, in_class: np.ndarray, rising: tuple = ()):
+        self.counts, self.tokens, self.distinct, self.clustered, self.unseen, self.head, self.n, self.in_class, self.rising = counts, tokens, distinct, clustered, unseen, head, n, in_class, rising
 
 
 def learn(texts: DataFrame, clustered: int | None = None, classes: int | None = None, head: int = HEAD, exchanges: int = EXCHANGES) -> Model:
     """Fit on texts(text). Word and pair counts cover every token and are summed on the workers before the shuffle.
 
     All words are clustered, or the `clustered` most frequent ones; the number of
-    classes grows with them. Counts, pairs and assignments are tables, met in joins;
-    only the class counts (classes squared) and the head go to the driver. Every
-    exchange gives all words their best class in parallel and moves a share of
-    those that gain. Where that does not raise the likelihood, a smaller share is
-    tried, at last the best word alone, which always raises it.
+    classes grows with them. The head, at most `head` words, is what a worker holds
+    in memory. Its words are exchanged in turns: all get their best class in
+    parallel, given the classes beside them, and a share of those that gain moves;
+    where that does not raise the likelihood, a smaller share is tried, at last the
+    best word alone, which always raises it. Turns end when they raise the classes'
+    mutual information by less than a SETTLED-th. Then every other word of the
+    vocabulary, however many there are, gets its best class given the classes beside
+    it, and its counts join the class counts. Neighbours are tables of one row a
+    word; only class counts (classes squared) and one class a head word reach the
+    driver. Repeated texts count each time; null texts count as empty ones; words of
+    equal counts fall to code point order; without tokens there is no class.
     """
     spark = texts.sparkSession
+    share_out = spark.sparkContext.broadcast
     t = texts.select(F.col("text").cast("binary").alias("t"))
     counts = stored(t.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
@@ -222,68 +401,76 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
             break
         floor_ = r.level
     in_head = (F.col("word") == F.lit(bytearray(END))) | (F.lit(False) if floor_ is None else level >= floor_)
-    m = total.v
-    all_ = counts.select("word", "n", F.xxhash64("word").alias("w"))
-    if clustered is not None and clustered < m:
-        top = sorted(((bytes(r.word), r.n) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
-        words = dict(top[:clustered]) | {END: dict(top)[END]}
-        m = len(words)
-        own = F.broadcast(spark.createDataFrame([(bytearray(w), True) for w in words], "word binary, own boolean"))
-        all_ = all_.join(own, "word", "left")
-    else:
-        all_ = all_.withColumn("own", F.lit(True))
+    top = sorted(((bytes(r.word), r.n) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
+    words, count = [w for w, _ in top], np.array([c for _, c in top], np.int64)
+    every = clustered is None or clustered >= total.v
+    m = total.v if every else len({*words[:clustered], END})
     k = max(1, min(classes or max(CLASSES, int(np.ceil(m ** (1 / 3)))), m))
-    pairs = stored(t.mapInArrow(_pairs, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n")))
-    of = stored(all_.select("w", F.when(F.col("own"), F.pmod("w", F.lit(k))).otherwise(k).cast("int").alias("c")).dropDuplicates(["w"]))
-
-    def beside(of: DataFrame) -> DataFrame:
-        """(w, c, x): each word's class and the counts of the classes next to it, at most two entries a class."""
-        apart = pairs.where("l <> r")
-        sides = [apart.join(of.withColumnRenamed("w", a), a).groupBy(F.col(b).alias("w"), "c").agg(F.sum("n").alias("n")).select("w", F.lit(s).alias("side"), "c", "n") for s, a, b in ((0, "l", "r"), (1, "r", "l"))]
-        own = pairs.where("l = r").select(F.col("l").alias("w"), F.lit(2).alias("side"), F.lit(-1).alias("c"), "n")
-        x = sides[0].unionAll(sides[1]).unionAll(own).groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("x"))
-        out = stored(of.join(x, "w").select("w", "c", "x"))
-        spark.sparkContext._jvm.System.gc()  # lets go of the shuffled files of past exchanges
-        return out
-
-    def joint(near: DataFrame, unseen: bool = False) -> np.ndarray:
+    # The last place is all other words, the last class what is in no other.
+    cls = np.array([fingerprint(w) % k if every or i < clustered or w == END else k for i, w in enumerate(words)] + [k], np.int32)
+    ids = share_out({w: i for i, w in enumerate(words)})
+    pairs = t.mapInArrow(_pairs(ids), "w int, side byte, c array<int>, n array<int>").repartition("w").sortWithinPartitions("w")
+    pairs = stored(pairs.mapInArrow(_merged, "w int, cb array<int>, nb array<int>, ca array<int>, na array<int>"))
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffled files
+
+    def summed(parts: DataFrame) -> np.ndarray:
         out = np.zeros((k + 1, k + 1))
-        for r in near.mapInArrow(_joint(k, unseen), "l int, r int, n double").groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
+        for r in parts.groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
             out[r.l, r.r] = r.n
         return out
 
-    near = beside(of)
-    n = joint(near)
+    def joint(cls: np.ndarray, once: np.ndarray | None = None) -> np.ndarray:
+        out = summed(pairs.mapInArrow(_joint(share_out((cls, once)), k), "l int, r int, n double"))
+        if once is None:
+            out[k, k] += total.n - out.sum()  # pairs of two words outside the head
+        return out
+
+    n = joint(cls)
+    rising = [likelihood(n)]
     for turn in range(exchanges):
-        moves = stored(near.mapInArrow(_moves(spark.sparkContext.broadcast(n)), "w long, c int, best int, gain double"))
-        gaining = F.col("gain") > 1e-6
-        found = moves.where(gaining).agg(F.count(F.lit(1)).alias("n"), F.max_by("w", F.struct("gain", "w")).alias("w")).first()
-        raised = False
-        for share in (*(SHARES if found.n >= 20 else (1,)), 0) if found.n else ():
-            go = gaining & (F.pmod(F.xxhash64("w", F.lit(turn)), F.lit(share)) == 0 if share else F.col("w") == found.w)
-            new = stored(moves.select("w", F.when(go, F.col("best")).otherwise(F.col("c")).alias("c")))
-            after = beside(new)
-            n_after = joint(after)
-            raised = likelihood(n_after) > likelihood(n)
-            if raised:
-                dropped(of), dropped(near)
-                of, near, n = new, after, n_after
+        found = pairs.mapInArrow(_moves(share_out((cls, n))), "w int, best int, gain double").where("gain > 1e-6").toArrow()
+        w, best, gain = (found.column(i).to_numpy() for i in range(3))
+        deal = mix64(w.astype(np.uint64) ^ np.uint64(turn << 32))
+        for share in (*(SHARES if len(w) >= 20 else (1,)), 0) if len(w) else ():
+            go = deal % np.uint64(share) == 0 if share else np.arange(len(w)) == gain.argmax()
+            new = cls.copy()
+            new[w[go]] = best[go]
+            after = joint(new)
+            if likelihood(after) > rising[-1]:
+                cls, n = new, after
+                rising.append(likelihood(n))
                 break
-            dropped(new), dropped(after)
-        dropped(moves)
-        if not raised:
+        else:
+            break
+        if rising[-1] - rising[-2] < SETTLED * (rising[-1] + float(xlog(np.array(n.sum())))):
             break
-    if m == total.v:
-        n = joint(near, unseen=True)
-        once = all_.where("n = 1").select("w")
-        n[k, k] = pairs.where("n = 1").join(once.withColumnRenamed("w", "l"), "l", "left_semi").join(once.withColumnRenamed("w", "r"), "r", "left_semi").count()
-    dropped(near), dropped(pairs)
-    counts = stored(all_.join(of, "w").select("word", "n", "c"))
+    in_tail = total.v - len(words)
+    if every and in_tail:
+        beside = t.mapInArrow(_tail(share_out((ids.value, cls)), k), "word binary, code array<int>, n array<int>, prev array<long>")
+        beside = beside.groupBy("word").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("code", "n", "prev")])
+        rest = stored(beside.mapInArrow(_assigned(share_out(n)), "word binary, count long, c int, code array<int>, n array<int>, prev array<long>"))
+        n[k], n[:, k] = 0, 0
+        n += summed(rest.select("count", "c", "code", "n").mapInArrow(_tail_joint(k), "l int, r int, n double"))
+        last = rest.select(F.xxhash64("word").alias("p"), F.col("c").alias("l"), (F.col("count") == 1).alias("lo"))
+        both = rest.select(F.explode("prev").alias("p"), F.col("c").alias("r"), (F.col("count") == 1).alias("ro")).groupBy("p", "r", "ro").count()
+        for r in both.join(last, "p").groupBy("l", "lo", "r", "ro").agg(F.sum("count").alias("n")).collect():
+            n[r.l, r.r] += r.n
+            n[k, r.r] += r.n * r.lo
+            n[r.l, k] += r.n * r.ro
+            n[k, k] += r.n * (r.lo and r.ro)
+        tail = rest.select("word", F.col("count").alias("n"), "c")
+    elif every:
+        n = joint(cls, np.append(count == 1, False))
+        tail = None
+    else:
+        tail = counts.where(~in_head).select("word", "n", F.lit(k).alias("c"))
+    dropped(pairs)
+    known = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "n": pa.array(count), "c": pa.array(cls[:-1])}))
+    counts = stored(known if tail is None else known.unionByName(tail))
     in_class = np.zeros(k + 1)
     for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect():
         in_class[r.c] = r.n
-    top = sorted(((bytes(r.word), r.n, r.c) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
-    return Model(counts, total.n, total.v, m, max(1, total.once) if m == total.v else 1, top, n, in_class)
+    return Model(counts, total.n, total.v, m, max(1, total.once) if every else 1, [(w, int(x), int(c)) for w, x, c in zip(words, count, cls, strict=False)], n, in_class, tuple(rising))
 
 
 def likelihood(n: np.ndarray) -> float:
