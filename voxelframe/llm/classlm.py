@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def _pairs(shared):
             kept.clear()
             l, r = code >> 32, code & (2**32 - 1)
             for side, w, c in ((1, l, r), (0, r, l)):
-                order = np.arange(len(w)) if side else np.lexsort((c, w))
+                order = np.arange(len(w)) if side else np.argsort((w << 32) | c)
                 w, c, m = w[order], c[order], n[order]
                 first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 own = w[first] < other
@@ -88,7 +89,8 @@ def _pairs(shared):
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                x = np.fromiter((get(w, other) for w in split(text)), np.int64)
+                words = split(text)
+                x = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
                 kept.append((np.r_[x[-1], x[:-1]] << 32) | x)  # the last token is END, and so is what stands before the first
                 size += len(x)
                 if size > TOKENS:
@@ -187,8 +189,9 @@ def _beside(cls: np.ndarray, k: int, batch: pa.RecordBatch) -> tuple[np.ndarray,
         own = c == w[row]
         if side:
             parts.append((row[own], np.full(own.sum(), 2), np.full(own.sum(), -1), n[own]))
-        code, which = np.unique(row[~own] * (k + 1) + cls[c[~own]], return_inverse=True)
-        parts.append((code // (k + 1), np.full(len(code), side), code % (k + 1), np.bincount(which, n[~own], len(code))))
+        sums = np.bincount(row[~own] * (k + 1) + cls[c[~own]], n[~own], len(w) * (k + 1))
+        code = np.flatnonzero(sums)
+        parts.append((code // (k + 1), np.full(len(code), side), code % (k + 1), sums[code]))
     row, side, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(row, kind="stable")
     return w, cls[w], row[order], side[order], c[order], n[order].astype(float)
@@ -216,16 +219,24 @@ def gains(n: np.ndarray, table: np.ndarray, a: np.ndarray, row: np.ndarray, side
         i, f, x = row[on], c[on], v[on]
         if not len(i):
             continue
-        level = np.clip(x.astype(int), 1, LEVELS) - 1
-        g = table[s, level, f]
-        far = x > LEVELS
-        g[far] = _rise(grid[f[far]], x[far, None])
-        home = f == a[i]  # the word's own class has lost its counts
-        g[home] = _rise(grid[f[home]] - other[i[home]], x[home, None])
-        at = a[i]
-        g[np.arange(len(i)), at] = _rise(grid[f, at] - mine[i, f] - home * (other[i, at] + own[i]), x)
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        total[i[first]] += np.add.reduceat(g, first, axis=0)
+        level, at = np.clip(x.astype(int), 1, LEVELS) - 1, a[i]
+        home = f == at  # the word's own class has lost its counts
+        plain = ~home & (x <= LEVELS)
+        # Tabulated rises are summed in one product: how often a word has (level, class) beside it.
+        code = level[plain] * k1 + f[plain]
+        used, which = np.unique(code, return_inverse=True)
+        often = np.bincount(i[plain] * max(1, len(used)) + which, minlength=m * max(1, len(used))).reshape(m, -1)
+        if len(used):
+            total += often @ table[s].reshape(-1, k1)[used]
+        j, y = i[~plain], f[~plain]
+        rest = _rise(grid[y] - home[~plain, None] * other[j], x[~plain, None])
+        if len(rest):
+            first = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+            total[j[first]] += np.add.reduceat(rest, first, axis=0)
+        was = np.where(plain, table[s, level, f, at], 0.0)
+        was[~plain] = rest[np.arange(len(rest)), at[~plain]]
+        now = _rise(grid[f, at] - mine[i, f] - home * (other[i, at] + own[i]), x)
+        total[every, a] += np.bincount(i, now - was, m)
     # Where both of its sides or the word itself meet in one class.
     to, fro = beside
     r, f = np.nonzero(((to > 0) & (fro > 0)) | (own > 0)[:, None])
@@ -270,8 +281,8 @@ def _moves(shared):
         for batch in batches:
             w = batch.column(0).to_numpy()
             batch = batch.filter(pa.array(cls[w] < k))
-            if len(batch):
-                w, a, *entries = _beside(cls, k, batch)
+            for at in range(0, len(batch), 1_000):
+                w, a, *entries = _beside(cls, k, batch.slice(at, 1_000))
                 best, gain = best_classes(n, table, a, *entries)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(best.astype(np.int32)), pa.array(gain)], names=["w", "best", "gain"])
 
@@ -302,7 +313,7 @@ def _tail(shared, k: int):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = split(text)
-                x = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+                x = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
                 t = np.flatnonzero(x == other)
                 if not len(t):
                     continue
@@ -447,7 +458,7 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
     in_tail = total.v - len(words)
     if every and in_tail:
         beside = t.mapInArrow(_tail(share_out((ids.value, cls)), k), "word binary, code array<int>, n array<int>, prev array<long>")
-        beside = beside.groupBy("word").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("code", "n", "prev")])
+        beside = beside.repartition("word").groupBy("word").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("code", "n", "prev")])
         rest = stored(beside.mapInArrow(_assigned(share_out(n)), "word binary, count long, c int, code array<int>, n array<int>, prev array<long>"))
         n[k], n[:, k] = 0, 0
         n += summed(rest.select("count", "c", "code", "n").mapInArrow(_tail_joint(k), "l int, r int, n double"))
@@ -490,7 +501,7 @@ def _score(shared):
             cols: list[list] = [[] for _ in range(8)]
             for text in batch.column(2).to_pylist():
                 words = split(text)
-                x = np.fromiter((get(w, h) for w in words), np.int64, len(words))
+                x = np.fromiter(map(get, words, repeat(h)), np.int64, len(words))
                 c = np.where(x < h, cls[np.minimum(x, h - 1)], -1) if h else np.full(len(x), -1)
                 before = np.r_[cls[ids[END]] if h else tail, c[:-1]]
                 both = (c >= 0) & (before >= 0)
