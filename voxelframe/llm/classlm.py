@@ -411,7 +411,8 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
         if held > head:
             break
         floor_ = r.level
-    in_head = (F.col("word") == F.lit(bytearray(END))) | (F.lit(False) if floor_ is None else level >= floor_)
+    # A word seen once has no say in the exchanges; it is classed after them.
+    in_head = (F.col("word") == F.lit(bytearray(END))) | (F.lit(False) if floor_ is None else (level >= floor_) & (F.col("n") > 1))
     top = sorted(((bytes(r.word), r.n) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
     words, count = [w for w, _ in top], np.array([c for _, c in top], np.int64)
     every = clustered is None or clustered >= total.v
