@@ -12,15 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import BYTES_LOWER, WordHash, mix64, shingles, stored
+from .components import components, nodes, smallest_ids
+from .shared import BYTES_LOWER, WordHash, broadcast_if, mix64, shingles, stored
 
 #: Coordinates of a sketch (a power of two), bands and rows of a band (of the first coordinates): at similarity 0.8 a pair shares no band with probability 5e-8.
 T, BANDS, ROWS = 256, 32, 4
 #: Coordinates of the wide sketch that residual pairs are compared on, one bit of each.
 WIDE = 4096
-#: A residual pair is dropped unread if fewer bits agree; at similarity 0.8 (nine bits in ten agree) that is 4.5 standard deviations off.
-LEAST_AGREE = 3600
+#: A residual pair is dropped unread if fewer bits agree. At similarity 0.8 nine bits in ten agree: 3,570 is six standard deviations off, so such a pair is lost once in 10^9.
+LEAST_AGREE = 3570
+#: Pairs of one node that meet its full set in one task; a node of more has its set dealt to several.
+PARTNERS = 1_000
+#: Nodes of so many pairs that may be broadcast (two longs each).
+MOST_HOT = 500_000
 _EMPTY = np.uint64(2**64 - 1)
 _SEEDS = mix64(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -91,7 +95,7 @@ def _sets(k: int):
         for batch in batches:
             sets = [text_shingles(t, k, memo) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "fp", "set"]
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["least", "fp", "set"]
             )
 
     return run
@@ -119,8 +123,16 @@ def _verify(percent: int):
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.selectExpr("node b", "set sb"), "b").join(sets.selectExpr("node a", "set sa"), "a")
+    """The pairs (a, b) of a written table whose full sets have 100 * intersection >= percent * union.
+
+    The larger side is joined first; the set of a node a with very many pairs, the
+    centre of a star, is dealt to as many tasks as it has PARTNERS.
+    """
+    hot = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1"))
+    hot = broadcast_if(hot, hot.count(), MOST_HOT)
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    centre = sets.selectExpr("node a", "set sa").join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    both = dealt.join(sets.selectExpr("node b", "set sb"), "b").join(centre.select("a", "part", "sa"), ["a", "part"])
     return stored(both.select("a", "b", "sa", "sb").mapInPandas(_verify(percent), "a long, b long"))
 
 
@@ -131,19 +143,23 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     doc_id, so copies are never paired. Class names meet per band: all are paired
     with the band's smallest and largest member and verified on full sets. What a
     band's largest component leaves over is then paired with the band's members of
-    other components, if enough bits of wide sketches agree, and verified too; so no
-    link is lost and no band is expanded into all pairs. Components are named by
-    their smallest doc_id. Null or blank texts are empty sets and linked with
-    nothing. A null doc_id is linked with nothing and kept. If a doc_id has several
-    texts, the least fingerprint stands for it in comparisons.
+    other components, if enough bits of wide sketches agree, and verified too; no
+    band is expanded into all pairs. A link is lost only if its texts share no band
+    (5e-8 at similarity 0.8) or too few bits (1e-9), and no chain of other links
+    joins them. Components are named by their smallest doc_id. Null or blank texts
+    are empty sets and linked with nothing. A null doc_id is linked with nothing and
+    kept. If a doc_id has several texts, each has its own links. Repeated rows are
+    one document; texts and words may be of any length. Columns beside doc_id and
+    text are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
     text = F.col("text").cast("binary")
     rows = stored(docs.select("doc_id", text.alias("t")).mapInArrow(_sketches(k, None), f"doc_id {kind}, n_shingles long, fp binary, bands array<long>"))
     named = rows.where("fp is not null and doc_id is not null")
-    rep = stored(named.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
-    one = rep.groupBy("node").agg(F.min("fp").alias("fp"))
-    members = named.selectExpr("fp", "cast(doc_id as long) node", "n_shingles n", "bands").join(one, ["fp", "node"])
+    rep = stored(nodes(named.select(F.col("fp").alias("key"), F.col("doc_id").alias("id"))))
+    # One row a set: that of its smallest doc_id.
+    first = named.join(rep.select(F.col("key").alias("fp"), "least", "node"), "fp").where("cast(doc_id as long) = least").dropDuplicates(["fp"])
+    members = first.selectExpr("fp", "node", "n_shingles n", "bands")
     keyed = members.select("node", "n", F.posexplode("bands").alias("which", "band"))
     ends = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo < hi")
     ends = stored(ends.select("band", "lo", "hi"))
@@ -152,10 +168,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     star = shared.select("node", "n", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o").distinct().join(sizes, "o")
     star = star.where(f"100 * least(n, n_o) >= {percent} * greatest(n, n_o)")
     star = stored(star.selectExpr("least(node, o) a", "greatest(node, o) b").distinct())
-    wanted = shared.select("node").distinct().join(one, "node")
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), text.alias("t"))
-    sets = source.join(wanted.select("node"), "node", "left_semi").mapInArrow(_sets(k), "node long, fp binary, set binary")
-    sets = stored(sets.join(wanted, ["node", "fp"], "left_semi").select("node", "set").dropDuplicates(["node"]))
+    wanted = rep.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("key").alias("fp"), "least", "node")
+    source = docs.select(F.col("doc_id").cast("long").alias("least"), text.alias("t"))
+    sets = source.join(wanted.select("least"), "least", "left_semi").mapInArrow(_sets(k), "least long, fp binary, set binary")
+    sets = stored(sets.join(wanted, ["least", "fp"]).select("node", "set").dropDuplicates(["node"]))
     edges = linked(star, sets, percent)
     label = components(edges)
     # Bands whose members are not all of one component yet.
@@ -176,7 +192,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
     more = linked(rest, sets, percent)
     label = components(edges.union(more))
-    of = rep.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+    of = smallest_ids(rep, label).select(F.col("key").alias("fp"), F.col("component").alias("c"))
     out = rows.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("c"), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
