@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, nodes, smallest_ids
 from .shared import broadcast_if, stored
 
 #: Vectors that the codebooks are fitted on (a hash sample); every vector is indexed.
 SAMPLE = 20_000
 LLOYD = 8
-#: Share of neighbours at the threshold that the visited cells are to hold, seen from one side; a pair is found from either.
-RECALL = 0.98
+#: Share of neighbours at or above the threshold that the visited cells are to hold. The pair is met from its larger node's side.
+RECALL = 0.995
 #: Members and visitors of one cell that one task compares; larger cells are split.
 MEMBERS, VISITORS = 2_000, 20_000
+#: Sampled vectors that the number of visits is judged on.
+JUDGED = 4_000
 
 
 def unit_vectors(table: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -63,71 +65,117 @@ def fit(vectors: DataFrame, sample: int, codes: int, seed: int = 5) -> tuple[np.
 
 
 def _cells(shared):
-    """(node, cell, x): the unit vector's own cell, that of its nearest codewords."""
+    """(node, cell, x, copies): the unit vector's own cell, that of its nearest codewords."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, _ = shared.value
         for batch in batches:
             if batch.num_rows:
                 x = normed(np.array(batch.column(1).to_pylist()))
-                cell = nearest_cells(x, one, two, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "cell", "x"])
+                cell = multi_sequence(x, one, two, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=["node", "cell", "x", "copies"])
 
     return run
 
 
-def nearest_cells(x: np.ndarray, one: np.ndarray, two: np.ndarray, visits: int) -> np.ndarray:
-    """The `visits` grid cells of least summed squared half distance, for each row; a cell among them has both halves among the nearest `visits` codewords."""
+def multi_sequence(x: np.ndarray, one: np.ndarray, two: np.ndarray, visits: int) -> np.ndarray:
+    """The first `visits` cells of each row's multi-sequence traversal: the product grid's cells in order of summed squared half distance.
+
+    The traversal goes through both halves' codewords from near to far. It pops cell
+    (i, j) of these orders only after all (i', j') of i' <= i and j' <= j, so the
+    first `visits` pops are among the cells of (i + 1)(j + 1) <= visits: visits times
+    its logarithm, whatever the grid. These are ranked for all rows at once.
+    """
     h = one.shape[1]
     d1, d2 = distances(x[:, :h], one) ** 2, distances(x[:, h:], two) ** 2
-    o1, o2 = np.argsort(d1, 1, kind="stable")[:, :visits], np.argsort(d2, 1, kind="stable")[:, :visits]
-    total = (np.take_along_axis(d1, o1, 1)[:, :, None] + np.take_along_axis(d2, o2, 1)[:, None, :]).reshape(len(x), -1)
+    o1, o2 = np.argsort(d1, 1, kind="stable"), np.argsort(d2, 1, kind="stable")
+    near = np.minimum(len(two), visits // np.arange(1, min(len(one), visits) + 1))
+    i = np.repeat(np.arange(len(near)), near)
+    j = np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
+    total = np.take_along_axis(d1, o1[:, : len(near)], 1)[:, i] + np.take_along_axis(d2, o2[:, : near[0]], 1)[:, j]
     best = np.argsort(total, 1, kind="stable")[:, :visits]
-    return np.take_along_axis((o1[:, :, None] * len(two) + o2[:, None, :]).reshape(len(x), -1), best, 1)
+    return np.take_along_axis(o1, i[best], 1) * len(two) + np.take_along_axis(o2, j[best], 1)
 
 
 def visits_needed(x: np.ndarray, one: np.ndarray, two: np.ndarray, least: float, recall: float, seed: int = 3) -> int:
-    """Cells to visit so that a neighbour at a cosine of exactly `least`, in a random direction, lies in one of them with probability `recall`."""
+    """Cells to visit for the target recall, judged on the sample in two ways, of which the worse counts: neighbours at a cosine of exactly `least` in random directions, and the sample's own pairs at or above it."""
     rng = np.random.default_rng(seed)
-    x = x[:2_000]
+    x = x[:JUDGED]
     y = rng.normal(size=x.shape)
     y -= (y * x).sum(1, keepdims=True) * x
     y = least * x + np.sqrt(max(0.0, 1 - least * least)) * y / np.maximum(1e-300, np.sqrt((y * y).sum(1, keepdims=True)))
-    home = nearest_cells(y, one, two, 1)
+    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+    home, mine = multi_sequence(y, one, two, 1), multi_sequence(x, one, two, 1)
     most = len(one) * len(two)
     t = min(8, most)
-    while t < most and (nearest_cells(x, one, two, t) == home).any(1).mean() < recall:
+    while t < most:
+        held = pairs = 0
+        for at in range(0, len(x), 500):
+            cells = multi_sequence(x[at : at + 500], one, two, t)
+            held += int((cells == home[at : at + 500]).any(1).sum())
+            on = (a >= at) & (a < at + 500)
+            pairs += int((cells[a[on] - at] == mine[b[on]]).any(1).sum())
+        if min(held / max(1, len(x)), pairs / len(a) if len(a) else 1.0) >= recall:
+            break
         t = min(most, t * 2)
     return t
 
 
 def _visits(shared):
-    """(node, cell, x): the cells that each vector visits."""
+    """(node, cell, x, copies): the cells that each vector visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, visits = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                b = batch.slice(at, 1_000)
+            for at in range(0, batch.num_rows, 250):
+                b = batch.slice(at, 250)
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(b.num_rows, -1)
-                cells = nearest_cells(x, one, two, visits)
+                cells = multi_sequence(x, one, two, visits)
                 row = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), b.column(1).take(row)], names=["node", "cell", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), b.column(1).take(row), b.column(2).take(row)], names=["node", "cell", "x", "copies"])
 
     return run
 
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of links (i, j) between 0..n-1 the least place that each can reach, by hooking and halving."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _compare(least: float):
+    """Links of a block (node, x, copies) of visitors and members, met from the larger node: per node the copies that it is linked with (b null), and links (a, b) that span the block's classes. No more rows than the block has nodes, however many links."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        out = [pd.DataFrame({"a": [], "b": [], "n": []}, dtype="Int64")]
         if len(left) and len(right):
-            q = np.frombuffer(b"".join(left["x"]), np.float64).reshape(len(left), -1)
             m = np.frombuffer(b"".join(right["x"]), np.float64).reshape(len(right), -1)
-            for at in range(0, len(q), 1_000):
-                i, j = np.nonzero(q[at : at + 1_000] @ m.T >= least)
-                a, b = left["node"].to_numpy()[i + at], right["node"].to_numpy()[j]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
-        return pd.concat(out)
+            node, weight = right["node"].to_numpy(), right["copies"].to_numpy()
+            for at in range(0, len(left), 1_000):
+                part = left.iloc[at : at + 1_000]
+                q = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), -1)
+                mine = part["node"].to_numpy()
+                hit = (q @ m.T >= least) & (mine[:, None] > node[None, :])
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                ids, place = np.unique(np.r_[mine, node], return_inverse=True)
+                u, v = place[i], place[len(mine) + j]
+                links = np.bincount(u, weight[j], len(ids)) + np.bincount(v, part["copies"].to_numpy()[i], len(ids))
+                root, on = spanning(u, v, len(ids)), np.flatnonzero(links)
+                out.append(pd.DataFrame({"a": ids[on], "b": pd.array([None] * len(on), "Int64"), "n": links[on].astype(np.int64)}))
+                far = np.flatnonzero(root != np.arange(len(ids)))
+                out.append(pd.DataFrame({"a": ids[root[far]], "b": ids[far], "n": np.zeros(len(far), np.int64)}))
+        return pd.concat([x.astype("Int64") for x in out])
 
     return run
 
@@ -135,66 +183,70 @@ def _compare(least: float):
 def near_duplicates(table: DataFrame, least: float = 0.9, sample: int = SAMPLE, codes: int | None = None) -> DataFrame:
     """Per row of table: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one class, named by the smallest id; classes are compared.
-    Each is indexed in the cell of its nearest codewords (one codebook a half) and
-    visits the cells of least summed half distance, as many as a neighbour at the
-    threshold needs for the target recall; pairs met there are verified by cosine
-    in double precision. Large cells and long visit lists are
-    split into blocks, and each block pair is a task of its own. Vectors that are
-    null, empty, zero or hold null or non-finite components link with nothing, and
-    so do vectors of another length than most (lengths are compared apart) and
-    rows with a null id, which are kept.
+    Equal vectors are one class; classes are compared. Each is indexed in the cell of
+    its nearest codewords (one codebook a half) and visits the cells of its
+    multi-sequence traversal, as many as the target recall takes; a pair is met from
+    its larger node's side, once, and verified by cosine in double precision. Large
+    cells and long visit lists are split into blocks, and each block pair is a task
+    of its own, which sends on counts of links and a spanning set of them, so a group
+    of near copies is not expanded into its pairs. Vectors that are null, empty, zero
+    or hold null or non-finite components link with nothing, and so do vectors of
+    another length than most (lengths are compared apart) and rows with a null id,
+    which are kept. A vec_id with several vectors has the links of each on its rows;
+    repeated rows are separate vectors. An empty table gives no row; columns beside
+    vec_id and embedding are ignored.
     """
     every = unit_vectors(table)
-    good = every.where("ok and id is not null").withColumn("key", F.concat_ws(":", F.size("v"), F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))))))
-    named = good.groupBy("key").agg(F.min(F.col("id").cast("long")).alias("node"), F.count(F.lit(1)).alias("copies"))
-    named = stored(named)
-    rep = stored(good.select("key", F.col("id").cast("long").alias("node"), "v").join(named, ["key", "node"]).dropDuplicates(["key"]).select("node", "v", "copies"))
-    pairs = None
+    key = F.concat_ws(":", F.size("v"), F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))))
+    good = every.where("ok and id is not null").withColumn("key", key)
+    named = stored(nodes(good.select("key", "id")))
+    rep = good.withColumn("least", F.col("id").cast("long")).join(named, ["key", "least"]).dropDuplicates(["key"])
+    rep = stored(rep.select("node", "v", "copies"))
+    found = None
     for (size,) in sorted(tuple(r) for r in rep.select(F.size("v")).distinct().collect()):
         if size >= 2:
-            found = linked(rep.where(F.size("v") == size), least, sample, codes)
+            one = linked(rep.where(F.size("v") == size), least, sample, codes)
         else:
-            # One component: the sign decides.
-            signs = rep.where(F.size("v") == 1).select("node", F.signum(F.col("v")[0]).alias("s"))
-            firsts = signs.groupBy("s").agg(F.min("node").alias("a"))
-            found = signs.join(firsts, "s").where("a < node").selectExpr("a", "node b")
-        pairs = found if pairs is None else pairs.union(found)
-    ids = every.select("id", "ok").withColumn("row", F.col("id").cast("long"))
-    if pairs is None:
-        out = F.col("id")
-        return ids.select(out.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("row").alias("component_id"), F.lit(True).alias("kept"))
-    pairs = stored(pairs)
-    both = pairs.union(pairs.selectExpr("b", "a"))
-    weight = rep.selectExpr("node b", "copies")
-    links = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    label = components(pairs)
-    info = named.join(links, "node", "left").join(label, "node", "left")
-    info = info.select("key", "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
-    out = every.where("ok and id is not null").withColumn("key", F.concat_ws(":", F.size("v"), F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))))).select("id", "key").join(info, "key")
-    out = out.select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+            # One component: the sign decides, and all of one sign are linked with each other.
+            signs = stored(rep.where(F.size("v") == 1).select("node", "copies", F.signum(F.col("v")[0]).alias("s")))
+            firsts = signs.groupBy("s").agg(F.min("node").alias("a"), F.sum("copies").alias("all"))
+            of = signs.join(F.broadcast(firsts), "s")
+            counts = of.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("all") - F.col("copies")).alias("n"))
+            one = counts.unionByName(of.where("a < node").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("n")))
+        found = one if found is None else found.unionByName(one)
     rest = every.where("not ok or id is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    if found is None:
+        return rest
+    found = stored(found)
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    label = components(found.where("b is not null").select("a", "b"))
+    info = named.join(links, "node", "left").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"))
+    info = info.join(smallest_ids(named, label), "key")
+    out = every.where("ok and id is not null").withColumn("key", key).select("id", "key").join(info, "key")
+    out = out.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
     return out.unionByName(rest)
 
 
 def linked(rep: DataFrame, least: float, sample: int, codes: int | None, recall: float = RECALL) -> DataFrame:
-    """Pairs (a, b), a < b, of vectors (node, v, copies) of one length found with a cosine of at least `least`; every pair once."""
+    """Of vectors (node, v, copies) of one length: (a, null, n), parts of the number of vectors linked with a at a cosine of at least `least`, and (a, b, 0), links enough to join each class."""
     spark = rep.sparkSession
     codes = codes or int(max(8, min(1024, (rep.count() / 200) ** 0.5)))
     one, two, x = fit(rep, sample, codes)
     visits = visits_needed(x, one, two, least, recall)
     books = spark.sparkContext.broadcast((one, two, visits))
-    held = stored(rep.select("node", "v").mapInArrow(_cells(books), "node long, cell int, x binary"))
-    asked = held.select("node", "x").mapInArrow(_visits(books), "node long, cell int, x binary")
+    held = stored(rep.select("node", "v", "copies").mapInArrow(_cells(books), "node long, cell int, x binary, copies long"))
+    asked = held.select("node", "x", "copies").mapInArrow(_visits(books), "node long, cell int, x binary, copies long")
     # Blocks of each cell: members by MEMBERS, visitors by VISITORS. One row a cell of the grid.
-    of = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    of = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.min("node").alias("least"))
     by = asked.select("cell").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("slices"))
     blocks = stored(of.join(by, "cell"))
     blocks = broadcast_if(blocks, blocks.count(), 1 << 16)
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = asked.join(blocks, "cell").withColumn("slice", deal("slices", 1)).withColumn("part", each("parts"))
+    # A visitor below all members of a cell has nothing to meet there.
+    q = asked.join(blocks, "cell").where("node > least").withColumn("slice", deal("slices", 1)).withColumn("part", each("parts"))
     m = held.join(blocks, "cell").withColumn("part", deal("parts", 2)).withColumn("slice", each("slices"))
     keys = ["cell", "part", "slice"]
-    met = q.select("node", "x", *keys).groupBy(*keys).cogroup(m.select("node", "x", *keys).groupBy(*keys))
-    return met.applyInPandas(_compare(least), "a long, b long").distinct()
+    cols = ["node", "x", "copies", *keys]
+    met = q.select(*cols).groupBy(*keys).cogroup(m.select(*cols).groupBy(*keys))
+    return met.applyInPandas(_compare(least), "a long, b long, n long")
