@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pytest
 
 from voxelframe.functions import frames
-from voxelframe.operators import calibrate, catalog, sampling, snap, support, winding
+from pyspark.sql import functions as F
+
+from voxelframe.operators import calibrate, catalog, energy, sampling, snap, stencil, support, winding
 from voxelframe.plans import views as V
 from voxelframe.plans.oracles import oracle_sql
 from voxelframe.plans.queries import QUERIES, _samples
@@ -108,8 +112,12 @@ def test_whole_mesh_is_used(spark):
     points = V.pts(spark, d).collect()
     assert len(got) == len(points) and sum((p.x - 700) / 100 > 3 for p in points) > 10
     for p in points:
-        v, u = min(max((p.x - 700) / 100, 0), 39 - 1e-6), min(max((p.y - 700) / 12, 0), 49 - 1e-6)
-        corners = [((int(v) + i, int(u) + j), (v % 1 if i else 1 - v % 1) * (u % 1 if j else 1 - u % 1)) for i in (0, 1) for j in (0, 1)]
+        v, u = (p.x - 700) / 100, (p.y - 700) / 12
+        v0, u0 = math.floor(v), math.floor(u)
+        if 0 <= v0 < 39 and 0 <= u0 < 49:
+            corners = [((v0 + i, u0 + j), (v - v0 if i else 1 - v + v0) * (u - u0 if j else 1 - u + u0)) for i in (0, 1) for j in (0, 1)]
+        else:  # one snapped cell or none
+            corners = [((min(max(v0, 0), 39), min(max(u0, 0), 49)), 1.0)]
         total = sum(w for at, w in corners if at in mesh)
         for k, name in enumerate("xyz"):
             want = sum(w * mesh[at][k] for at, w in corners if at in mesh) / total if total else None
@@ -123,9 +131,47 @@ def test_calibration_takes_all_grid_points(spark):
     rows = {r.z: r for r in _samples(spark, DATA).collect()}
     anchors = [r for r in rows.values() if r.frac is not None]
     grid = [1 + 24 / 3_999 * i for i in range(4_000)]
-    assert k == pytest.approx(min(grid, key=lambda k: (round(sum((1 - (1 - r.share) ** k - r.frac) ** 2 for r in anchors), 9), k)), abs=2e-6)
+    assert k == pytest.approx(min(grid, key=lambda k: (sum((1 - (1 - r.share) ** k - r.frac) ** 2 for r in anchors), k)), abs=2e-6)
     model = lambda r: 1 - (1 - r.share) ** k
     for r in QUERIES["calib_estimates"](spark, DATA).collect():
         at = rows[r.z]
         assert r.est == pytest.approx(model(at) if at.frac is None else at.frac, abs=2e-6)
     assert QUERIES["calib_residuals"](spark, DATA).first().band == pytest.approx(max(abs(r.frac - model(r)) for r in anchors), abs=2e-6)
+
+
+def test_lookup_beyond_the_mesh_takes_one_cell(spark):
+    """x = 10 v + u on a 3 x 4 mesh; (0.5, -1) is beyond it and snaps to the cell (0, 0)."""
+    mesh = spark.createDataFrame([(v, u, 10.0 * v + u, 1.0, 2.0, (v, u) != (2, 3)) for v in range(3) for u in range(4)], "gv long, gu long, x double, y double, z double, valid boolean")
+    at = spark.createDataFrame([(0, 0.5, -1.0), (1, 0.5, 1.5), (2, 9.0, 9.0), (3, 1.5, 3.5), (4, None, 1.0), (5, 1.5, 2.5)], "id long, gv double, gu double")
+    got = {r.id: r.x for r in sampling.bilinear(at, mesh, 3, 4).collect()}
+    assert got[0] == 0 and got[1] == 6.5 and got[2] is None and got[3] == 13 and got[4] is None
+    assert got[5] == pytest.approx((12 + 13 + 22) / 3)
+
+
+def test_box_counts_all_three_sides(spark):
+    p = spark.createDataFrame([("a", 1.2, 2.5, 3.5), ("a", 4.0, 99.0, 5.0), ("b", 0.0, 0.0, -7.0)], "tile string, x double, y double, z double")
+    got = {r.tile: (r.minx, r.maxx, r.miny, r.maxy, r.minz, r.maxz, r.volume) for r in sampling.boxes(p, "tile", (10, 50, 10)).collect()}
+    assert got == {"a": (1, 4, 2, 49, 4, 5, 4.0 * 48 * 2), "b": (0, 0, 0, 0, 0, 0, 1.0)}
+    assert sampling.boxes(p, "tile", (10, 50, 10), most=100).count() == 1
+
+
+def test_scores_and_stretch_of_odd_maps(spark):
+    rows = [(0, 0, 1.0, True), (0, 1, 3.0, True), (0, 2, float("nan"), True), (0, 3, 99.0, False), (0, 4, None, True)]
+    p = spark.createDataFrame(rows, "v long, u long, lr double, valid boolean")
+    assert {r.u: r.zscore for r in energy.zscores(p).collect()} == {0: -1.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    flat = spark.createDataFrame([(0, u, 5.0, True) for u in range(3)] + [(0, 9, 500.0, False)], "v long, u long, m53 double, valid boolean")
+    assert {r.u: r.u8 for r in energy.stretch(flat, "m53").collect()} == {0: 0, 1: 0, 2: 0, 9: 255}
+
+
+def test_normals_of_a_plane(spark):
+    """The plane (u, v, 2 u) has the normal (-2, 0, 1) / sqrt(5) away from the mirrored border."""
+    g = spark.createDataFrame([(v, u, float(u), float(v), 2.0 * u) for v in range(9) for u in range(9)], "v long, u long, x double, y double, z double")
+    r = stencil.normals(g, 9, 9).where("v = 4 and u = 4").first()
+    assert (r.nx, r.ny, r.nz) == pytest.approx((-2 / 5**0.5, 0, 1 / 5**0.5))
+
+
+def test_discovery_takes_the_first_of_each_kind(spark):
+    rows = [("s", f"r/{x}.zarr/", i) for i, x in enumerate(("other", "m7-L3-b", "m7-L1-a", "masked-2", "masked-1"))] + [("t", "r/m7-L1.zarr/", 9)]
+    d = spark.createDataFrame(rows, "sample string, prefix string, ord int")
+    got = catalog.discover(d, F.col("prefix").contains("m7"), F.col("prefix").contains("masked"), r"m7-L(\d)").collect()
+    assert [tuple(r) for r in got] == [("s", "r/m7-L3-b.zarr/", "r/masked-2.zarr/", "3")]

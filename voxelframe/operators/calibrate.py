@@ -17,7 +17,7 @@ def fit(anchors: DataFrame, points: int = POINTS) -> DataFrame:
     """(k, sse) of least squared error over anchors(share, frac); the first k on ties. The grid is bounded by `points`."""
     grid = anchors.sparkSession.range(points).select((LOW + F.col("id") * ((HIGH - LOW) / (points - 1))).alias("k"))
     sse = anchors.select("share", "frac").crossJoin(F.broadcast(grid)).groupBy("k").agg(F.sum(F.pow(model(F.col("share"), F.col("k")) - F.col("frac"), F.lit(2))).alias("sse"))
-    return sse.agg(F.min_by("k", F.struct(F.round("sse", 9), "k")).alias("k"))
+    return sse.agg(F.min_by("k", F.struct("sse", "k")).alias("k"))
 
 
 def estimates(samples: DataFrame, k: DataFrame) -> DataFrame:
@@ -28,3 +28,11 @@ def estimates(samples: DataFrame, k: DataFrame) -> DataFrame:
 def residuals(anchors: DataFrame, k: DataFrame) -> DataFrame:
     r = F.abs(F.col("frac") - model(F.col("share"), F.col("k")))
     return anchors.crossJoin(F.broadcast(k)).agg(F.max(r).alias("band"), F.count(F.lit(1)).alias("n"))
+
+
+def report(samples: DataFrame, k: DataFrame) -> DataFrame:
+    """samples(name, share, frac) with the estimate, the band (the largest residual of the anchors; 0 where measured) and whether it was measured; the caller sorts by falling share."""
+    est = estimates(samples, k)
+    band = residuals(samples.where("frac is not null"), k).select("band")
+    measured = F.col("frac").isNotNull()
+    return est.crossJoin(F.broadcast(band)).select("name", "share", "est", F.when(measured, 0.0).otherwise(F.col("band")).alias("band"), measured.alias("measured"))

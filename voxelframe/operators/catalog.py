@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -17,15 +17,11 @@ def prefixes(text: DataFrame, key: str, pattern: str = "<Prefix>([^<]+)</Prefix>
     return text.select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("prefix"))
 
 
-def discover(listing: DataFrame) -> DataFrame:
-    """Per sample (the domain) its first secure and first plain artifact, joined; level from the path, default 2. A sample that lacks either has no row."""
-    sample = F.regexp_extract("prefix", r"([a-z]+\.[a-z]+)/", 1)
-    d = listing.select(sample.alias("sample"), "prefix", "ord")
-    w = Window.partitionBy("sample").orderBy("ord")
-    first = lambda start: d.where(F.col("prefix").startswith(start)).withColumn("k", F.row_number().over(w)).where("k = 1")
-    level = F.regexp_extract("preds", r"page=(\d)", 1)
-    j = first("https://").select("sample", F.col("prefix").alias("preds")).join(first("http://").select("sample", F.col("prefix").alias("ct")), "sample")
-    return j.withColumn("level", F.when(level == "", "2").otherwise(level))
+def discover(listing: DataFrame, preds: Column, scan: Column, level: str, fallback: str = "2") -> DataFrame:
+    """Per sample of listing(sample, prefix, ord) its first artifact that is a prediction and its first that is a scan, joined; level is what the pattern finds in the prediction's path, else the fallback. A sample that lacks either has no row; rows whose test is null fit nothing."""
+    first = lambda fits, name: listing.where(fits).groupBy("sample").agg(F.min_by("prefix", F.struct("ord", "prefix")).alias(name))
+    at = F.regexp_extract("preds", level, 1)
+    return first(preds, "preds").join(first(scan, "ct"), "sample").withColumn("level", F.when(at == "", fallback).otherwise(at))
 
 
 def pending(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -36,12 +32,13 @@ def pending(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def export(points: DataFrame) -> DataFrame:
     """One JSON a collection, points numbered from 1 in order; null wind_a is written, as readers need it."""
     w = Window.partitionBy("collection").orderBy("ts", "event_id")
-    num = Window.orderBy("collection")
+    # Only the keys are numbered in one task; the points stay where they are.
+    num = points.select("collection").distinct().withColumn("k", F.row_number().over(Window.orderBy("collection")))
     color = F.array(*[F.array(*map(F.lit, c)) for c in PALETTE])
     d = points.withColumn("i", F.row_number().over(w))
     entry = F.struct(F.col("i").cast("string").alias("key"), F.struct(F.col("i").cast("long").alias("creation_time"), F.array(*[F.round(c, 3) for c in ("x", "y", "z")]).alias("p"), F.lit(None).cast("double").alias("wind_a")).alias("value"))
     c = d.groupBy("collection").agg(F.sort_array(F.collect_list(F.struct("i", entry.alias("e")))).alias("es"))
-    c = c.withColumn("k", F.row_number().over(num))
+    c = c.join(num, "collection")
     value = F.struct(
         F.get(color, (F.col("k") - 1) % 6).alias("color"), F.struct(F.lit(False).alias("winding_is_absolute")).alias("metadata"), F.concat(F.lit("same"), F.col("k").cast("string")).alias("name"), F.map_from_entries(F.transform("es", lambda x: x["e"])).alias("points")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,26 @@ def log_ratio(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("lr", F.log((F.col("m53") + 1) / (F.col("m70") + 1)))
 
 
+def finite(c: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
 def zscores(pixels: DataFrame) -> DataFrame:
-    """z of the log ratio over all valid pixels (population deviation); 0 elsewhere. The statistics are one broadcast row."""
-    s = pixels.where("valid").agg(F.avg("lr").alias("mean"), F.stddev_pop("lr").alias("sd"))
-    z = F.coalesce(F.when(F.col("valid"), F.try_divide(F.col("lr") - F.col("mean"), F.col("sd"))), F.lit(0.0))
+    """z of the log ratio over all valid pixels of finite ratio (population deviation); 0 elsewhere, and everywhere where they do not differ. The statistics are one broadcast row."""
+    fine = F.col("valid") & finite(F.col("lr"))
+    s = pixels.where(fine).agg(F.avg("lr").alias("mean"), F.stddev_pop("lr").alias("sd"))
+    z = F.coalesce(F.when(fine, F.try_divide(F.col("lr") - F.col("mean"), F.col("sd"))), F.lit(0.0))
     return pixels.crossJoin(F.broadcast(s)).withColumn("zscore", z).drop("mean", "sd")
 
 
+#: The least width that an intensity range is stretched over.
+LEAST_RANGE = 1e-6
+
+
 def stretch(pixels: DataFrame, col: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Exact percentile stretch to 0..255, clipped and truncated."""
-    q = pixels.agg(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("q"))
-    t = F.least(F.greatest((F.col(col) - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]), F.lit(0.0)), F.lit(1.0))
+    """Percentile stretch to 0..255, clipped and truncated. The percentiles are exact, over covered (valid) pixels; without one they are 0 and 1."""
+    q = pixels.where("valid").agg(F.coalesce(F.percentile(col, F.array(F.lit(low), F.lit(high))), F.array(F.lit(0.0), F.lit(1.0))).alias("q"))
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
+    t = F.least(F.greatest((F.col(col) - F.col("q")[0]) / width, F.lit(0.0)), F.lit(1.0))
     return pixels.crossJoin(F.broadcast(q)).withColumn("u8", F.floor(F.round(t * 255, 6)).cast("long")).drop("q")

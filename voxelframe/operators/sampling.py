@@ -25,19 +25,39 @@ def along_normal(points: DataFrame, offsets: Sequence[float]) -> DataFrame:
 
 
 def bilinear(at: DataFrame, mesh: DataFrame, height: int | Column, width: int) -> DataFrame:
-    """at(id, gv, gu) with x, y, z of the mesh: four corners weighted over the valid ones; null if none weighs. Beyond the grid the border cell counts. height may be a column of at."""
-    v = F.least(F.greatest(F.col("gv"), F.lit(0.0)), F.lit(height - 1.000001))
-    u = F.least(F.greatest(F.col("gu"), F.lit(0.0)), F.lit(width - 1.000001))
-    a = at.select("id", v.alias("v"), u.alias("u")).withColumns({"v0": F.floor("v"), "u0": F.floor("u")})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    c = a.withColumn("c", corner).withColumns({"gv": F.col("v0") + F.col("c.i"), "gu": F.col("u0") + F.col("c.j")})
-    near = lambda f, i: F.when(i == 1, f).otherwise(1 - f)
-    c = c.withColumn("w", near(F.col("v") - F.col("v0"), F.col("c.i")) * near(F.col("u") - F.col("u0"), F.col("c.j")))
+    """at(id, gv, gu) with x, y, z of the mesh, height x width cells (height may be a column of at).
+
+    Inside, four corners are weighted over the valid ones, null if none weighs. At or
+    beyond the last row or column, or below 0, the one cell that the floored place is
+    clipped to counts, null if it is not valid. Null places give null.
+    """
+    rows = height if isinstance(height, Column) else F.lit(height)
+    a = at.select("id", F.col("gv").alias("v"), F.col("gu").alias("u"), F.floor("gv").alias("v0"), F.floor("gu").alias("u0"), rows.alias("h"))
+    inside = (F.col("v0") >= 0) & (F.col("v0") < F.col("h") - 1) & (F.col("u0") >= 0) & (F.col("u0") < width - 1)
+    near = lambda f, i: f if i else 1 - f
+    fv, fu = F.col("v") - F.col("v0"), F.col("u") - F.col("u0")
+    corners = F.array(*[F.struct((F.col("v0") + i).alias("gv"), (F.col("u0") + j).alias("gu"), (near(fv, i) * near(fu, j)).alias("w")) for i in (0, 1) for j in (0, 1)])
+    clip = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0)), n).cast("long")
+    one = F.array(F.struct(clip("v0", F.col("h") - 1).alias("gv"), clip("u0", F.lit(width - 1)).alias("gu"), F.lit(1.0).alias("w")))
+    known = F.col("v0").isNotNull() & F.col("u0").isNotNull()
+    c = a.select("id", F.explode_outer(F.when(known, F.when(inside, corners).otherwise(one))).alias("c")).select("id", "c.*")
     m = c.join(mesh.where("valid"), ["gv", "gu"], "left").withColumn("w", F.when(F.col("valid"), F.col("w")).otherwise(0.0))
     got = m.groupBy("id").agg(*[F.sum(F.col("w") * F.coalesce(k, F.lit(0.0))).alias(f"s{k}") for k in "xyz"], F.sum("w").alias("w"))
     return got.select("id", *[F.when(F.col("w") > 0, F.col(f"s{k}") / F.col("w")).alias(k) for k in "xyz"])
 
 
+#: A box of more voxels is not read.
+MOST_VOXELS = 1.5e9
+
+
+def boxes(points: DataFrame, key: str, shape: tuple[int, int, int], most: float = MOST_VOXELS) -> DataFrame:
+    """Per key the box of voxels (minx, maxx, ...) that its points' nearest voxels span, ends included, and its volume; boxes above `most` voxels are left out."""
+    p = points.withColumns({f"k{c}": nearest(F.col(c), n) for c, n in zip("zyx", shape, strict=True)})
+    box = p.groupBy(key).agg(*[f(f"k{c}").alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
+    side = lambda c: (F.col(f"max{c}") - F.col(f"min{c}") + 1).cast("double")
+    return box.withColumn("volume", side("x") * side("y") * side("z")).where(F.col("volume") <= most)
+
+
 def interpolate(points: DataFrame, control: DataFrame) -> DataFrame:
     """points(z) with cx, cy of the centre line at z: linear between control points, held beyond them. A range join on the segments, a broadcast table while it is small."""
     w = Window.orderBy("z")

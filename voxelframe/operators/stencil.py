@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import unit
 from .snap import mirror, reflect
 
 #: The 5 x 5 derivative's smoothing and difference rows.
@@ -37,6 +38,17 @@ def sobel(grid: DataFrame, h: int, w: int) -> DataFrame:
     return one.join(two, ["v", "u"])
 
 
+def normals(grid: DataFrame, h: int, w: int) -> DataFrame:
+    """(v, u, nx, ny, nz) of a surface grid (v, u, x, y, z): the cross product of its 5 x 5 tangents along u and v, divided by its length (floor 1e-9)."""
+    parts = None
+    for c in "xyz":
+        one = sobel(grid.select("v", "u", F.col(c).alias("value")), h, w).select("v", "u", F.col("du").alias(f"{c}u"), F.col("dv").alias(f"{c}v"))
+        parts = one if parts is None else parts.join(one, ["v", "u"])
+    col = F.col
+    cross = [col(f"{a}u") * col(f"{b}v") - col(f"{b}u") * col(f"{a}v") for a, b in ("yz", "zx", "xy")]
+    return parts.select("v", "u", *[c.alias(f"n{k}") for c, k in zip(unit(*cross), "xyz", strict=True)])
+
+
 def gaussian(grid: DataFrame, h: int, w: int, sigma: float = 3.0, size: int = 25) -> DataFrame:
     """Separable Gaussian blur."""
     import math

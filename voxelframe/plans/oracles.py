@@ -38,7 +38,7 @@ def _lookup(src: str, col: str) -> str:
 
 
 RATIO = "pix AS (SELECT v,u,avg(v53) m53,avg(v70) m70,max(v53) x53,max(v70) x70,bool_or(valid) valid FROM energy GROUP BY v,u), rat AS (SELECT *, ln((m53+1)/(m70+1)) lr FROM pix)"
-SAMPLES = f"smp AS (SELECT z, share, CASE WHEN z%4=0 AND positives>0 THEN phantom/positives END frac FROM (SELECT z, avg((ct<=0)::int) share, {COUNTS} FROM vox GROUP BY z)), grid AS (SELECT 1.0::double+i*(24.0::double/399) k FROM range(400) t(i)), fit AS (SELECT arg_min(k,(round(sse,9),k)) k FROM (SELECT k, sum(pow(1-pow(1-share,k)-frac,2)) sse FROM smp, grid WHERE frac IS NOT NULL GROUP BY k))"
+SAMPLES = f"smp AS (SELECT z, share, CASE WHEN z%4=0 AND positives>0 THEN phantom/positives END frac FROM (SELECT z, avg((ct<=0)::int) share, {COUNTS} FROM vox GROUP BY z)), grid AS (SELECT 1.0::double+i*(24.0::double/3999) k FROM range(4000) t(i)), fit AS (SELECT arg_min(k,(sse,k)) k FROM (SELECT k, sum(pow(1-pow(1-share,k)-frac,2)) sse FROM smp, grid WHERE frac IS NOT NULL GROUP BY k))"
 DENSE = "dense AS (SELECT g.v,h.u,coalesce(p.value,0.0::double) AS value FROM range(50) g(v) CROSS JOIN range(40) h(u) LEFT JOIN (SELECT v,u,(sum(v53)%256)::double AS value FROM energy GROUP BY v,u) p ON p.v=g.v AND p.u=h.u)"
 MIRROR = "(CASE WHEN {c}<0 THEN -({c}) WHEN {c}>={n} THEN 2*{n}-2-({c}) ELSE {c} END)"
 REFLECT = "(CASE WHEN {c}<0 THEN -({c})-1 WHEN {c}>={n} THEN 2*{n}-1-({c}) ELSE {c} END)"
@@ -106,17 +106,19 @@ def oracle_sql() -> dict[str, str]:
         "log_ratio": sql(f", {RATIO} SELECT v,u,round(lr,6) lr FROM rat", "energy"),
         "ratio_percentiles": sql(f", {RATIO} SELECT round(quantile_cont(lr,0.02),6) p2, round(quantile_cont(lr,0.98),6) p98 FROM rat", "energy"),
         "zscore_high": sql(f", {RATIO}, st AS (SELECT avg(lr) m, stddev_pop(lr) sd FROM rat WHERE valid), zs AS (SELECT CASE WHEN valid THEN coalesce((lr-m)/nullif(sd,0),0) ELSE 0 END zscore FROM rat, st) SELECT count(*) FILTER (zscore>3) over3, count(*) FILTER (zscore>4) over4, round(max(zscore),5) top FROM zs", "energy"),
-        "intensity_stretch": sql(f", {RATIO}, q AS (SELECT quantile_cont(m53,0.02) lo, quantile_cont(m53,0.98) hi FROM rat) SELECT v,u,cast(floor(round(least(greatest((m53-lo)/(hi-lo),0),1)*255,6)) as bigint) u8 FROM rat, q", "energy"),
+        "intensity_stretch": sql(f", {RATIO}, q AS (SELECT quantile_cont(m53,0.02) lo, quantile_cont(m53,0.98) hi FROM rat WHERE valid) SELECT v,u,cast(floor(round(least(greatest((m53-lo)/greatest(hi-lo,1e-6),0),1)*255,6)) as bigint) u8 FROM rat, q", "energy"),
         "patch_valid_share": sql("SELECT pv,pu,round(share,6) share,n FROM (SELECT v//10 pv,u//10 pu,avg(valid::int) share,count(*) n FROM energy GROUP BY 1,2) WHERE share>=0.3", "energy"),
         "canvas_place": sql("SELECT v+\"offset\"%2*5 AS row, u%20 AS col, arg_max(v53,(\"offset\",v53)) v53 FROM energy GROUP BY 1,2", "energy"),
         "snap_islands": sql(f", {ISLANDS} SELECT y,x,snap FROM isl", "vox"),
         "snap_median5": sql(f", {ISLANDS}, dense AS (SELECT g.v,h.u,coalesce(snap,0.0::double) AS value FROM range(64) g(v) CROSS JOIN range(64) h(u) LEFT JOIN isl ON isl.y=g.v AND isl.x=h.u) {_conv('dense', box, 'median(t.value)', REFLECT, 64, 64)}", "vox"),
-        "bbox": sql("SELECT * FROM (SELECT gu//10 tile,min(x) minx,max(x) maxx,min(y) miny,max(y) maxy,min(z) minz,max(z) maxz,(max(x)-min(x)+1)*(max(z)-min(z)+1) volume FROM mesh WHERE valid GROUP BY 1) WHERE volume<=1.5e9", "mesh"),
+        "bbox": sql(f"SELECT *, (maxx-minx+1)::double*(maxy-miny+1)*(maxz-minz+1) volume FROM (SELECT gu//10 tile,"+",".join(f"{f}({_key(c,n)}) {f}{c}" for c,n in (("x",50),("y",2000),("z",100)) for f in ("min","max"))+" FROM mesh WHERE valid GROUP BY 1) WHERE volume<=1.5e9", "mesh"),
         "layer_lut": sql("SELECT cast(floor(CASE WHEN pred<=128 THEN pred*0.5 ELSE 64+(pred-128)*191.0::double/127 END) as bigint) u8, count(*) n FROM vox GROUP BY 1", "vox"),
         "sobel_normals": sql(f", {DENSE} SELECT v,u,a.value du,b.value dv FROM ({_conv('dense', DU)}) a JOIN ({_conv('dense', DV)}) b USING (v,u)", "energy"),
+        "surface_normals": sql(f", {DENSE}, " + ", ".join(f"s{c} AS (SELECT v,u,({e})::double AS value FROM dense)" for c, e in (("x", "u*40+v*v"), ("y", "v*50-u*6"), ("z", "value"))) + ", " + ", ".join(f"{c}{d} AS ({_conv('s' + c, w)})" for c in "xyz" for d, w in (("u", DU), ("v", DV))) + ", cr AS (SELECT v,u,yu.value*zv.value-zu.value*yv.value a,zu.value*xv.value-xu.value*zv.value b,xu.value*yv.value-yu.value*xv.value c FROM xu JOIN xv USING (v,u) JOIN yu USING (v,u) JOIN yv USING (v,u) JOIN zu USING (v,u) JOIN zv USING (v,u)) SELECT v,u," + ",".join(f"round({k}/greatest(sqrt(a*a+b*b+c*c),1e-9),5)+0.0 n{n}" for k, n in zip("abc", "xyz", strict=True)) + " FROM cr", "energy"),
+        "calib_report": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(share,6) share, round(coalesce(frac,1-pow(1-share,k)),6) est, CASE WHEN frac IS NULL THEN round(band,6) ELSE 0 END band, frac IS NOT NULL measured FROM smp, fit, band", "vox"),
         "gaussian_density": sql(f", {DENSE}, hot AS (SELECT v,u,(value>200)::int::double AS value FROM dense), g1 AS ({_conv('hot', {(0, i - 12): x for i, x in enumerate(GK)})}), g2 AS ({_conv('g1', {(i - 12, 0): x for i, x in enumerate(GK)})}) SELECT v,u,round(value/nullif((SELECT max(value) FROM g2),0),5)+0.0 density FROM g2", "energy"),
         "mesh_resize": sql(f", {DENSE}, av AS (SELECT i ov, least(greatest((i+0.5)/2-0.5,0),49)::double f FROM range(100) t(i)), au AS (SELECT i ou, least(greatest((i+0.5)/2-0.5,0),39)::double f FROM range(80) t(i)) SELECT ov,ou,round(sum((CASE WHEN i=1 THEN av.f-floor(av.f) ELSE 1-(av.f-floor(av.f)) END)*(CASE WHEN j=1 THEN au.f-floor(au.f) ELSE 1-(au.f-floor(au.f)) END)*d.value),5) AS value FROM av CROSS JOIN au CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) JOIN dense d ON d.v=least(floor(av.f)+i,49) AND d.u=least(floor(au.f)+j,39) GROUP BY 1,2", "energy"),
-        "bilinear_lookup": sql(", att AS (SELECT vec_id id, least(greatest((x-700)/100,0),2.999999::double) v, least(greatest((y-700)/12,0),48.999999::double) u FROM pts), cor AS (SELECT id, floor(v)+i gv, floor(u)+j gu, (CASE WHEN i=1 THEN v-floor(v) ELSE 1-(v-floor(v)) END)*(CASE WHEN j=1 THEN u-floor(u) ELSE 1-(u-floor(u)) END) w FROM att, (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j)) SELECT id, round(sum(w*m.x)/nullif(sum(w) FILTER (m.valid),0),5) x, round(sum(w*m.y)/nullif(sum(w) FILTER (m.valid),0),5) y, round(sum(w*m.z)/nullif(sum(w) FILTER (m.valid),0),5) z FROM cor LEFT JOIN (SELECT * FROM mesh WHERE valid) m ON m.gv=cor.gv AND m.gu=cor.gu GROUP BY id", "pts", "mesh"),
+        "bilinear_lookup": sql(", hgt AS (SELECT max(gv)+1 h FROM mesh), att AS (SELECT vec_id id, (x-700)/100 v, (y-700)/12 u, h FROM pts, hgt), ins AS (SELECT *, floor(v)>=0 AND floor(v)<h-1 AND floor(u)>=0 AND floor(u)<49 inner_ FROM att), cor AS (SELECT id, floor(v)+i gv, floor(u)+j gu, (CASE WHEN i=1 THEN v-floor(v) ELSE 1-(v-floor(v)) END)*(CASE WHEN j=1 THEN u-floor(u) ELSE 1-(u-floor(u)) END) w FROM ins, (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) WHERE inner_ UNION ALL SELECT id, least(greatest(floor(v),0),h-1), least(greatest(floor(u),0),49), 1.0::double FROM ins WHERE NOT inner_) SELECT id, round(sum(w*m.x)/nullif(sum(w) FILTER (m.valid),0),5) x, round(sum(w*m.y)/nullif(sum(w) FILTER (m.valid),0),5) y, round(sum(w*m.z)/nullif(sum(w) FILTER (m.valid),0),5) z FROM cor LEFT JOIN (SELECT * FROM mesh WHERE valid) m ON m.gv=cor.gv AND m.gu=cor.gu GROUP BY id", "pts", "mesh"),
         "centre_interp": sql(f", {SEG} SELECT event_id, round(cx,6) cx, round(cy,6) cy FROM mid", "collections", "centre"),
         "polar_unwrap": sql(f", {POLAR} SELECT event_id, n::int n, round(r,5) r, round(angle,5)+0.0 angle FROM pol", "collections", "centre"),
         "trend_fit": sql(f", {TREND} SELECT collection, round(max(ca),4)+0.0 per_angle, round(max(cz),4)+0.0 per_z, round(sum(resid*resid),4) sse FROM tre GROUP BY 1", "collections", "centre"),
@@ -135,6 +137,6 @@ def oracle_sql() -> dict[str, str]:
         "chunk_clean_window": sql("SELECT z-5 z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0 AND z>=5 AND z<40", "vox"),
         "batch_status": "SELECT o_orderstatus, count(*) jobs FROM orders GROUP BY 1",
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
-        "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 BETWEEN 1 AND 29 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",
+        "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 >=1 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",
     }
     return {k: v.replace(") , ", "), ") for k, v in out.items()}

@@ -111,6 +111,12 @@ def calib_residuals(s, d):
     return rounded(calibrate.residuals(t, calibrate.fit(t)), "band")
 
 
+@query
+def calib_report(s, d):
+    t = _samples(s, d).withColumn("name", F.col("z").cast("string"))
+    return rounded(calibrate.report(t, calibrate.fit(t.where("frac is not null"))), "share", "est", "band")
+
+
 @query
 def drift_fit(s, d):
     return rounded(V.pts(s, d).agg(F.regr_slope("x", "z").alias("slope"), F.regr_intercept("x", "z").alias("intercept")), "slope", "intercept")
@@ -224,9 +230,8 @@ def snap_median5(s, d):
 @query
 def bbox(s, d):
     """Bounding box of each tile's valid points; tiles without one are skipped."""
-    m = V.mesh(s, d).where("valid").groupBy(F.floor(F.col("gu") / 10).alias("tile"))
-    box = m.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
-    return box.withColumn("volume", (F.col("maxx") - F.col("minx") + 1) * (F.col("maxz") - F.col("minz") + 1)).where("volume <= 1.5e9")
+    m = V.mesh(s, d).where("valid").withColumn("tile", F.floor(F.col("gu") / 10))
+    return sampling.boxes(m, "tile", (100, 2000, 50))
 
 
 @query
@@ -246,9 +251,17 @@ def _dense(s, d):
 
 @query
 def sobel_normals(s, d):
+    """Derivatives of the dense map along u and v."""
     return stencil.sobel(_dense(s, d), 50, 40)
 
 
+@query
+def surface_normals(s, d):
+    """Normals of the surface that the dense map is over its grid, warped so that all three parts vary."""
+    g = _dense(s, d).select("v", "u", (F.col("u") * 40 + F.col("v") * F.col("v")).alias("x"), (F.col("v") * 50 - F.col("u") * 6).alias("y"), F.col("value").alias("z"))
+    return rounded(stencil.normals(g, 50, 40), "nx", "ny", "nz", places=5)
+
+
 @query
 def gaussian_density(s, d):
     """Blurred map of high pixels, over its maximum."""
@@ -324,7 +337,8 @@ def constraint_import(s, d):
 
 @query
 def discover_pairs(s, d):
-    return catalog.discover(V.table(s, d, "pages").select(F.col("url").alias("prefix"), F.col("page_id").alias("ord")))
+    p = V.table(s, d, "pages").select(F.regexp_extract("url", r"([a-z]+\.[a-z]+)/", 1).alias("sample"), F.col("url").alias("prefix"), F.col("page_id").alias("ord"))
+    return catalog.discover(p, F.col("prefix").startswith("https://"), F.col("prefix").startswith("http://"), r"page=(\d)")
 
 
 @query
