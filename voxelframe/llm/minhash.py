@@ -159,12 +159,12 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     rep = stored(nodes(named.select(F.col("fp").alias("key"), F.col("doc_id").alias("id"))))
     # One row a set: that of its smallest doc_id.
     first = named.join(rep.select(F.col("key").alias("fp"), "least", "node"), "fp").where("cast(doc_id as long) = least").dropDuplicates(["fp"])
-    members = first.selectExpr("fp", "node", "n_shingles n", "bands")
+    members = stored(first.selectExpr("node", "n_shingles n", "bands"))
     keyed = members.select("node", "n", F.posexplode("bands").alias("which", "band"))
     ends = keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo < hi")
     ends = stored(ends.select("band", "lo", "hi"))
     shared = stored(keyed.join(ends, "band"))
-    sizes = members.selectExpr("node o", "n n_o").distinct()
+    sizes = members.selectExpr("node o", "n n_o")
     star = shared.select("node", "n", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o").distinct().join(sizes, "o")
     star = star.where(f"100 * least(n, n_o) >= {percent} * greatest(n, n_o)")
     star = stored(star.selectExpr("least(node, o) a", "greatest(node, o) b").distinct())
@@ -180,7 +180,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     most = most.agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "top")
     open_ = stored(at.join(most, "band").distinct())
     wide = sets.join(open_.select("node"), "node", "left_semi").select("node", "set").mapInArrow(_wide, "node long, wide array<long>")
-    open_ = open_.join(stored(wide), "node").join(members.select("node", "bands").dropDuplicates(["node"]), "node")
+    open_ = open_.join(stored(wide), "node").join(members.select("node", "bands"), "node")
     open_ = stored(open_)
     left = open_.where("component <> top").selectExpr("band", "node x", "n nx", "component cx", "wide wx", "bands bx", "top", "which")
     right = open_.selectExpr("band", "node y", "n ny", "component cy", "wide wy", "bands by_")

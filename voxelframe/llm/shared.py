@@ -41,6 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffled files of finished jobs
     return spark.read.schema(df.schema).parquet(path)
 
 
