@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_az
+from .shared import lower_az, stored
 
 #: ASCII letters and digits and everything beyond ASCII make words.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Benchmark windows that may be broadcast; beyond it the join shuffles both sides.
-MOST_WINDOWS = 2_000_000
+#: Bytes of benchmark windows (words and hashes) that may be broadcast; beyond it they meet the documents' windows in shuffles.
+MOST_BYTES = 64_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -19,50 +19,56 @@ def tokens(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(len, words, items): the distinct windows of n item words; the whole item where it is shorter but not empty."""
+    """(item_id, hash, words): the windows of n item words; the whole item where it is shorter but not empty."""
     w = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     w = w.withColumn("len", F.least(F.lit(n), F.size("t")))
-    w = w.select("item_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("len") + 1), lambda i: F.slice(F.col("t"), i, F.col("len")))).alias("words"))
-    return w.groupBy("len", "words").agg(F.collect_set("item_id").alias("items"))
+    w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("len") + 1), lambda i: F.slice(F.col("t"), i, F.col("len")))).alias("words"))
+    return w.select("item_id", F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"), "words").distinct()
 
 
 def starts(k: int) -> Column:
-    """Hashes of the windows of k words, from the word hashes _h; one entry at least."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("_n") - k)), lambda i: F.xxhash64(F.slice(F.col("_h"), i + 1, k)))
+    """(k, p, hash) of the windows of k words, from the word hashes _h."""
+    each = F.transform(F.sequence(F.lit(0), F.col("_n") - k), lambda i: F.struct(F.lit(k).alias("k"), i.alias("p"), F.xxhash64(F.slice(F.col("_h"), i + 1, k)).alias("hash")))
+    return F.when(F.col("_n") >= k, each).otherwise(F.array().cast("array<struct<k:int,p:int,hash:bigint>>"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
     """Per distinct (doc_id, text): copies, n_words, positions hit (sorted), items.
 
-    Every window of every document is hashed inside one scan and looked up in the
-    broadcast set (a shuffled join where the set passes MOST_WINDOWS); a hit is
-    verified on its words. Only hits and one row per document reach the shuffle.
+    Every window of every document, of all item lengths at once, is hashed inside
+    one scan and looked up in the broadcast set; a hit is verified on its words.
+    Where the set's bytes pass `most`, window hashes meet in a shuffle first, one
+    row of four numbers a window, and only hits are then brought back to their
+    documents for the words. Item ids join the hits alone. Null texts have no word,
+    null item ids count as no item; repeated rows are one text with its copies.
+    Columns beside those named are ignored.
     """
-    grams = windows(benchmark, n).cache()
-    lengths = sorted(r[0] for r in grams.select("len").distinct().collect()) or [n]
-    count = grams.count()
-    side = grams.select(F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("_hash"), F.col("words").alias("_words"), F.col("items").alias("_items"))
-    d = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), tokens(F.col("text")).alias("_t"))
-    d = d.withColumns({"_n": F.size("_t"), "_h": F.transform("_t", lambda w: F.xxhash64(w))})
-    # Position 0 is always present, so that documents too short for a window stay.
-    at = [starts(k) for k in lengths]
-    out = None
-    for k, hashes in zip(lengths, at, strict=True):
-        e = d.select("doc_id", "_text", "_n", "_t", F.posexplode(hashes).alias("_p", "_hash"))
-        s = side.where(F.size("_words") == k)
-        j = e.join(F.broadcast(s) if count <= MOST_WINDOWS else s, "_hash", "left")
-        j = j.withColumn("_hit", F.col("_words").isNotNull() & (F.slice(F.col("_t"), F.col("_p") + 1, k) == F.col("_words")))
-        first = (F.col("_p") == 0) if k == lengths[0] else F.lit(False)
-        j = j.where(F.col("_hit") | first)
-        j = j.select("doc_id", "_text", "_n", "_p", F.when(F.col("_hit"), F.lit(k)).alias("_k"), F.when(F.col("_hit"), F.col("_items")).alias("_items"), first.alias("_first"))
-        out = j if out is None else out.unionByName(j)
-    # A hash shared by two windows would repeat position 0; count it once a row through the smallest candidate.
-    spans = F.transform(F.filter(F.collect_set(F.struct("_p", "_k")), lambda x: x["_k"].isNotNull()), lambda x: F.sequence(x["_p"], x["_p"] + x["_k"] - 1))
-    return out.groupBy("doc_id", "_text", F.col("_n").alias("n_words")).agg(
-        F.count_if("_first").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(spans))).alias("positions"),
-        F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items"),
-    )
+    grams = stored(windows(benchmark, n))
+    side = grams.select("hash", "words").distinct()
+    size = side.agg(F.sum(F.aggregate("words", F.lit(24), lambda s, w: s + F.octet_length(w) + 8)).alias("b")).first().b or 0
+    lengths = sorted(r[0] for r in side.select(F.size("words")).distinct().collect())
+    d = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), tokens(F.col("text")).alias("_t")).withColumn("_n", F.size("_t"))
+    every = d.groupBy("doc_id", "_text").agg(F.first("_n").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+    d = d.withColumn("_h", F.transform("_t", lambda w: F.xxhash64(w)))
+    each = F.explode(F.concat(*map(starts, lengths)) if lengths else F.array().cast("array<struct<k:int,p:int,hash:bigint>>")).alias("w")
+    if size <= most:
+        found = d.select("doc_id", "_text", "_t", each).select("doc_id", "_text", "_t", "w.*").join(F.broadcast(side), "hash")
+        found = found.where(F.slice("_t", F.col("p") + 1, F.col("k")) == F.col("words")).select("doc_id", "_text", "k", "p", "hash", "words")
+    else:
+        maybe = d.select("doc_id", "_text", each).select("doc_id", "_text", "w.*").join(side.select("hash").distinct(), "hash", "left_semi")
+        maybe = maybe.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_sha")).agg(F.collect_set(F.struct("k", "p", "hash")).alias("ws"))
+        back = d.select("doc_id", "_text", "_t").join(maybe, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")))
+        back = back.select("doc_id", "_text", "_t", F.explode("ws").alias("w")).select("doc_id", "_text", "w.*", F.slice("_t", F.col("w.p") + 1, F.col("w.k")).alias("words"))
+        found = back.join(side, ["hash", "words"])
+    found = stored(found.select("doc_id", "_text", "k", "p", "hash", "words").distinct())
+    spans = F.transform(F.collect_set(F.struct("p", "k")), lambda x: F.sequence(x["p"], x["p"] + x["k"] - 1))
+    where = found.groupBy("doc_id", "_text").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("positions"))
+    which = found.select("doc_id", "_text", "hash", "words").distinct().join(grams.where("item_id is not null"), ["hash", "words"])
+    which = which.groupBy("doc_id", "_text").agg(F.collect_set("item_id").alias("items"))
+    few = where.join(which, where["doc_id"].eqNullSafe(which["doc_id"]) & (where["_text"] == which["_text"]), "left").select(where["doc_id"].alias("_id"), where["_text"].alias("_sha"), "positions", "items")
+    out = every.join(few, every["doc_id"].eqNullSafe(F.col("_id")) & (every["_text"] == F.col("_sha")), "left")
+    kind = dict(benchmark.dtypes)["item_id"]
+    return out.select("doc_id", "_text", "n_words", "copies", F.coalesce("positions", F.array().cast("array<int>")).alias("positions"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: int = 20) -> DataFrame:
