@@ -170,7 +170,8 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     star = stored(star.selectExpr("least(node, o) a", "greatest(node, o) b").distinct())
     wanted = rep.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("key").alias("fp"), "least", "node")
     source = docs.select(F.col("doc_id").cast("long").alias("least"), text.alias("t"))
-    sets = source.join(wanted.select("least"), "least", "left_semi").mapInArrow(_sets(k), "least long, fp binary, set binary")
+    # One plan at every size: the wanted ids grow with the texts, so these are always dealt by id.
+    sets = source.join(wanted.select("least").hint("merge"), "least", "left_semi").mapInArrow(_sets(k), "least long, fp binary, set binary")
     sets = stored(sets.join(wanted, ["least", "fp"]).select("node", "set").dropDuplicates(["node"]))
     edges = linked(star, sets, percent)
     label = components(edges)
