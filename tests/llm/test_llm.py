@@ -6,6 +6,7 @@ import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,119 @@ def test_shards_are_written_in_slot_order(spark, edges, tmp_path):
     sharding.write_shards(sharding.shard(edges, shards=3), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(EDGES)
     shutil.rmtree(tmp_path / "out")
+
+
+def test_substring_hot_symbols_and_chance_names(spark, monkeypatch):
+    """A passage and near copies in most documents, split over many batches; and names so short that unlike contents share them: both as brute force has it."""
+    rng = np.random.default_rng(7)
+    passage, rows = W[:60], []
+    for i in range(400):
+        w = list(passage)
+        for j in rng.choice(60, rng.integers(0, 3), replace=False):
+            w[j] = f"e{i}_{j}"
+        rows.append((int(rng.permutation(10_000)[0]) * 400 + i, " ".join([f"h{i}{j}" for j in range(rng.integers(0, 9))] + w + W[100 : 100 + rng.integers(0, 20)])))
+    rows += [(10**7 + i, "x " * (13 * i) + "y") for i in range(1, 6)]
+    want = brute.op4(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert by_id(substring.dedup(d.repartition(7), texts=False), *cols) == want
+    ids, texts = zip(*rows[:60], strict=True)
+    monkeypatch.setattr(substring, "mix64", lambda x: x & np.uint64(0x3F))
+    docs = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([t.encode() for t in texts], pa.binary()), pa.array([False] * 60), pa.array([0] * 60, pa.int32())], names=["doc", "t", "copy", "nth"])
+    b = substring.Batch(*docs.columns[:3])
+    keys = [np.unique(b.key[b.row == i]).view(np.int64).tolist() for i in range(60)]
+    parts = pa.Table.from_batches(substring._stretches([docs.append_column("keys", pa.array(keys, pa.list_(pa.int64())))])).to_pandas()
+    parts["known"] = parts["words"].isna()
+    assert len(parts)
+    gone = {(r.doc, r.at + k) for r in parts[parts.known].itertuples() for k in range(r.n)}
+    for _, g in parts[~parts.known].sort_values(["key", "doc"]).groupby("key"):
+        gone |= {(doc, at + k) for doc, at, n in substring._group(list(g[["doc", "at", "n", "words"]].itertuples(index=False, name=None))) for k in range(n)}
+    first: dict = {}
+    for i, t in sorted(rows[:60]):
+        for k in range(len(t.split()) - 12):
+            first.setdefault(tuple(t.split()[k : k + 13]), i)
+    assert gone == {(i, k) for i, t in rows[:60] for k in range(len(t.split()) - 12) if first[tuple(t.split()[k : k + 13])] < i}
+
+
+def test_url_filter_shuffles_only_what_the_filter_passes(spark):
+    """Most pages are on no list and meet in no task; a third have one listed URL."""
+    urls = [(i, "http://hot.example.edu/x/" if i % 3 == 0 else f"http://h{i}.edu/p{i}") for i in range(3_000)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    listed = spark.createDataFrame([("hot.example.edu/x",), (None,), ("",)], "canon string")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, listed).collect()}
+    assert got == {i: "block" if i % 3 == 0 else "allow" for i, _ in urls}
+    long_ = spark.createDataFrame([(1, "http://a.edu/" + "y" * 300_000), (1, "http://a.edu/" + "y" * 300_000), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.filter_urls(long_, listed).orderBy("page_id").collect()] == ["allow", "allow", "block"]
+
+
+def test_clashing_columns_stay(spark):
+    """Columns named like the operators' own results or helpers."""
+    rows = [(i, " ".join(W[: 5 + i % 40]), "en", f"s{i % 3}", 9, 999, 7.5, "p", i, "b") for i in range(60)]
+    d = spark.createDataFrame(rows, SCHEMA + ", size long, target double, pass string, row_number long, block string")
+    mix = mixing.mixed(d)
+    assert mix.columns == d.columns and {(r.size, r.target, r["pass"]) for r in mix.collect()} == {(999, 7.5, "p")}
+    assert all(r.n_chars == len(r.text) for r in mix.collect() if r.text not in {x[1] for x in rows})
+    got = sharding.shard(d)
+    assert {r.row_number for r in got.collect()} == set(range(60)) and {r.target for r in got.collect()} == {7.5}
+    assert substring.dedup(d).count() == minhash.classes(d).count() == 60
+    p = d.selectExpr("doc_id page_id", "'http://a.edu/' url", "block", "'mine' verdict")
+    assert {(r.block, r.verdict) for r in urlfilter.filter_urls(p, p.selectExpr("'' canon")).collect()} == {("b", "allow")}
+
+
+def test_texts_of_one_id_keep_their_links(spark):
+    a, b = (" ".join(W[i : i + 60]) for i in (0, 60))
+    d = spark.createDataFrame([(1, a), (1, b), (6, b), (6, a), (7, a + " x"), (8, b + " y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.classes(d).collect()} == {1: 1, 6: 1, 7: 1, 8: 1}
+    u, v = [1.0, 0.0, 0.1, 0.0], [0.0, 1.0, 0.0, 0.1]
+    e = spark.createDataFrame([(3, u), (3, v), (5, [1.0, 0.01, 0.1, 0.0]), (9, [0.0, 1.0, 0.02, 0.1])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_duplicates(e).collect())
+    assert got == [(3, 1, 3), (3, 1, 3), (5, 1, 3), (9, 1, 3)]
+
+
+def test_star_centres_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 5)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(x if rng.random() > 0.02 or i == 0 else f"e{i}" for x in W[:150])) for i in range(80)]
+    got = by_id(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.op2(rows)
+
+
+def test_multi_sequence_visits_the_nearest_cells():
+    rng = np.random.default_rng(9)
+    x, one, two = rng.normal(size=(40, 6)), rng.normal(size=(9, 3)), rng.normal(size=(7, 3))
+    for visits in (1, 5, 20, 63):
+        got = multiindex.multi_sequence(x, one, two, visits)
+        d = (multiindex.distances(x[:, :3], one) ** 2)[:, :, None] + (multiindex.distances(x[:, 3:], two) ** 2)[:, None, :]
+        assert np.array_equal(got, np.argsort(d.reshape(40, -1), 1, kind="stable")[:, :visits])
+
+
+def test_embedding_recall_on_a_large_table(spark):
+    """20,000 vectors, a group of 3,000 near copies among them, whose links are counted and not expanded."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 24))
+    x[5_000:8_000] = x[0] + 0.15 * rng.normal(size=(3_000, 24))
+    x[9_000:12_000] = x[12_000:15_000] + 0.35 * rng.normal(size=(3_000, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_id(multiindex.near_duplicates(d), "vec_id", "n_links", "component_id")
+    y = x / np.sqrt((x * x).sum(1, keepdims=True))
+    there = sum(int((y[at : at + 1_000] @ y.T >= 0.9).sum()) - 1_000 for at in range(0, 20_000, 1_000))
+    found = sum(n for n, _ in got.values())
+    assert there > 4_000_000 and 0.97 * there <= found <= there
+    assert sum(c == 0 for _, c in got.values()) > 2_900
+
+
+def test_decontamination_by_shuffle_is_the_same(spark, edges):
+    b = spark.createDataFrame([(1, " ".join(W[20:40])), (2, "ONE"), (3, None), (5, "été"), (10, " ".join(W[25:38])), (None, "one")], "item_id long, text string")
+    both = [sorted(str((r.doc_id, r._text, r.copies, r.n_words, r.positions, sorted(r["items"]))) for r in decontam.hits(edges, b, most=m).collect()) for m in (decontam.MOST_BYTES, 0)]
+    assert both[0] == both[1]
+
+
+def test_quality_on_held_out_labels_and_odd_texts(spark):
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    got = cotrain.cotrain(docs, labels.where(~out)).join(labels.where(out), "doc_id")
+    assert got.where("quality_pred = quality").count() >= 0.9 * got.count() > 0
+    odd = spark.createDataFrame([(1, "z" * 700_000, "en", "a", 1), (2, "a b c. d e f", "en", "a", 1), (2, "a b c. d e f", "en", "a", 1), (3, None, None, None, None)], SCHEMA)
+    some = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    rows = cotrain.cotrain(odd, some).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
