@@ -9,6 +9,8 @@ from .shared import lower_az, stored
 
 #: ASCII letters and digits and everything beyond ASCII make words.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Bytes of benchmark windows (words and hashes) that may be broadcast; beyond it they meet the documents' windows in shuffles.
 MOST_BYTES = 64_000_000
@@ -48,7 +50,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: int = MOS
     size = side.agg(F.sum(F.aggregate("words", F.lit(24), lambda s, w: s + F.octet_length(w) + 8)).alias("b")).first().b or 0
     lengths = sorted(r[0] for r in side.select(F.size("words")).distinct().collect())
     d = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), tokens(F.col("text")).alias("_t")).withColumn("_n", F.size("_t"))
-    every = d.groupBy("doc_id", "_text").agg(F.first("_n").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+    sizes = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).alias("_n"))
+    every = sizes.groupBy("doc_id", "_text").agg(F.first("_n").alias("n_words"), F.count(F.lit(1)).alias("copies"))
     d = d.withColumn("_h", F.transform("_t", lambda w: F.xxhash64(w)))
     each = F.explode(F.concat(*map(starts, lengths)) if lengths else F.array().cast("array<struct<k:int,p:int,hash:bigint>>")).alias("w")
     if size <= most:
