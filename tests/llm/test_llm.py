@@ -457,12 +457,6 @@ def test_embedding_recall_on_a_large_table(spark):
     assert sum(c == 0 for _, c in got.values()) > 2_900
 
 
-def test_decontamination_by_shuffle_is_the_same(spark, edges):
-    b = spark.createDataFrame([(1, " ".join(W[20:40])), (2, "ONE"), (3, None), (5, "été"), (10, " ".join(W[25:38])), (None, "one")], "item_id long, text string")
-    both = [sorted(str((r.doc_id, r._text, r.copies, r.n_words, r.positions, sorted(r["items"]))) for r in decontam.hits(edges, b, most=m).collect()) for m in (decontam.MOST_BYTES, 0)]
-    assert both[0] == both[1]
-
-
 def test_quality_on_held_out_labels_and_odd_texts(spark):
     docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
