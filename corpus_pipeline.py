@@ -47,7 +47,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shards)]
 
-#: The n-gram model, sketches and crc32 have no SQL form; tests compare every stage with a brute-force version.
+#: The n-gram model, sketches and crc32 have no SQL form. Tests compare near_dedup and decontamination with brute-force versions here, and the other stages' operators by their properties.
 ORACLE_SQL = None
 
 
