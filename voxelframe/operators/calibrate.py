@@ -36,3 +36,19 @@ def report(samples: DataFrame, k: DataFrame) -> DataFrame:
     band = residuals(samples.where("frac is not null"), k).select("band")
     measured = F.col("frac").isNotNull()
     return est.crossJoin(F.broadcast(band)).select("name", "share", "est", F.when(measured, 0.0).otherwise(F.col("band")).alias("band"), measured.alias("measured"))
+
+
+def document(samples: DataFrame, k: DataFrame) -> DataFrame:
+    """One row of the calibration: model, k, anchors, band_abs, and the estimates of samples(name, share, frac), rounded to 3 and 4 places. The maps are as long as the list of samples; repeated names keep one entry; without anchors band and k are null."""
+    one = report(samples, k).dropDuplicates(["name"])
+    entry = F.struct("name", F.round("est", 4).alias("value"))
+    lists = one.agg(F.sort_array(F.collect_list(F.when(F.col("measured"), entry))).alias("a"), F.sort_array(F.collect_list(entry)).alias("e"))
+    band = residuals(samples.where("frac is not null"), k).select(F.round("band", 4).alias("band_abs"))
+    return lists.crossJoin(F.broadcast(band)).crossJoin(F.broadcast(k)).select(
+        F.lit("p_voxel = 1 - (1-p_chunk)^k").alias("model"), F.round("k", 3).alias("k"), F.map_from_entries("a").alias("anchors"), "band_abs", F.map_from_entries("e").alias("estimates")
+    )
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """By falling share, then name."""
+    return rows.orderBy(F.desc("share"), "name")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.frames import to_grid
+from .sampling import bilinear
+
 #: One annotation file: collections of points.
 POINT = "struct<creation_time:bigint,p:array<double>,wind_a:double>"
 CONSTRAINTS = f"struct<collections:map<string,struct<color:array<double>,metadata:struct<winding_is_absolute:boolean>,name:string,points:map<string,{POINT}>>>>"
@@ -52,3 +55,36 @@ def load(files: DataFrame) -> DataFrame:
     d = d.select("collection", F.posexplode(F.col("c.points")).alias("pos", "id", "p"))
     w = Window.partitionBy("collection").orderBy(F.coalesce("p.creation_time", F.lit(0)), "pos")
     return d.select(F.col("collection").cast("long").alias("collection"), F.row_number().over(w).alias("n"), *[F.col("p.p")[i].alias(c) for i, c in enumerate("xyz")])
+
+
+def annotate(clicks: DataFrame, mesh: DataFrame, height: int | Column, width: int, scale: Column) -> DataFrame:
+    """clicks(collection, seq, u, v, ...) on a rendered image, with x, y, z of the mesh below; clicks beside all valid cells go. (collection, seq) names a click; columns that height and scale name are the clicks'."""
+    gu, gv = to_grid(F.col("u"), F.col("v"), scale)
+    at = clicks.withColumns({"id": F.struct("collection", "seq"), "gv": gv, "gu": gu})
+    got = bilinear(at, mesh, height, width).where("x is not null and y is not null and z is not null")
+    return clicks.join(got.select("id.collection", "id.seq", "x", "y", "z"), ["collection", "seq"])
+
+
+def export_kinds(points: DataFrame, now: int = 0) -> DataFrame:
+    """Of points(collection, mode, wind_a, seq, x, y, z) one row a collection: kind, k, name, json. Kinds are `same` (that mode; wind_a is null) and `relative` (all others); collections are numbered from 1 within a kind, points from 0 in order of seq. Collections without points have no row. Only the collections' keys are numbered, not their points."""
+    p = points.withColumn("kind", F.when(F.col("mode") == "same", "same").otherwise("relative"))
+    k = p.select("kind", "collection").distinct().withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("collection")))
+    i = F.row_number().over(Window.partitionBy("kind", "collection").orderBy("seq")) - 1
+    wind = F.when(F.col("kind") != "same", F.col("wind_a").cast("double"))
+    value = F.struct((F.col("i") + now).cast("long").alias("creation_time"), F.array("x", "y", "z").alias("p"), wind.alias("wind_a"))
+    d = p.withColumn("i", i).groupBy("kind", "collection").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("value")))).alias("entries")).join(k, ["kind", "collection"])
+    name = F.concat(F.when(F.col("kind") == "same", "same_wrap").otherwise("wraps"), F.col("collection").cast("string"))
+    both = [
+        F.get(F.array(*[F.array(*map(F.lit, c)) for c in PALETTE]), (F.col("k") - 1) % len(PALETTE)).alias("color"),
+        F.struct(F.lit(False).alias("winding_is_absolute")).alias("metadata"),
+        name.alias("name"),
+        F.map_from_entries(F.transform("entries", lambda e: F.struct(e["i"].cast("string"), e["value"]))).alias("points"),
+    ]
+    fill = [F.lit(0.0).alias("autoFillConstant"), F.lit(1).alias("autoFillMode")]
+    text = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return d.select("kind", "k", name.alias("name"), F.when(F.col("kind") == "same", text(*both)).otherwise(text(*both, *fill)).alias("json"))
+
+
+def kinds(exported: DataFrame) -> DataFrame:
+    """Collections of each kind."""
+    return exported.groupBy("kind").agg(F.count(F.lit(1)).alias("collections"))

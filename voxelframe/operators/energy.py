@@ -11,6 +11,18 @@ def depth(samples: DataFrame) -> DataFrame:
     return samples.groupBy("v", "u").agg(F.avg("v53").alias("m53"), F.avg("v70").alias("m70"), F.max("v53").alias("x53"), F.max("v70").alias("x70"), F.bool_or("valid").alias("valid"))
 
 
+def layer(samples: DataFrame, offset: int) -> DataFrame:
+    """One depth layer: per pixel the mean of both energies at the offset."""
+    return samples.where(F.col("offset") == offset).groupBy("v", "u").agg(F.avg("v53").alias("m53"), F.avg("v70").alias("m70"))
+
+
+def normalise(pixels: DataFrame, col: str) -> DataFrame:
+    """u8: the column between its least and greatest value as 0..255, truncated; a range below 1 counts as 1. The bounds are one broadcast row."""
+    b = pixels.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    u8 = F.floor((F.col(col) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * 255)
+    return pixels.crossJoin(F.broadcast(b)).withColumn("u8", u8.cast("long")).drop("_lo", "_hi")
+
+
 def log_ratio(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("lr", F.log((F.col("m53") + 1) / (F.col("m70") + 1)))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.frames import nearest
 
@@ -68,3 +71,35 @@ def interpolate(points: DataFrame, control: DataFrame) -> DataFrame:
     j = p.join(F.broadcast(s), (F.col("zc") >= F.col("z0")) & ((F.col("zc") < F.col("z1")) | F.col("z1").isNull()))
     f = F.coalesce((F.col("zc") - F.col("z0")) / (F.col("z1") - F.col("z0")), F.lit(0.0))
     return j.withColumns({"cx": F.col("x0") + f * (F.coalesce("x1", "x0") - F.col("x0")), "cy": F.col("y0") + f * (F.coalesce("y1", "y0") - F.col("y0"))}).drop("lo", "hi", "zc", "z0", "x0", "y0", "z1", "x1", "y1")
+
+
+#: Points of one chunk that one task gathers; a chunk of more meets several tasks.
+GATHER = 50_000
+
+
+def lookup_chunks(points: DataFrame, chunks: DataFrame, size: tuple[int, int, int], extent: tuple[int, int, int]) -> DataFrame:
+    """points(x, y, z, ...) with `value` of the nearest voxel of a chunk table of this grid; 0 where no chunk is, or a place is null.
+
+    Only chunks that points fall into are shuffled, once for each GATHER of their
+    points, and voxels are never rows. Repeated points count each time.
+    """
+    key = ["_cz", "_cy", "_cx"]
+    at = {c: nearest(F.col(c), n) for c, n in zip("zyx", extent, strict=True)}
+    p = points.withColumns({f"_k{c}": k for c, k in at.items()}).withColumns({f"_c{c}": F.floor(F.col(f"_k{c}") / n).cast("int") for c, n in zip("zyx", size, strict=True)})
+    dim = {c: F.least(F.lit(n), F.lit(e) - F.col(f"_c{c}") * n) for c, n, e in zip("zyx", size, extent, strict=True)}
+    inner = {c: F.col(f"_k{c}") - F.col(f"_c{c}") * n for c, n in zip("zyx", size, strict=True)}
+    p = p.withColumn("_off", ((inner["z"] * dim["y"] + inner["y"]) * dim["x"] + inner["x"]).cast("int")).select(F.struct(*points.columns).alias("p"), *key, "_off")
+    known = p.where("_off is not null")
+    parts = known.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / GATHER).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = known.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64("p"), F.coalesce("_parts", F.lit(1))))
+    lists = dealt.groupBy(*key, "_part").agg(F.collect_list("p").alias("ps"), F.collect_list("_off").alias("offs"))
+    blocks = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("cz", "cy", "cx")], "data")
+    out = StructType([StructField("p", p.schema["p"].dataType), StructField("value", LongType())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.zeros(len(o), np.int64) if d is None else np.frombuffer(d, np.uint8)[o].astype(np.int64) for o, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).flatten(), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["p", "value"])
+
+    found = lists.join(blocks, key, "left").select("ps", "offs", "data").mapInArrow(gather, out)
+    return found.unionAll(p.where("_off is null").select("p", F.lit(0).cast("long"))).select("p.*", "value")

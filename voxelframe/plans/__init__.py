@@ -1 +1,3 @@
-"""Spark-native analytics for chunked volumes and the surfaces traced through them."""
+"""Views, named queries and their SQL."""
+
+from . import file_queries as file_queries  # registers its queries beside those of `queries`

@@ -6,6 +6,7 @@ import math
 
 from ..functions import frames
 from ..operators.stencil import DIFF, SMOOTH
+from .file_queries import BOX
 from .queries import CHUNK, MATRIX, PLANES
 from .views import sql
 
@@ -70,6 +71,34 @@ spr AS (SELECT collection, count(*) n, median(abs(resid-m))+1e-6 mad, max(abs(re
 NAMED = "row_number() OVER (ORDER BY collection)"
 
 
+def _files(core: dict[str, str], planes: str) -> dict[str, str]:
+    """SQL of the queries that go through files."""
+    frac = "round(phantom/positives,6) frac"
+    axes = ", ".join(f"round({c},6)+0.0 {c}" for c in ("x", "y", "z", "nx", "ny", "nz"))
+    inside = " AND ".join(f"{c}>={lo} AND {c}<{hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True))
+    ok = "valid AND ((v//10+u//10)%3<>0 OR (v+u)%5=0)"
+    clicks = f"hit AS (SELECT b.*, id%7+1 c, CASE WHEN (id%7+1)%2=1 THEN 'same' ELSE 'relative' END kind FROM ({core['bilinear_lookup'].replace(',5)+0.0 ', ',4)+0.0 ').replace(',5) ', ',4) ')}) b WHERE x IS NOT NULL)"
+    lut = "cast(floor(CASE WHEN val<=128 THEN val*0.5 ELSE 64+(val-128)*191.0::double/127 END) as bigint)"
+    return {
+        "array_survey": sql(planes.format(w=""), "vox"),
+        "array_box": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
+        "array_sample": core["nearest_sample"],
+        "points_file": sql(f"SELECT cast(vec_id//20 as int) v, cast(vec_id%20 as int) u, {axes}, (x<>0 OR y<>0 OR z<>0) valid FROM pts WHERE vec_id//20%2=0 AND vec_id%20%2=0", "pts"),
+        "image_stack": core["nearest_sample"],
+        "mesh_files": sql("SELECT cast(gv as int) gv, cast(gu as int) gu, CASE WHEN valid THEN x ELSE 0 END x, CASE WHEN valid THEN y ELSE 0 END y, CASE WHEN valid THEN z ELSE 0 END z, valid, 0.5::double AS \"scale\" FROM mesh", "mesh"),
+        "affine_file": sql("SELECT vec_id, round(" + "+".join(f"{v}*{c}" if c else f"{v}" for v, c in zip(MATRIX[0], ("x", "y", "z", ""), strict=True)) + ",4) x, round(x,4) bx, round(y,4) \"by\", round(z,4) bz FROM pts", "pts"),
+        "survey_files": sql(f"SELECT 'Alpha' AS name, {frac} FROM (SELECT {COUNTS} FROM vox) UNION ALL SELECT 'beta', {frac} FROM (SELECT {COUNTS} FROM vox WHERE z%8=0)", "vox"),
+        "calib_file": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(coalesce(frac,1-pow(1-share,k)),4) est, round(k,3) k, round(band,4) band_abs, round(frac,4) anchor FROM smp, fit, band", "vox"),
+        "patch_canvas": sql(f', {RATIO}, pat AS (SELECT v,u,lr,{ok} ok FROM rat), shr AS (SELECT *, avg(ok::int) OVER (PARTITION BY v//10,u//10) share FROM pat) SELECT v AS "row", u col, CASE WHEN ok THEN round(lr,6)+0.0 ELSE 0 END lr, ok covered FROM shr WHERE share>=0.3', "energy"),
+        "annotate_export": f"WITH {clicks} SELECT kind, cast(dense_rank() OVER (PARTITION BY kind ORDER BY c) as int) k, (CASE WHEN kind='same' THEN 'same_wrap' ELSE 'wraps' END)||c AS name, CASE WHEN kind<>'same' THEN 1 END fill, cast(row_number() OVER (PARTITION BY c ORDER BY id)-1 as int) i, x, y, z, CASE WHEN kind<>'same' THEN c*0.5::double END wind_a FROM hit",
+        "export_counts": f"WITH {clicks} SELECT kind, count(DISTINCT c) collections FROM hit GROUP BY 1",
+        "mid_layer": sql('SELECT v, u, round(avg(v53),5) m53, round(avg(v70),5) m70 FROM energy WHERE "offset"=4 GROUP BY 1,2', "energy"),
+        "projection_u8": sql("SELECT v, u, cast(floor((x53-lo)/greatest(hi-lo,1)*255) as bigint) u8 FROM (SELECT v,u,max(v53) x53 FROM energy GROUP BY 1,2), (SELECT min(m) lo, max(m) hi FROM (SELECT max(v53) m FROM energy GROUP BY v,u))", "energy"),
+        "slice_p99": sql("SELECT z, round(quantile_cont(ct,0.99),6) p99 FROM vox GROUP BY 1", "vox"),
+        "layer_table": sql(f", {GRID}, go AS (SELECT vec_id, t, x+nx*t x, y+ny*t y, z+nz*t z FROM gp, (VALUES (-1.0::double),(0.0::double),(1.0::double)) o(t)) SELECT vec_id, cast(t+1 as int) layer, {lut} u8 FROM ({_lookup('go', 'pred')})", "pts", "vox"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     planes = f"SELECT z, positives, phantom, {FRAC} phantom_frac FROM (SELECT z, {COUNTS} FROM vox {{w}} GROUP BY z)"
     reg, tip = _register("x", "y", "z"), _register("x+10*nx", "y+10*ny", "z+10*nz")
@@ -139,4 +168,5 @@ def oracle_sql() -> dict[str, str]:
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
         "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 >=1 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",
     }
+    out |= _files(out, planes)
     return {k: v.replace(") , ", "), ") for k, v in out.items()}

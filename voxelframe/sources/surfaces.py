@@ -7,11 +7,13 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import nearest
+from . import files as out
 
 _AXES = ["x", "y", "z", "nx", "ny", "nz"]
 _END = b"<>\n"
@@ -122,3 +124,55 @@ def sample(pts: DataFrame, rows: DataFrame, depth: int, height: int, width: int)
     near = rows.selectExpr("z _z", "y _y", "values _values").join(wanted, ["_z", "_y"], "left_semi")
     out = key.join(near, ["_z", "_y"], "left").withColumn("value", F.get("_values", F.col("_x").cast("int")))
     return out.select(*[pts[c] for c in pts.columns], "value")
+
+
+_FILE = "path string, content binary"
+
+
+def _grid(d: pd.DataFrame, v: str, u: str, cols: list[str]) -> np.ndarray:
+    a = np.zeros((int(d[v].max()) + 1, int(d[u].max()) + 1, len(cols)))
+    a[d[v].to_numpy(), d[u].to_numpy()] = d[cols].fillna(0).to_numpy()
+    return a
+
+
+def write_points(grid: DataFrame, path: str) -> int:
+    """grid(file, v, u, x, y, z, nx, ny, nz) as `<path>/<file>`, readable by `points`. Absent places and null values are zeros; a place that comes twice keeps one point. A file is made in one task and must be below 2 GB. Returns the number of files."""
+
+    def one(d: pd.DataFrame) -> pd.DataFrame:
+        a = _grid(d, "v", "u", _AXES)
+        head = f"width: {a.shape[1]}\nheight: {a.shape[0]}\ndim: 6\n".encode() + _END
+        return pd.DataFrame({"path": [f"{path}/{d['file'].iloc[0]}"], "content": [head + a.astype("<f8").tobytes()]})
+
+    return out.write(grid.select("file", "v", "u", *_AXES).groupBy("file").applyInPandas(one, _FILE))
+
+
+def encode_image(a: np.ndarray) -> bytes:
+    """A little-endian image file of one uncompressed strip of 64-bit floats, readable by `float_image`."""
+    h, w = a.shape
+    data = a.astype("<f8").tobytes()
+    tags = {_WIDTH: w, _HEIGHT: h, _BITS: 64, _COMPRESSION: 1, _STRIPS: 8, _SAMPLES: 1, 278: h, _STRIP_BYTES: len(data), _FORMAT: 3}
+    entries = b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in sorted(tags.items()))
+    return b"II" + struct.pack("<HI", 42, 8 + len(data)) + data + struct.pack("<H", len(tags)) + entries + bytes(4)
+
+
+def write_meshes(cells: DataFrame, path: str, scale: float = 1.0) -> int:
+    """cells(mesh, gv, gu, x, y, z) as folders `<path>/<mesh>` of x.tif, y.tif, z.tif and meta.json, readable by `meshes`. Absent cells and nulls are zeros. A mesh is made in one task. Returns the number of files."""
+
+    def one(d: pd.DataFrame) -> pd.DataFrame:
+        a, root = _grid(d, "gv", "gu", ["x", "y", "z"]), f"{path}/{d['mesh'].iloc[0]}"
+        images = {f"{root}/{c}.tif": encode_image(a[:, :, i]) for i, c in enumerate("xyz")} | {f"{root}/meta.json": f'{{"scale": [{scale}, {scale}]}}'.encode()}
+        return pd.DataFrame({"path": list(images), "content": list(images.values())})
+
+    return out.write(cells.select("mesh", "gv", "gu", "x", "y", "z").groupBy("mesh").applyInPandas(one, _FILE))
+
+
+def write_rows(rows: DataFrame, path: str, width: int, height: int, header: int = 368) -> int:
+    """rows(z, y, values) as a stack `<path>/<z, five digits>.tif`, readable by `image_rows`; absent rows are zeros. A slice is made in one task. Returns the number of files."""
+
+    def one(d: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((height, width), "<u2")
+        for y, v in zip(d["y"], d["values"], strict=True):
+            a[y] = v
+        return pd.DataFrame({"path": [f"{path}/{int(d['z'].iloc[0]):05}.tif"], "content": [bytes(header) + a.tobytes()]})
+
+    return out.write(rows.select("z", "y", "values").groupBy("z").applyInPandas(one, _FILE))

@@ -24,8 +24,10 @@ def write(planes: DataFrame, path: str, name: str, **header) -> None:
     planes.select(*PLANE).repartitionByRange(1, "z").sortWithinPartitions("z").write.csv(f"{path}/survey_{name}_planes.csv", header=True)
 
 
-def anchors(spark: SparkSession, path: str) -> DataFrame:
-    """name, frac of the surveys under a glob. The name follows `survey_` in the path up to `_` or `.`; of several surveys of a name the last path counts. One without a fraction has no row."""
+def anchors(spark: SparkSession, path: str, spelling: str = "") -> DataFrame:
+    """name, frac of the surveys under a glob. The name follows `survey_` in the path up to `_` or `.`; of several surveys of a name the last path counts. One without a fraction has no row. A name that begins with `spelling` in any case is spelt that way."""
     d = spark.read.schema(SURVEY).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("at"))
     d = d.withColumn("name", F.regexp_extract("at", r"survey_([^_./]+)[^/]*(?:/[^/]*)?$", 1)).where("name <> '' and sampled_phantom_frac is not null")
+    if spelling:
+        d = d.withColumn("name", F.when(F.lower("name").startswith(spelling.lower()), F.concat(F.lit(spelling), F.substr("name", F.lit(len(spelling) + 1)))).otherwise(F.col("name")))
     return d.groupBy("name").agg(F.max_by("sampled_phantom_frac", "at").alias("frac"))
