@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTES_LOWER, dropped, mix64, stored
+from .shared import dropped, mix64, stored
 
 #: Classes of a small vocabulary; a larger one gets the cube root of its words, so that the class table stays below the vocabulary.
 CLASSES = 48
@@ -24,10 +23,8 @@ SHARES = (2, 8, 32)
 HEAD = 100_000
 #: The end of a text counts as a token; an empty string is no word.
 END = b""
-#: A worker's partial word counts are sent on at this size.
-FLUSH = 400_000
-#: Word pairs are summed in the worker over so many tokens.
-TOKENS = 4_000_000
+#: Word pairs are summed in the worker over so many tokens, and what stands beside words outside the head over so many of these.
+TOKENS, REST = 4_000_000, 1_000_000
 #: Counts up to this size have their gains tabulated.
 LEVELS = 16
 
@@ -36,27 +33,48 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def split(text: bytes | None) -> list[bytes]:
-    words = (text or b"").translate(BYTES_LOWER).split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts (binary, null: empty) in one array, and where each text's words start in it."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, pa.scalar(b"", texts.type)).view(pa.string())))
+    at, words = lists.offsets.to_numpy(), lists.flatten().view(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0  # space at an end of a text gives an empty string
+    if not full.all():
+        at, words = np.append(0, np.cumsum(full))[at], words.filter(pa.array(full))
+    return at, words
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
+def encoded(texts: pa.Array, head: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Every token's place in the head (which has END), or len(head), the places where texts start, and the words, without ends."""
+    at, words = tokens(texts)
+    x = pc.fill_null(pc.index_in(words, value_set=head), len(head)).to_numpy().astype(np.int64)
+    return np.insert(x, at[1:], pc.index(head, pa.scalar(END, head.type)).as_py()), at + np.arange(len(at)), words
+
+
+def outside(x: np.ndarray, at: np.ndarray, words: pa.Array, other: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the tokens outside the head the places, the texts and the words."""
+    t = np.flatnonzero(x == other)
+    text = np.searchsorted(at, t, "right") - 1
+    return t, text, words.take(pa.array(t - text))
+
+
+def packed(at: np.ndarray, values: np.ndarray, kind: type = np.int32) -> pa.Array:
+    """Integers as bytes, a row's from one place of `at` to the next: Spark moves them as they are, not one by one."""
+    v = np.ascontiguousarray(values, kind)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((np.asarray(at) * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "n"])
-        total.clear()
-        return out
 
+def unpacked(col: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """What `packed` was given."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+    values = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+    return (at - at[0]) // np.dtype(kind).itemsize, values
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total.update(split(text))
-            if len(total) > FLUSH:
-                yield flush()
-    if total:
-        yield flush()
+        if len(batch):
+            found = tokens(batch.column(0))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([len(batch)], pa.int64())])], names=["word", "n"])
 
 
 def fingerprint(word: bytes) -> int:
@@ -68,8 +86,8 @@ def _pairs(shared):
     """(w, side, c, n): of each word of the head, or of -1 for all others, the head's words beside it and how often; side 0 before, 1 after. Summed over many texts before they leave the worker; a word of no place in the head counts as the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
-        get, other = ids.get, len(ids)
+        head = shared.value
+        other = len(head)
         kept: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -81,30 +99,28 @@ def _pairs(shared):
                 w, c, m = w[order], c[order], n[order]
                 first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 own = w[first] < other
-                at = pa.array(np.append(first, len(w)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (c, m)]
+                lists = [packed(np.append(first, len(w)), x) for x in (c, m)]
                 out = pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), pa.array(np.full(len(first), side, np.int8)), *lists], names=["w", "side", "c", "n"])
                 yield out if own.all() else out.filter(pa.array(own))
 
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = split(text)
-                x = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
-                kept.append((np.r_[x[-1], x[:-1]] << 32) | x)  # the last token is END, and so is what stands before the first
-                size += len(x)
-                if size > TOKENS:
-                    yield from flush()
-                    size = 0
+            if not len(batch):
+                continue
+            x, _, _ = encoded(batch.column(0), head)
+            kept.append((np.r_[x[-1], x[:-1]] << 32) | x)  # a text's last token is END, and so is what stands before the next one's first
+            size += len(x)
+            if size > TOKENS:
+                yield from flush()
+                size = 0
         if kept:
             yield from flush()
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by w → one row a word: (w, cb, nb, ca, na), the words before and after it, summed; the last word is carried over."""
-    held = None
+def _merged(other: int):
+    """Rows sorted by w → one row a word: (w, cb, nb, ca, na, beyond), the words before and after it, summed, and how often a word outside the head is after it; the last word is carried over."""
 
     def out(w, side, c, n):
         first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
@@ -112,36 +128,41 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = []
         for s in (0, 1):
             on = side == s
-            at = pa.array(np.append(0, np.cumsum(np.bincount(which[on], minlength=len(first)))).astype(np.int32))
-            lists += [pa.ListArray.from_arrays(at, pa.array(x[on].astype(np.int32))) for x in (c, n)]
-        return pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), *lists], names=["w", "cb", "nb", "ca", "na"])
+            at = np.append(0, np.cumsum(np.bincount(which[on], minlength=len(first))))
+            lists += [packed(at, c[on]), packed(at, n[on], np.int64)]
+        on &= c == other
+        beyond = np.bincount(which[on], n[on], len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), *lists, pa.array(beyond)], names=["w", "cb", "nb", "ca", "na", "beyond"])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        at = batch.column(2).offsets.to_numpy()
-        row = np.repeat(np.arange(len(batch)), np.diff(at))
-        x = (batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], *(batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (2, 3)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            at, c = unpacked(batch.column(2))
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            x = (batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], c, unpacked(batch.column(3))[1])
+            if held is not None:
+                x = tuple(np.concatenate(p) for p in zip(held, x, strict=True))
+            order = np.lexsort((x[2], x[1], x[0]))
+            w, side, c, n = (v[order] for v in x)
+            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (side[1:] != side[:-1]) | (c[1:] != c[:-1])))
+            x = (w[first], side[first], c[first], np.add.reduceat(n.astype(np.int64), first))
+            tail = x[0] == x[0][-1]
+            held = tuple(v[tail] for v in x)
+            if not tail.all():
+                yield out(*(v[~tail] for v in x))
         if held is not None:
-            x = tuple(np.concatenate(p) for p in zip(held, x, strict=True))
-        order = np.lexsort((x[2], x[1], x[0]))
-        w, side, c, n = (v[order] for v in x)
-        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (side[1:] != side[:-1]) | (c[1:] != c[:-1])))
-        x = (w[first], side[first], c[first], np.add.reduceat(n.astype(np.int64), first))
-        tail = x[0] == x[0][-1]
-        held = tuple(v[tail] for v in x)
-        if not tail.all():
-            yield out(*(v[~tail] for v in x))
-    if held is not None:
-        yield out(*held)
+            yield out(*held)
+
+    return run
 
 
 def _sides(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of rows (w, cb, nb, ca, na): side, and of each of its entries the row, the neighbour and the count."""
-    for side, i in ((0, 1), (1, 3)):
-        at = batch.column(i).offsets.to_numpy()
-        c, n = (batch.column(j).values.to_numpy()[at[0] : at[-1]] for j in (i, i + 1))
-        yield side, np.repeat(np.arange(len(batch)), np.diff(at)), c, n
+    for side, c, n in ((0, "cb", "nb"), (1, "ca", "na")):
+        at, beside = unpacked(batch.column(c))
+        yield side, np.repeat(np.arange(len(batch)), np.diff(at)), beside, unpacked(batch.column(n), np.int64)[1]
 
 
 def _matrix(out: np.ndarray) -> pa.RecordBatch:
@@ -161,21 +182,17 @@ def _joint(shared, k: int):
             out.reshape(-1)[:] += np.bincount(l.astype(np.int64) * k1 + r, n, k1 * k1)
 
         for batch in batches:
-            w = batch.column(0).to_numpy()
-            for side, row, c, n in _sides(batch):
-                mine, beside = cls[w[row]], cls[c]
-                if side == 0:  # all pairs that end in the head
-                    add(beside, mine, n)
-                else:  # pairs that begin in the head and end outside
-                    rest = c == other
-                    add(mine[rest], beside[rest], n[rest])
-                if once is not None:
-                    new = once[w[row]]
-                    none = np.full(int(new.sum()), k)
-                    add(*((beside[new], none) if side == 0 else (none, beside[new])), n[new])
-                    if side == 0:
-                        both = new & once[c]
-                        out[k, k] += n[both].sum()
+            w, beyond = batch.column("w").to_numpy(), batch.column("beyond").to_numpy()
+            at, c = unpacked(batch.column("cb"))
+            add(cls[c], np.repeat(cls[w], np.diff(at)), unpacked(batch.column("nb"), np.int64)[1])  # all pairs that end in the head
+            add(cls[w], np.full(len(w), cls[other]), beyond)  # pairs that begin in the head and end outside
+            for side, row, c, n in _sides(batch) if once is not None else ():
+                new = once[w[row]]
+                none, beside = np.full(int(new.sum()), k), cls[c]
+                add(*((beside[new], none) if side == 0 else (none, beside[new])), n[new])
+                if side == 0:
+                    both = new & once[c]
+                    out[k, k] += n[both].sum()
         yield _matrix(out)
 
     return run
@@ -293,62 +310,88 @@ def _tail(shared, k: int):
     """(word, code, n, prev): of each word outside the head the classes beside it (side x (k + 1) + class) and how often, and the fingerprints of words before it that are outside the head too; summed over many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cls = shared.value
-        get, other = ids.get, len(ids)
-        place: dict[bytes, int] = {}
-        codes: list[np.ndarray] = []
-        prev: list[tuple[int, int]] = []
+        head, cls = shared.value
+        other = len(head)
+        kept: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            row = code >> 32
-            at = np.append(0, np.cumsum(np.bincount(row, minlength=len(place)))).astype(np.int32)
-            before = np.array(sorted(prev), np.int64).reshape(-1, 2)
-            to = np.append(0, np.cumsum(np.bincount(before[:, 0], minlength=len(place)))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(x)) for o, x in ((at, (code & (2**32 - 1)).astype(np.int32)), (at, n.astype(np.int32)), (to, before[:, 1]))]
-            out = pa.RecordBatch.from_arrays([pa.array(list(place), pa.binary()), *lists], names=["word", "code", "n", "prev"])
-            place.clear(), codes.clear(), prev.clear()
-            return out
+            named = pa.concat_arrays([x[0] for x in kept]).dictionary_encode()
+            before, after, follows = (np.concatenate(x) for x in list(zip(*kept, strict=True))[1:])
+            kept.clear()
+            row, words = named.indices.to_numpy().astype(np.int64), named.dictionary
+            code, n = np.unique(np.r_[(row << 32) | before, (row << 32) | (k + 1 + after)], return_counts=True)
+            at = np.append(0, np.cumsum(np.bincount(code >> 32, minlength=len(words))))
+            second = np.flatnonzero(follows)  # the word before is the one before in this list too
+            second = second[np.argsort(row[second], kind="stable")]
+            used, which = np.unique(row[second - 1], return_inverse=True)
+            prev = np.array([fingerprint(x) for x in words.take(pa.array(used)).to_pylist()], np.uint64).view(np.int64)[which]
+            to = np.append(0, np.cumsum(np.bincount(row[second], minlength=len(words)))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([words, packed(at, code & (2**32 - 1)), packed(at, n), pa.ListArray.from_arrays(pa.array(to), pa.array(prev))], names=["word", "code", "n", "prev"])
 
+        size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = split(text)
-                x = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
-                t = np.flatnonzero(x == other)
-                if not len(t):
-                    continue
-                c = cls[x].astype(np.int64)
-                row = np.fromiter((place.setdefault(words[i], len(place)) for i in t.tolist()), np.int64, len(t)) << 32
-                codes += [row | c[t - 1], row | (k + 1 + c[t + 1])]
-                for i in np.flatnonzero(x[t - 1] == other).tolist():
-                    h = fingerprint(words[t[i] - 1])
-                    prev.append((int(row[i] >> 32), h - (1 << 64) if h >> 63 else h))
-                if len(place) > FLUSH:
-                    yield flush()
-        if place:
+            if not len(batch):
+                continue
+            x, at, words = encoded(batch.column(0), head)
+            t, _, mine = outside(x, at, words, other)
+            if not len(t):
+                continue
+            kept.append((mine, cls[x[t - 1]].astype(np.int64), cls[x[t + 1]].astype(np.int64), x[t - 1] == other))
+            size += len(t)
+            if size > REST:
+                yield flush()
+                size = 0
+        if kept:
             yield flush()
 
     return run
 
 
 def _assigned(shared):
-    """Of words outside the head, all in the last class so far, the best class: (word, count, c, code, n, prev)."""
+    """Rows sorted by word of words outside the head, all in the last class so far → one row a word with its best class: (word, count, c, code, n, prev); the last word is carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shared.value
         k, table = len(n) - 1, rises(n)
+        once = np.full((k + 1) ** 2, -1, np.int32)  # best classes of words seen once, by the classes before and after
+
+        def best(row: np.ndarray, code: np.ndarray, v: np.ndarray, words: int) -> np.ndarray:
+            return best_classes(n, table, np.full(words, k), row, code // (k + 1), code % (k + 1), v)[0]
+
+        def classed(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+            m = len(first)
+            at, code = unpacked(batch.column(1))
+            word = np.repeat(np.arange(m), np.diff(np.append(first, len(batch))))
+            key, which = np.unique(np.repeat(word, np.diff(at)) * (2 * k + 2) + code, return_inverse=True)
+            v = np.bincount(which, unpacked(batch.column(2))[1], len(key))
+            row, code = key // (2 * k + 2), key % (2 * k + 2)
+            count = np.bincount(row[code <= k], v[code <= k], m).astype(np.int64)
+            at = np.searchsorted(row, np.arange(m + 1))
+            c, single = np.zeros(m, np.int32), count == 1
+            pair = code[at[:-1][single]] * (k + 1) + code[at[:-1][single] + 1] - (k + 1)
+            if len(new := np.unique(pair[once[pair] < 0])):
+                once[new] = best(np.repeat(np.arange(len(new)), 2), np.stack([new // (k + 1), new % (k + 1) + k + 1], 1).ravel(), np.ones(2 * len(new)), len(new))
+            c[single] = once[pair]
+            rest = ~single[row]
+            c[~single] = best((np.cumsum(~single) - 1)[row[rest]], code[rest], v[rest], m - len(pair))
+            prev = batch.column(3)
+            to = prev.offsets.to_numpy()
+            prev = pa.ListArray.from_arrays(pa.array((to[np.append(first, len(batch))] - to[0]).astype(np.int32)), prev.values.slice(to[0], to[-1] - to[0]))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(count), pa.array(c), packed(at, code), packed(at, v, np.int64), prev], names=["word", "count", "c", "code", "n", "prev"])
+
+        held = None
         for batch in batches:
             if not len(batch):
                 continue
-            at = batch.column(1).offsets.to_numpy()
-            code, m = (batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (1, 2))
-            row = np.repeat(np.arange(len(batch)), np.diff(at))
-            key, which = np.unique(row * (2 * k + 2) + code, return_inverse=True)
-            v = np.bincount(which, m, len(key))
-            row, code = key // (2 * k + 2), key % (2 * k + 2)
-            best, _ = best_classes(n, table, np.full(len(batch), k), row, code // (k + 1), code % (k + 1), v)
-            count = np.bincount(row[code <= k], v[code <= k], len(batch)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(best.astype(np.int32)), *batch.columns[1:]], names=["word", "count", "c", "code", "n", "prev"])
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            word = batch.column(0)
+            first = np.flatnonzero(np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)))
+            held = batch.slice(first[-1])
+            if len(first) > 1:
+                yield classed(batch.slice(0, first[-1]), first[:-1])
+        if held is not None:
+            yield classed(held, np.zeros(1, int))
 
     return run
 
@@ -360,8 +403,8 @@ def _tail_joint(k: int):
         out = np.zeros((k + 1, k + 1))
         for batch in batches:
             count, c = (batch.column(i).to_numpy() for i in (0, 1))
-            at = batch.column(2).offsets.to_numpy()
-            code, n = (batch.column(i).values.to_numpy()[at[0] : at[-1]] for i in (2, 3))
+            at, code = unpacked(batch.column(2))
+            n = unpacked(batch.column(3), np.int64)[1]
             row = np.repeat(np.arange(len(batch)), np.diff(at))
             side, f = code // (k + 1), code % (k + 1)
             for s in (0, 1):
@@ -420,9 +463,9 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
     k = max(1, min(classes or max(CLASSES, int(np.ceil(m ** (1 / 3)))), m))
     # The last place is all other words, the last class what is in no other.
     cls = np.array([fingerprint(w) % k if every or i < clustered or w == END else k for i, w in enumerate(words)] + [k], np.int32)
-    ids = share_out({w: i for i, w in enumerate(words)})
-    pairs = t.mapInArrow(_pairs(ids), "w int, side byte, c array<int>, n array<int>").repartition("w").sortWithinPartitions("w")
-    pairs = stored(pairs.mapInArrow(_merged, "w int, cb array<int>, nb array<int>, ca array<int>, na array<int>"))
+    known = pa.array(words, pa.binary())
+    pairs = t.mapInArrow(_pairs(share_out(known)), "w int, side byte, c binary, n binary").repartition("w").sortWithinPartitions("w")
+    pairs = stored(pairs.mapInArrow(_merged(len(words)), "w int, cb binary, nb binary, ca binary, na binary, beyond long"))
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffled files
 
     def summed(parts: DataFrame) -> np.ndarray:
@@ -432,7 +475,8 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
         return out
 
     def joint(cls: np.ndarray, once: np.ndarray | None = None) -> np.ndarray:
-        out = summed(pairs.mapInArrow(_joint(share_out((cls, once)), k), "l int, r int, n double"))
+        read = pairs.select("w", "cb", "nb", "beyond") if once is None else pairs
+        out = summed(read.mapInArrow(_joint(share_out((cls, once)), k), "l int, r int, n double"))
         if once is None:
             out[k, k] += total.n - out.sum()  # pairs of two words outside the head
         return out
@@ -458,9 +502,8 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
             break
     in_tail = total.v - len(words)
     if every and in_tail:
-        beside = t.mapInArrow(_tail(share_out((ids.value, cls)), k), "word binary, code array<int>, n array<int>, prev array<long>")
-        beside = beside.repartition("word").groupBy("word").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("code", "n", "prev")])
-        rest = stored(beside.mapInArrow(_assigned(share_out(n)), "word binary, count long, c int, code array<int>, n array<int>, prev array<long>"))
+        beside = t.mapInArrow(_tail(share_out((known, cls)), k), "word binary, code binary, n binary, prev array<long>").repartition("word").sortWithinPartitions("word")
+        rest = stored(beside.mapInArrow(_assigned(share_out(n)), "word binary, count long, c int, code binary, n binary, prev array<long>"))
         n[k], n[:, k] = 0, 0
         n += summed(rest.select("count", "c", "code", "n").mapInArrow(_tail_joint(k), "l int, r int, n double"))
         last = rest.select(F.xxhash64("word").alias("p"), F.col("c").alias("l"), (F.col("count") == 1).alias("lo"))
@@ -477,7 +520,7 @@ def learn(texts: DataFrame, clustered: int | None = None, classes: int | None =
     else:
         tail = counts.where(~in_head).select("word", "n", F.lit(k).alias("c"))
     dropped(pairs)
-    known = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "n": pa.array(count), "c": pa.array(cls[:-1])}))
+    known = spark.createDataFrame(pa.table({"word": known, "n": pa.array(count), "c": pa.array(cls[:-1])}))
     counts = stored(known if tail is None else known.unionByName(tail))
     in_class = np.zeros(k + 1)
     for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect():
@@ -493,49 +536,60 @@ def _score(shared):
     """Of each text what the head's words give, and the other words with their place and the classes of the head's words beside them (-1: not of the head)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, count, cls, step, in_class, rare, below = shared.value
-        get, h, tail = ids.get, len(ids), len(in_class) - 1
-        base_log = np.log10((count + 1) / below)
-        emit = np.log10(np.where(cls < tail, count / np.maximum(in_class[cls], 1), (count + 1) / rare))
-        log_step = np.log10(np.maximum(step, 1e-300))
+        head, count, cls, step, in_class, rare, below = shared.value
+        h, tail = len(head), len(in_class) - 1
+        # The last place is all words outside the head, the last class (-1) theirs: they give nothing here.
+        own = np.append(np.where(cls < tail, np.log10(np.maximum(count, 1e-300) / np.maximum(in_class[cls], 1)), np.log10((count + 1) / rare)), 0.0)
+        base, is_known, of = np.append(np.log10((count + 1) / below), 0.0), np.append(count > 0, False).astype(np.int64), np.append(cls, -1)
+        log_step = np.pad(np.log10(np.maximum(step, 1e-300)), (0, 1))
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for text in batch.column(2).to_pylist():
-                words = split(text)
-                x = np.fromiter(map(get, words, repeat(h)), np.int64, len(words))
-                c = np.where(x < h, cls[np.minimum(x, h - 1)], -1) if h else np.full(len(x), -1)
-                before = np.r_[cls[ids[END]] if h else tail, c[:-1]]
-                both = (c >= 0) & (before >= 0)
-                xi = x[x < h]
-                rest = np.flatnonzero(x >= h)
-                own = float(emit[xi].sum()) + float(log_step[before[both], c[both]].sum())
-                after = np.r_[c[1:], -1]
-                for col, v in zip(cols, (len(words), int((count[xi] > 0).sum()), float(base_log[xi].sum()), own, [words[i] for i in rest], rest, before[rest], after[rest]), strict=True):
-                    col.append(v)
-            ints = pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), ints, ints, ints)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], names=["row", "doc_id", "n_tokens", "known", "base", "own", "words", "at", "before", "after"])
+            if not len(batch):
+                continue
+            x, at, words = encoded(batch.column(2), head)
+            c = of[x]
+            before = np.r_[c[-1], c[:-1]]  # a text's last token is END
+            sums = [np.add.reduceat(v, at[:-1]) for v in (is_known[x], base[x], own[x] + log_step[before, c])]
+            t, text, mine = outside(x, at, words, h)
+            to = pa.array(np.searchsorted(t, at).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(to, v) for v in (mine, *(pa.array(v.astype(np.int32)) for v in (t - at[text], before[t], c[t + 1])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums), *lists], names=["row", "doc_id", "n_tokens", "known", "base", "own", "words", "at", "before", "after"])
 
     return run
 
 
 def _rest(shared):
-    """Of each text what its other words give: x is in order of place, with (at, before, after, c, n)."""
+    """Words outside the head in order of text and place, (row, at, before, after, c, n) → what they give to each text; the last text is carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, step, in_class, rare, below = shared.value
+        step, in_class, rare, below = shared.value
         tail = len(in_class) - 1
         log_step = np.log10(np.maximum(step, 1e-300))
+
+        def out(row, *sums) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, sums)], names=["row", "tb", "ts", "tk"])
+
+        held, last = None, tail
         for batch in batches:
-            x = batch.column(1)
-            off, entry = x.offsets.to_numpy(), x.values
-            before, after, c, n = (entry.field(i).to_numpy()[off[0] : off[-1]] for i in range(1, 5))
-            row = np.repeat(np.arange(len(batch)), np.diff(off))
-            emit = np.log10(np.where(c < tail, n / np.maximum(in_class[c], 1), (n + 1) / rare))
-            into = log_step[np.where(before >= 0, before, np.r_[tail, c[:-1]]), c]
-            out = np.where(after >= 0, log_step[c, np.maximum(after, 0)], 0)
-            sums = [np.bincount(row, v, len(batch)) for v in (np.log10((n + 1) / below), emit + into + out, n > 0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["row", "tb", "ts", "tk"])
+            if not len(batch):
+                continue
+            row, _, before, after, c, n = (batch.column(i).to_numpy() for i in range(6))
+            emit = np.where(c < tail, np.log10(np.maximum(n, 1e-300) / np.maximum(in_class[c], 1)), np.log10((n + 1) / rare))
+            into = log_step[np.where(before >= 0, before, np.r_[last, c[:-1]]), c]
+            onward = np.where(after >= 0, log_step[c, np.maximum(after, 0)], 0)
+            last = c[-1]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            part = [row[first], *(np.add.reduceat(v, first) for v in (np.log10((n + 1) / below), emit + into + onward, (n > 0).astype(np.int64)))]
+            if held is not None:
+                if held[0][0] == row[0]:
+                    for v, w in zip(part[1:], held[1:], strict=True):
+                        v[0] += w[0]
+                else:
+                    part = [np.r_[w, v] for w, v in zip(held, part, strict=True)]
+            held = [v[-1:] for v in part]
+            if len(part[0]) > 1:
+                yield out(*(v[:-1] for v in part))
+        if held is not None:
+            yield out(*held)
 
     return run
 
@@ -552,21 +606,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     tokens every probability is 1.
     """
     spark = docs.sparkSession
-    ids = {w: i for i, (w, _, _) in enumerate(model.head)}
-    count = np.array([c for _, c, _ in model.head], float)
-    cls = np.array([c for _, _, c in model.head], np.int64)
+    head, count, cls = (list(x) for x in zip(*(model.head or [(END, 0, 0)]), strict=True))
+    head, count, cls = pa.array(head, pa.binary()), np.array(count, float), np.array(cls, np.int64)
     share = (model.in_class + (1 if model.head else 0)) / (model.in_class + (1 if model.head else 0)).sum()
     rare = float(model.in_class[-1] + model.distinct - model.clustered + model.unseen) if model.head else 1.0
     step = (model.n + share[None, :]) / (model.n.sum(1, keepdims=True) + 1)
     below = float(model.tokens + model.distinct + 1)
-    shared = spark.sparkContext.broadcast((ids, count, cls, step, model.in_class, rare, below))
+    weights = (step, model.in_class, rare, below)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("t"))
-    part = stored(rows.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, known long, base double, own double, words array<binary>, at array<int>, before array<int>, after array<int>"))
+    part = stored(rows.mapInArrow(_score(spark.sparkContext.broadcast((head, count, cls, *weights))), f"row long, doc_id {kind}, n_tokens long, known long, base double, own double, words array<binary>, at array<int>, before array<int>, after array<int>"))
     tail = part.select("row", F.explode(F.arrays_zip("words", "at", "before", "after")).alias("x")).select("row", F.col("x.words").alias("word"), "x.at", "x.before", "x.after")
     new = len(model.in_class) - 1
-    tail = tail.join(model.counts, "word", "left").select("row", F.struct("at", "before", "after", F.coalesce("c", F.lit(new)).alias("c"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).alias("x"))
-    tail = tail.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_rest(shared), "row long, tb double, ts double, tk long")
+    tail = tail.join(model.counts, "word", "left").select("row", "at", "before", "after", F.coalesce("c", F.lit(new)).alias("c"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    tail = tail.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_rest(spark.sparkContext.broadcast(weights)), "row long, tb double, ts double, tk long")
     zero = F.lit(0.0)
     return part.select("row", "doc_id", "n_tokens", "known", "base", "own").join(tail, "row", "left").select(
         "doc_id",
