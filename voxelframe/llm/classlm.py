@@ -46,7 +46,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def encoded(texts: pa.Array, head: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Every token's place in the head (which has END), or len(head), the places where texts start, and the words, without ends."""
     at, words = tokens(texts)
-    x = pc.fill_null(pc.index_in(words, value_set=head), len(head)).to_numpy().astype(np.int64)
+    x = pc.fill_null(pc.index_in(words, value_set=head), len(head)).to_numpy()
     return np.insert(x, at[1:], pc.index(head, pa.scalar(END, head.type)).as_py()), at + np.arange(len(at)), words
 
 
@@ -57,6 +57,15 @@ def outside(x: np.ndarray, at: np.ndarray, words: pa.Array, other: int) -> tuple
     return t, text, words.take(pa.array(t - text))
 
 
+def tallied(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each comes. Empties the list and sorts in place, so that the codes are held once."""
+    code = np.concatenate(parts)
+    parts.clear()
+    code.sort()
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[first], np.diff(np.append(first, len(code)))
+
+
 def packed(at: np.ndarray, values: np.ndarray, kind: type = np.int32) -> pa.Array:
     """Integers as bytes, a row's from one place of `at` to the next: Spark moves them as they are, not one by one."""
     v = np.ascontiguousarray(values, kind)
@@ -91,8 +100,7 @@ def _pairs(shared):
         kept: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            code, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
+            code, n = tallied(kept)
             l, r = code >> 32, code & (2**32 - 1)
             for side, w, c in ((1, l, r), (0, r, l)):
                 order = np.arange(len(w)) if side else np.argsort((w << 32) | c)
@@ -108,7 +116,10 @@ def _pairs(shared):
             if not len(batch):
                 continue
             x, _, _ = encoded(batch.column(0), head)
-            kept.append((np.r_[x[-1], x[:-1]] << 32) | x)  # a text's last token is END, and so is what stands before the next one's first
+            code = x.astype(np.int64)
+            code[1:] |= code[:-1] << 32
+            code[0] |= int(x[-1]) << 32
+            kept.append(code)  # a text's last token is END, and so is what stands before the next one's first
             size += len(x)
             if size > TOKENS:
                 yield from flush()
@@ -319,7 +330,7 @@ def _tail(shared, k: int):
             before, after, follows = (np.concatenate(x) for x in list(zip(*kept, strict=True))[1:])
             kept.clear()
             row, words = named.indices.to_numpy().astype(np.int64), named.dictionary
-            code, n = np.unique(np.r_[(row << 32) | before, (row << 32) | (k + 1 + after)], return_counts=True)
+            code, n = tallied([(row << 32) | before, (row << 32) | (k + 1 + after)])
             at = np.append(0, np.cumsum(np.bincount(code >> 32, minlength=len(words))))
             second = np.flatnonzero(follows)  # the word before is the one before in this list too
             second = second[np.argsort(row[second], kind="stable")]
@@ -540,7 +551,7 @@ def _score(shared):
         h, tail = len(head), len(in_class) - 1
         # The last place is all words outside the head, the last class (-1) theirs: they give nothing here.
         own = np.append(np.where(cls < tail, np.log10(np.maximum(count, 1e-300) / np.maximum(in_class[cls], 1)), np.log10((count + 1) / rare)), 0.0)
-        base, is_known, of = np.append(np.log10((count + 1) / below), 0.0), np.append(count > 0, False).astype(np.int64), np.append(cls, -1)
+        base, is_known, of = np.append(np.log10((count + 1) / below), 0.0), np.append(count > 0, False).astype(np.int64), np.append(cls, -1).astype(np.int32)
         log_step = np.pad(np.log10(np.maximum(step, 1e-300)), (0, 1))
         for batch in batches:
             if not len(batch):
@@ -548,7 +559,9 @@ def _score(shared):
             x, at, words = encoded(batch.column(2), head)
             c = of[x]
             before = np.r_[c[-1], c[:-1]]  # a text's last token is END
-            sums = [np.add.reduceat(v, at[:-1]) for v in (is_known[x], base[x], own[x] + log_step[before, c])]
+            given = own[x]
+            given += log_step[before, c]
+            sums = [*(np.add.reduceat(v[x], at[:-1]) for v in (is_known, base)), np.add.reduceat(given, at[:-1])]
             t, text, mine = outside(x, at, words, h)
             to = pa.array(np.searchsorted(t, at).astype(np.int32))
             lists = [pa.ListArray.from_arrays(to, v) for v in (mine, *(pa.array(v.astype(np.int32)) for v in (t - at[text], before[t], c[t + 1])))]
