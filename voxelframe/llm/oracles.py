@@ -66,5 +66,38 @@ c AS (SELECT a vec_id, min(b) component_id FROM r GROUP BY 1)
 SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a=v.vec_id) n_links, component_id, component_id=v.vec_id AS kept FROM v JOIN c USING (vec_id)"""
 
 
+def _books(last: int, new: int) -> str:
+    """Assignment by codebooks `last` and the codebooks that it gives."""
+    return f"""a{new} AS ({_assigned(last)}),
+u{new} AS (SELECT p,e,i,sum(x)::bigint s,count(*) n FROM (SELECT p,e,unnest(range(len(v))) i,unnest(v) x FROM a{new}) GROUP BY ALL),
+n{new} AS (SELECT p,e,list((s-((s%n)+n)%n)//n ORDER BY i) v FROM u{new} GROUP BY p,e),
+b{new} AS (SELECT b{last}.p,b{last}.e,coalesce(n.v,b{last}.v) v FROM b{last} LEFT JOIN n{new} n USING (p,e))"""
+
+
+def _assigned(books: int) -> str:
+    far = "list_sum(list_transform(list_zip(r.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))::bigint"
+    return f"SELECT vec_id,label,p,any_value(v) v,arg_min(e,(d,e)) e,min(d) d FROM (SELECT r.vec_id,r.label,r.p,r.v,b.e,{far} d FROM r JOIN b{books} b USING (p)) GROUP BY vec_id,label,p"
+
+
+VECTOR_CODES = f"""WITH k AS (SELECT vec_id,label,list_transform(embedding, lambda x: floor(256*x::double)::bigint) q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+r AS (SELECT vec_id,label,p,q[p*d+1:(p+1)*d] v FROM k, (SELECT max(len(q))//16 d FROM k), range(16) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id)-1 e, v FROM r QUALIFY e<64),
+{_books(0, 1)},
+{_books(1, 2)},
+c AS (SELECT vec_id,label,string_agg(printf('%02x',e::bigint),'' ORDER BY p) code,sum(d)::bigint AS error FROM ({_assigned(2)}) GROUP BY vec_id,label),
+s AS (SELECT sha256(string_agg(array_to_string(v,','),',' ORDER BY p,e)) sha FROM b2)
+SELECT vec_id,code,error,sum(error) OVER (PARTITION BY label)::bigint label_error,sha codebooks_sha256 FROM c, s"""
+
+FILTER_AUDIT = r"""WITH w AS (SELECT doc_id, coalesce(lang,'') part, coalesce(text,'') x, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') w FROM documents),
+l AS (SELECT doc_id, max((quality=1)::int) good, max((toxic=1)::int) toxic FROM labels GROUP BY 1),
+m AS (SELECT part, (len(w)<200)::int+2*(100*len(list_distinct(w))<50*len(w))::int+4*(100*length(regexp_replace(x,'[^A-Z]+','','g'))>3*length(x))::int+8*regexp_matches(x,'[#$%&*|]')::int+16*coalesce(doc_id>min(doc_id) OVER (PARTITION BY x),false)::int mask, coalesce(good,0) good, coalesce(toxic,0) toxic FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) n, sum(good) good, sum(toxic) toxic FROM m GROUP BY ALL),
+f AS (SELECT range::int i, chr(65+range::int) x FROM range(5)),
+o AS (SELECT a.x||b.x||c.x||d.x||e.x filter_order, [a.i,b.i,c.i,d.i,e.i] p FROM f a JOIN f b ON b.i<>a.i JOIN f c ON c.i NOT IN (a.i,b.i) JOIN f d ON d.i NOT IN (a.i,b.i,c.i) JOIN f e ON e.i NOT IN (a.i,b.i,c.i,d.i)),
+s AS (SELECT filter_order, step, (1<<p[step])::int bit, coalesce(list_sum(list_transform(p[1:step-1], lambda v: (1<<v)::int)),0)::int past FROM o, (SELECT unnest(range(1,6))::int step)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask&(past|bit)=0),0)::bigint kept, coalesce(sum(n) FILTER (mask&past=0 AND mask&bit>0),0)::bigint removed, coalesce(sum(n) FILTER (mask&past>0 AND mask&bit>0),0)::bigint redundant, coalesce(sum(n) FILTER (mask=bit),0)::bigint unique_fails, coalesce(sum(good) FILTER (mask&past=0 AND mask&bit>0),0)::bigint good_lost, coalesce(sum(toxic) FILTER (mask&past=0 AND mask&bit>0),0)::bigint toxic_lost FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part,bit)::bigint shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING, "op5_mixing": MIXING, "op7_decontamination": DECONTAMINATION, "op9_url_filter": URLS, "op10_embedding_dedup": EMBEDDINGS}
+    return {"op4_substring_dedup": SUBSTRING, "op5_mixing": MIXING, "op7_decontamination": DECONTAMINATION, "op9_url_filter": URLS, "op10_embedding_dedup": EMBEDDINGS, "op12_vector_codes": VECTOR_CODES, "op13_filter_audit": FILTER_AUDIT}

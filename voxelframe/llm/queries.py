@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, cotrain, decontam, langid, minhash, mixing, multiindex, sharding, substring, urlfilter
+from . import classlm, cotrain, decontam, filteraudit, langid, minhash, mixing, multiindex, sharding, substring, urlfilter, veccode
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccode.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,5 +77,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_minhash, op3_quality, op4_substring_dedup, op5_mixing, op6_sharding, op7_decontamination, op8_class_lm, op9_url_filter, op10_embedding_dedup, pipeline)
+    ops = (op1_language_id, op2_minhash, op3_quality, op4_substring_dedup, op5_mixing, op6_sharding, op7_decontamination, op8_class_lm, op9_url_filter, op10_embedding_dedup, op12_vector_codes, op13_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
