@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, cotrain, decontam, filteraudit, langid, minhash, mixing, multiindex, sharding, substring, urlfilter, veccode
+from . import classlm, cotrain, decontam, filteraudit, langid, minhash, mixing, multiindex, sharding, substring, toxicity, urlfilter, veccode
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = toxicity.learn(docs, labels.where(~held_out).select("doc_id", "toxic"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccode.compress(table(spark, sf_dir, "embeddings"))
 
@@ -77,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_minhash, op3_quality, op4_substring_dedup, op5_mixing, op6_sharding, op7_decontamination, op8_class_lm, op9_url_filter, op10_embedding_dedup, op12_vector_codes, op13_filter_audit, pipeline)
+    ops = (op1_language_id, op2_minhash, op3_quality, op4_substring_dedup, op5_mixing, op6_sharding, op7_decontamination, op8_class_lm, op9_url_filter, op10_embedding_dedup, op11_toxicity, op12_vector_codes, op13_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
