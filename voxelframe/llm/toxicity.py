@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, trees: int =
     table = stored(rows.select("doc_id", F.col("y").cast("double").alias("label"), "part", "weight", featured(lexicons)("text", "part").alias("x")))
     table = table.orderBy("doc_id").coalesce(8).withColumn("features", array_to_vector("x"))
     trained = table.where(F.col("part") < PARTS - 1) if of(0, folds) and of(1, folds) else table
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=3, seed=11).fit(trained).setPredictionCol("_p").setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=128, minInstancesPerNode=3, seed=11).fit(trained).setPredictionCol("_p").setProbabilityCol("_probability").setRawPredictionCol("_raw")
     check = table.where(F.col("part") == PARTS - 1) if sizes.get((PARTS - 1, 0)) and sizes.get((PARTS - 1, 1)) else trained
     scored = model.transform(check).select("label", "weight", vector_to_array("_probability")[1].alias("p"))
     steps = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(scored)
