@@ -119,8 +119,10 @@ def first_books(rows: DataFrame) -> Codebooks:
     """The parts of the ENTRIES smallest ids. Of rows of one id the least vector counts; null ids give no entry, unless no row has an id."""
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     width = -(-width // PARTS) * PARTS
-    known = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    top = [r.vector for r in known.orderBy("vec_id").limit(ENTRIES).collect()] or [r.vector for r in rows.select("vector").distinct().orderBy("vector").limit(ENTRIES).collect()]
+    ids = rows.where("vec_id is not null").groupBy("vec_id").agg(F.lit(1)).orderBy("vec_id").limit(ENTRIES).select("vec_id").collect()
+    # Only the rows of these ids are grouped; the other vectors do not leave their task.
+    some = rows.where(F.col("vec_id") <= ids[-1].vec_id).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy("vec_id").collect() if ids else []
+    top = [r.vector for r in some] or [r.vector for r in rows.select("vector").distinct().orderBy("vector").limit(ENTRIES).collect()]
     q = integers(pa.array(top, pa.list_(pa.float64())), width)
     return Codebooks(q.reshape(len(q), PARTS, width // PARTS).transpose(1, 0, 2), width)
 
