@@ -20,13 +20,3 @@ def split_runs(rows: DataFrame, key: str, col: str, gap: int = 64) -> DataFrame:
     d = rows.select(key, col).distinct().withColumn("new", (F.col(col) - F.lag(col).over(w) > gap).cast("int"))
     d = d.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(w))
     return d.groupBy(key, "run").agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n"))
-
-
-def reflect(c, n: int):
-    """Border rule that repeats the edge."""
-    return F.when(c < 0, -c - 1).when(c >= n, 2 * n - 1 - c).otherwise(c)
-
-
-def mirror(c, n: int):
-    """Border rule that does not repeat the edge."""
-    return F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)

@@ -1,70 +1,73 @@
-"""Neighbourhood operators on a dense grid (v, u, value), as joins of shifted cells."""
+"""Neighbourhood operators on a dense grid (v, u, value), as kernels on blocks with a halo.
+
+Each gives every cell of the grid; cells without a row are 0 (see grids.apply).
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.frames import unit
-from .snap import mirror, reflect
+from . import grids
+from .grids import BLOCK, MIRROR, REPEAT, correlate
 
 #: The 5 x 5 derivative's smoothing and difference rows.
 SMOOTH, DIFF = (1, 4, 6, 4, 1), (-1, -2, 0, 2, 1)
 
 
-def shifted(grid: DataFrame, h: int, w: int, weights: dict[tuple[int, int], float], border) -> DataFrame:
-    """Each cell's neighbours: (v, u, weight, value). Each neighbour is found by an equi-join on the border-mapped place."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(k)).alias("k")) for (i, j), k in weights.items()])
-    want = grid.select("v", "u").withColumn("c", F.explode(cells))
-    want = want.select("v", "u", border(F.col("v") + F.col("c.i"), h).alias("nv"), border(F.col("u") + F.col("c.j"), w).alias("nu"), F.col("c.k").alias("weight"))
-    return want.join(grid.select(F.col("v").alias("nv"), F.col("u").alias("nu"), "value"), ["nv", "nu"]).select("v", "u", "weight", "value")
+def median5(grid: DataFrame, h: int, w: int, size: int = BLOCK) -> DataFrame:
+    """5 x 5 median, edges repeated."""
 
+    def kernel(x):
+        return [np.median(np.lib.stride_tricks.sliding_window_view(x[0], (5, 5)), axis=(2, 3))]
 
-def median5(grid: DataFrame, h: int, w: int) -> DataFrame:
-    """5 x 5 median, edges repeated."""
-    box = {(i, j): 1.0 for i in range(-2, 3) for j in range(-2, 3)}
-    return shifted(grid, h, w, box, reflect).groupBy("v", "u").agg(F.median("value").alias("value"))
+    return grids.apply(grid, h, w, ["value"], 2, REPEAT, kernel, ["value"], size)
 
 
-def convolve(grid: DataFrame, h: int, w: int, weights: dict[tuple[int, int], float]) -> DataFrame:
-    return shifted(grid, h, w, weights, mirror).groupBy("v", "u").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+def tangents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """5 x 5 derivatives along u and v of an array with a halo of two."""
+    return correlate(correlate(x, SMOOTH, 0), DIFF, 1), correlate(correlate(x, DIFF, 0), SMOOTH, 1)
 
 
-def sobel(grid: DataFrame, h: int, w: int) -> DataFrame:
+def sobel(grid: DataFrame, h: int, w: int, size: int = BLOCK) -> DataFrame:
     """(v, u, du, dv): 5 x 5 derivatives along u and v."""
-    du = {(i - 2, j - 2): SMOOTH[i] * DIFF[j] for i in range(5) for j in range(5)}
-    dv = {(i, j): du[j, i] for i, j in du}
-    one, two = convolve(grid, h, w, du).withColumnRenamed("value", "du"), convolve(grid, h, w, dv).withColumnRenamed("value", "dv")
-    return one.join(two, ["v", "u"])
+    return grids.apply(grid, h, w, ["value"], 2, MIRROR, lambda x: tangents(x[0]), ["du", "dv"], size)
+
 
+def cross(x, y, z) -> list[np.ndarray]:
+    """Unit normals of arrays with a halo of two: the cross product of the tangents along u and v, divided by its length (floor 1e-9)."""
+    (xu, xv), (yu, yv), (zu, zv) = map(tangents, (x, y, z))
+    n = [yu * zv - zu * yv, zu * xv - xu * zv, xu * yv - yu * xv]
+    length = np.maximum(np.sqrt(n[0] ** 2 + n[1] ** 2 + n[2] ** 2), 1e-9)
+    return [c / length for c in n]
 
-def normals(grid: DataFrame, h: int, w: int) -> DataFrame:
-    """(v, u, nx, ny, nz) of a surface grid (v, u, x, y, z): the cross product of its 5 x 5 tangents along u and v, divided by its length (floor 1e-9)."""
-    parts = None
-    for c in "xyz":
-        one = sobel(grid.select("v", "u", F.col(c).alias("value")), h, w).select("v", "u", F.col("du").alias(f"{c}u"), F.col("dv").alias(f"{c}v"))
-        parts = one if parts is None else parts.join(one, ["v", "u"])
-    col = F.col
-    cross = [col(f"{a}u") * col(f"{b}v") - col(f"{b}u") * col(f"{a}v") for a, b in ("yz", "zx", "xy")]
-    return parts.select("v", "u", *[c.alias(f"n{k}") for c, k in zip(unit(*cross), "xyz", strict=True)])
 
+def normals(grid: DataFrame, h: int, w: int, size: int = BLOCK) -> DataFrame:
+    """(v, u, nx, ny, nz) of a surface grid (v, u, x, y, z); all three coordinates go through one shuffle."""
+    return grids.apply(grid, h, w, ["x", "y", "z"], 2, MIRROR, lambda a: cross(*a), ["nx", "ny", "nz"], size)
 
-def gaussian(grid: DataFrame, h: int, w: int, sigma: float = 3.0, size: int = 25) -> DataFrame:
-    """Separable Gaussian blur."""
-    import math
 
-    r = size // 2
+def gaussian(grid: DataFrame, h: int, w: int, sigma: float = 3.0, width: int = 25, size: int = BLOCK) -> DataFrame:
+    """Separable Gaussian blur of `width` (odd) cells; both passes run on one block."""
+    r = width // 2
     k = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
     k = [x / sum(k) for x in k]
-    return convolve(convolve(grid, h, w, {(0, i - r): x for i, x in enumerate(k)}), h, w, {(i - r, 0): x for i, x in enumerate(k)})
-
-
-def resize(grid: DataFrame, h: int, w: int, up: int) -> DataFrame:
-    """Bilinear enlargement with half-pixel centres, clamped at the border."""
-    spark = grid.sparkSession
-    axis = lambda n, c: spark.range(n * up).select(F.col("id").alias(c), F.least(F.greatest((F.col("id") + 0.5) / up - 0.5, F.lit(0.0)), F.lit(n - 1.0)).alias(f"f{c}"))
-    out = axis(h, "ov").crossJoin(axis(w, "ou"))
-    out = out.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
-    part = lambda c, k: F.when(F.col(f"c.{k}") == 1, F.col(f"f{c}") - F.floor(f"f{c}")).otherwise(1 - (F.col(f"f{c}") - F.floor(f"f{c}")))
-    out = out.select("ov", "ou", F.least(F.floor("fov") + F.col("c.i"), F.lit(h - 1)).alias("v"), F.least(F.floor("fou") + F.col("c.j"), F.lit(w - 1)).alias("u"), (part("ov", "i") * part("ou", "j")).alias("k"))
-    return out.join(grid, ["v", "u"]).groupBy("ov", "ou").agg(F.sum(F.col("k") * F.col("value")).alias("value"))
+    return grids.apply(grid, h, w, ["value"], r, MIRROR, lambda x: [correlate(correlate(x[0], k, 1), k, 0)], ["value"], size)
+
+
+def enlarged(x: np.ndarray, up: int) -> np.ndarray:
+    """Bilinear enlargement with half-pixel centres of an array with a halo of one."""
+    for axis in (0, 1):
+        n = (x.shape[axis] - 2) * up
+        at = (np.arange(n) + 0.5) / up + 0.5
+        i = np.floor(at).astype(int)
+        f = (at - i).reshape((-1, 1) if axis == 0 else (1, -1))
+        x = np.take(x, i, axis) * (1 - f) + np.take(x, i + 1, axis) * f
+    return x
+
+
+def resize(grid: DataFrame, h: int, w: int, up: int, size: int = BLOCK) -> DataFrame:
+    """(ov, ou, value): bilinear enlargement with half-pixel centres, clamped at the border."""
+    return grids.apply(grid, h, w, ["value"], 1, REPEAT, lambda x: [enlarged(x[0], up)], ["value"], size, up, ("ov", "ou"))

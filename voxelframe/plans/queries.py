@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable] = {}
 PLANES = (3, 7, 3, 50)
 #: A chunk grid that leaves partial blocks at the far edges of 64^3.
 CHUNK = (16, 24, 24)
+#: Cells on a side of the grids' blocks, small so that these grids have several.
+SIDE = 16
 #: A fixed 3 x 4 test matrix.
 MATRIX = [[0.9, 0.1, 0.0, 5.0], [-0.1, 0.95, 0.05, -3.0], [0.0, 0.02, 1.1, 7.0]]
 
@@ -222,9 +224,8 @@ def snap_islands(s, d):
 @query
 def snap_median5(s, d):
     """Snaps on the full (y, x) grid, missing as 0, then the 5 x 5 median."""
-    g = s.range(64).select(F.col("id").alias("v")).crossJoin(s.range(64).select(F.col("id").alias("u")))
-    got = snap.islands(V.vox(s, d).where(support.positive()), 32).select(F.col("y").alias("v"), F.col("x").alias("u"), "snap")
-    return stencil.median5(g.join(got, ["v", "u"], "left").select("v", "u", F.coalesce("snap", F.lit(0.0)).alias("value")), 64, 64)
+    got = snap.islands(V.vox(s, d).where(support.positive()), 32).select(F.col("y").alias("v"), F.col("x").alias("u"), F.col("snap").alias("value"))
+    return stencil.median5(got, 64, 64, SIDE)
 
 
 @query
@@ -252,27 +253,27 @@ def _dense(s, d):
 @query
 def sobel_normals(s, d):
     """Derivatives of the dense map along u and v."""
-    return stencil.sobel(_dense(s, d), 50, 40)
+    return stencil.sobel(_plane(s, d), 50, 40, SIDE)
 
 
 @query
 def surface_normals(s, d):
     """Normals of the surface that the dense map is over its grid, warped so that all three parts vary."""
     g = _dense(s, d).select("v", "u", (F.col("u") * 40 + F.col("v") * F.col("v")).alias("x"), (F.col("v") * 50 - F.col("u") * 6).alias("y"), F.col("value").alias("z"))
-    return rounded(stencil.normals(g, 50, 40), "nx", "ny", "nz", places=5)
+    return rounded(stencil.normals(g, 50, 40, SIDE), "nx", "ny", "nz", places=5)
 
 
 @query
 def gaussian_density(s, d):
     """Blurred map of high pixels, over its maximum."""
-    hot = _dense(s, d).withColumn("value", (F.col("value") > 200).cast("double"))
-    g = stencil.gaussian(hot, 50, 40)
+    hot = _plane(s, d).withColumn("value", (F.col("value") > 200).cast("double"))
+    g = stencil.gaussian(hot, 50, 40, size=SIDE)
     return rounded(g.crossJoin(F.broadcast(g.agg(F.max("value").alias("top")))).select("v", "u", F.try_divide("value", "top").alias("density")), "density", places=5)
 
 
 @query
 def mesh_resize(s, d):
-    return rounded(stencil.resize(_dense(s, d), 50, 40, 2), "value", places=5)
+    return rounded(stencil.resize(_plane(s, d), 50, 40, 2, SIDE), "value", places=5)
 
 
 @query
