@@ -214,8 +214,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     rate = {y: min(1.0, most / 2 / n.get(y, 1)) for y in (0, 1)}
     mine = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     place = lambda seed, size: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(size))
-    some = known.where(place(3, 1 << 30) < mine * (1 << 30)).withColumns({"part": place(5, PARTS).cast("int"), "weight": 1 / mine})
-    d = docs.select(F.col("doc_id").alias("_id"), "text").where("_id is not null").join(broadcast_if(some, sum(n.values()), 4 * most), F.col("_id") == F.col("doc_id"))
+    some = stored(known.where(place(3, 1 << 30) < mine * (1 << 30)).withColumns({"part": place(5, PARTS).cast("int"), "weight": 1 / mine}))
+    # The sample is bounded, so it goes to the texts; the texts stay where they are.
+    d = docs.select(F.col("doc_id").alias("_id"), "text").where("_id is not null").join(broadcast_if(some, some.count(), 2 * most + 1_000), F.col("_id") == F.col("doc_id"))
     return d.groupBy("doc_id", "y", "part", "weight").agg(F.min("text").alias("text"))
 
 
