@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import percentiles
+
 
 def depth(samples: DataFrame) -> DataFrame:
     """Per pixel the mean of both energies over depth, and the maximum."""
@@ -45,8 +47,8 @@ LEAST_RANGE = 1e-6
 
 
 def stretch(pixels: DataFrame, col: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Percentile stretch to 0..255, clipped and truncated. The percentiles are exact, over covered (valid) pixels; without one they are 0 and 1."""
-    q = pixels.where("valid").agg(F.coalesce(F.percentile(col, F.array(F.lit(low), F.lit(high))), F.array(F.lit(0.0), F.lit(1.0))).alias("q"))
-    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
-    t = F.least(F.greatest((F.col(col) - F.col("q")[0]) / width, F.lit(0.0)), F.lit(1.0))
-    return pixels.crossJoin(F.broadcast(q)).withColumn("u8", F.floor(F.round(t * 255, 6)).cast("long")).drop("q")
+    """Percentile stretch to 0..255, clipped and truncated. The percentiles are exact, over covered (valid) pixels, and selected across partitions; without a covered pixel they are 0 and 1."""
+    q = percentiles(pixels.where("valid"), [], col, {"_low": low, "_high": high}).select(F.coalesce("_low", F.lit(0.0)).alias("_low"), F.coalesce("_high", F.lit(1.0)).alias("_high"))
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(LEAST_RANGE))
+    t = F.least(F.greatest((F.col(col) - F.col("_low")) / width, F.lit(0.0)), F.lit(1.0))
+    return pixels.crossJoin(F.broadcast(q)).withColumn("u8", F.floor(t * 255).cast("long")).drop("_low", "_high")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .order import kept, ranked, running_medians
 from .sampling import interpolate
 
 #: A path whose largest residual reaches so many deviations is suspect.
@@ -26,17 +27,17 @@ def polar(paths: DataFrame, control: DataFrame) -> DataFrame:
 
 
 def trend(points: DataFrame) -> DataFrame:
-    """points with resid of r ~ 1 + angle + (z - mean z), by centred normal equations; minimum norm where they are singular (one regressor constant, or both)."""
-    one = points.groupBy("collection").agg(F.avg("angle").alias("ma"), F.avg("z").alias("mz"), F.avg("r").alias("mr"))
-    c = points.join(one, "collection").withColumns({"da": F.col("angle") - F.col("ma"), "dz": F.col("z") - F.col("mz"), "dr": F.col("r") - F.col("mr")})
-    s = lambda a, b: F.sum(F.col(a) * F.col(b))
-    k = c.groupBy("collection").agg(s("da", "da").alias("aa"), s("dz", "dz").alias("zz"), s("da", "dz").alias("az"), s("da", "dr").alias("ar"), s("dz", "dr").alias("zr"))
+    """points with resid of r ~ 1 + angle + (z - mean z), by centred normal equations; minimum norm where they are singular (one regressor constant, or both). All moments are one mergeable aggregate, joined back once."""
+    pair = lambda a, b: F.covar_pop(a, b) * F.count(F.lit(1))
+    k = points.groupBy("collection").agg(F.avg("angle").alias("ma"), F.avg("z").alias("mz"), F.avg("r").alias("mr"), *[pair(a, b).alias(n) for n, a, b in (("aa", "angle", "angle"), ("zz", "z", "z"), ("az", "angle", "z"), ("ar", "angle", "r"), ("zr", "z", "r"))])
     det = F.col("aa") * F.col("zz") - F.col("az") * F.col("az")
     # Collinear: the minimum-norm direction is along (da, dz).
     flat = F.col("aa") + F.col("zz")
     full = det > 1e-9 * F.col("aa") * F.col("zz")
-    k = k.select("collection", F.when(full, (F.col("ar") * F.col("zz") - F.col("zr") * F.col("az")) / det).otherwise(F.coalesce(F.try_divide(F.col("ar"), flat), F.lit(0.0))).alias("ca"), F.when(full, (F.col("zr") * F.col("aa") - F.col("ar") * F.col("az")) / det).otherwise(F.coalesce(F.try_divide(F.col("zr"), flat), F.lit(0.0))).alias("cz"))
-    return c.join(k, "collection").withColumn("resid", F.col("dr") - F.col("ca") * F.col("da") - F.col("cz") * F.col("dz"))
+    slope = lambda one, two, x, y: F.when(full, (F.col(one) * F.col(x) - F.col(two) * F.col("az")) / det).otherwise(F.coalesce(F.try_divide(F.col(one), flat), F.lit(0.0))).alias(y)
+    k = k.select("collection", "ma", "mz", "mr", slope("ar", "zr", "zz", "ca"), slope("zr", "ar", "aa", "cz"))
+    c = points.join(k, "collection").withColumns({"da": F.col("angle") - F.col("ma"), "dz": F.col("z") - F.col("mz"), "dr": F.col("r") - F.col("mr")})
+    return c.withColumn("resid", F.col("dr") - F.col("ca") * F.col("da") - F.col("cz") * F.col("dz"))
 
 
 def spread(resid: DataFrame) -> DataFrame:
@@ -55,11 +56,16 @@ def step_ratio(points: DataFrame) -> DataFrame:
 
 
 def changepoint(resid: DataFrame, spread_: DataFrame) -> DataFrame:
-    """Largest difference of medians before and after a split, in deviations; 0 below eight points. Quadratic in a path's points, as the definition is."""
-    d = resid.select("collection", "n", "resid")
-    k = d.select("collection", F.col("n").alias("k"))
-    size = spread_.select("collection", F.col("n").alias("size"), "mad")
-    j = k.join(size, "collection").where((F.col("k") >= 3) & (F.col("k") <= F.col("size") - 4) & (F.col("size") >= 8)).join(d, "collection")
-    m = j.groupBy("collection", "k").agg(F.abs(F.median(F.when(F.col("n") > F.col("k"), F.col("resid"))) - F.median(F.when(F.col("n") <= F.col("k"), F.col("resid")))).alias("jump"))
-    top = m.groupBy("collection").agg(F.max("jump").alias("jump"))
+    """Largest difference of medians before and after a split, in deviations; 0 below eight points. Medians before a split run along the path, those after it along the path reversed."""
+    size = kept(spread_.select("collection", F.col("n").cast("long").alias("size"), "mad"))
+    long_ = size.where("size >= 8").select("collection", "size")
+    d = ranked(resid.select("collection", F.col("n").cast("long").alias("n"), F.col("resid").alias("v")), "collection", ["v", "n"]).join(long_, "collection")
+    # Both directions in one pass, as two paths.
+    ways = F.explode(F.array(*[F.struct(F.lit(back).alias("back"), n.alias("n")) for back, n in ((False, F.col("n")), (True, F.col("size") + 1 - F.col("n")))]))
+    paths = kept(d.withColumn("way", ways).select(F.struct("collection", "way.back").alias("key"), "way.n", "v", "rank"))
+    got = running_medians(paths).select("key.*", "n", "median").join(long_, "collection")
+    # Backwards, the median at size - k is that of the points after the split at k.
+    split = F.when(F.col("back"), F.col("size") - F.col("n")).otherwise(F.col("n"))
+    jumps = got.groupBy("collection", "size", split.alias("k")).agg(F.max(F.when(~F.col("back"), F.col("median"))).alias("before"), F.max(F.when(F.col("back"), F.col("median"))).alias("after"))
+    top = jumps.where((F.col("k") >= 3) & (F.col("k") <= F.col("size") - 4)).groupBy("collection").agg(F.max(F.abs(F.col("after") - F.col("before"))).alias("jump"))
     return size.join(top, "collection", "left").select("collection", F.coalesce(F.col("jump") / (1.4826 * F.col("mad")), F.lit(0.0)).alias("hop"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, patches, sampling, support
+from ..operators import calibrate, catalog, chunks, energy, order, patches, sampling, support
 from ..sources import files, surfaces, surveys, zarr
 from . import views as V
 from .queries import CHUNK, MATRIX, _grid_points, _ratio, _samples, query, rounded
@@ -144,7 +144,7 @@ def projection_u8(s, d):
 
 @query
 def slice_p99(s, d):
-    return rounded(V.vox(s, d).groupBy("z").agg(F.percentile("ct", F.lit(0.99)).alias("p99")), "p99")
+    return rounded(order.percentiles(V.vox(s, d), ["z"], "ct", {"p99": 0.99}), "p99")
 
 
 @query

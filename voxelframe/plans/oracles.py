@@ -135,7 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "log_ratio": sql(f", {RATIO} SELECT v,u,round(lr,6) lr FROM rat", "energy"),
         "ratio_percentiles": sql(f", {RATIO} SELECT round(quantile_cont(lr,0.02),6) p2, round(quantile_cont(lr,0.98),6) p98 FROM rat", "energy"),
         "zscore_high": sql(f", {RATIO}, st AS (SELECT avg(lr) m, stddev_pop(lr) sd FROM rat WHERE valid), zs AS (SELECT CASE WHEN valid THEN coalesce((lr-m)/nullif(sd,0),0) ELSE 0 END zscore FROM rat, st) SELECT count(*) FILTER (zscore>3) over3, count(*) FILTER (zscore>4) over4, round(max(zscore),5) top FROM zs", "energy"),
-        "intensity_stretch": sql(f", {RATIO}, q AS (SELECT quantile_cont(m53,0.02) lo, quantile_cont(m53,0.98) hi FROM rat WHERE valid) SELECT v,u,cast(floor(round(least(greatest((m53-lo)/greatest(hi-lo,1e-6),0),1)*255,6)) as bigint) u8 FROM rat, q", "energy"),
+        "intensity_stretch": sql(f", {RATIO}, q AS (SELECT quantile_cont(m53,0.02) lo, quantile_cont(m53,0.98) hi FROM rat WHERE valid) SELECT v,u,cast(floor(least(greatest((m53-lo)/greatest(hi-lo,1e-6),0),1)*255) as bigint) u8 FROM rat, q", "energy"),
         "patch_valid_share": sql("SELECT pv,pu,round(share,6) share,n FROM (SELECT v//10 pv,u//10 pu,avg(valid::int) share,count(*) n FROM energy GROUP BY 1,2) WHERE share>=0.3", "energy"),
         "canvas_place": sql("SELECT v+\"offset\"%2*5 AS row, u%20 AS col, arg_max(v53,(\"offset\",v53)) v53 FROM energy GROUP BY 1,2", "energy"),
         "snap_islands": sql(f", {ISLANDS} SELECT y,x,snap FROM isl", "vox"),

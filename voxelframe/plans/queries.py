@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, sampling, snap, stencil, support, winding
+from ..operators import calibrate, catalog, chunks, energy, order, sampling, snap, stencil, support, winding
 from . import views as V
 
 QUERIES: dict[str, Callable] = {}
@@ -185,7 +185,7 @@ def log_ratio(s, d):
 
 @query
 def ratio_percentiles(s, d):
-    return rounded(_ratio(s, d).agg(F.percentile("lr", F.lit(0.02)).alias("p2"), F.percentile("lr", F.lit(0.98)).alias("p98")), "p2", "p98")
+    return rounded(order.percentiles(_ratio(s, d), [], "lr", {"p2": 0.02, "p98": 0.98}), "p2", "p98")
 
 
 @query
