@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.frames import nearest
+from .order import kept, ranked
 
 
 def lookup(points: DataFrame, vox: DataFrame, shape: tuple[int, int, int], value: str = "pred") -> DataFrame:
@@ -61,16 +62,64 @@ def boxes(points: DataFrame, key: str, shape: tuple[int, int, int], most: float
     return box.withColumn("volume", side("x") * side("y") * side("z")).where(F.col("volume") <= most)
 
 
-def interpolate(points: DataFrame, control: DataFrame) -> DataFrame:
-    """points(z) with cx, cy of the centre line at z: linear between control points, held beyond them. A range join on the segments, a broadcast table while it is small."""
-    w = Window.orderBy("z")
-    seg = control.select("z", "x", "y", F.lead("z").over(w).alias("z1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
-    ends = control.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    p = points.crossJoin(F.broadcast(ends)).withColumn("zc", F.least(F.greatest("z", "lo"), "hi"))
-    s = seg.select(F.col("z").alias("z0"), F.col("x").alias("x0"), F.col("y").alias("y0"), "z1", "x1", "y1")
-    j = p.join(F.broadcast(s), (F.col("zc") >= F.col("z0")) & ((F.col("zc") < F.col("z1")) | F.col("z1").isNull()))
-    f = F.coalesce((F.col("zc") - F.col("z0")) / (F.col("z1") - F.col("z0")), F.lit(0.0))
-    return j.withColumns({"cx": F.col("x0") + f * (F.coalesce("x1", "x0") - F.col("x0")), "cy": F.col("y0") + f * (F.coalesce("y1", "y0") - F.col("y0"))}).drop("lo", "hi", "zc", "z0", "x0", "y0", "z1", "x1", "y1")
+#: Control points (24 bytes each) that are broadcast; a longer centre line meets the points in a range sort.
+MOST_CONTROL = 1_000_000
+
+
+def interpolate(points: DataFrame, control: DataFrame, most: int = MOST_CONTROL) -> DataFrame:
+    """points(z, ...) with cx, cy of the centre line control(z, x, y) at z: linear between control points, held beyond them.
+
+    Up to `most` control points are sorted once and broadcast, and each point finds its
+    segment by bisection, without a shuffle. Of control points at one z the least (x, y)
+    counts, those without z do not; a point without z, or any point without control
+    points, gets nulls.
+    """
+    line = control.where("z is not null and not isnan(z)").groupBy(F.col("z").cast("double").alias("z")).agg(F.min(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("at")).select("z", "at.x", "at.y")
+    keep = [c for c in points.columns if c not in ("cx", "cy")]
+    if line.count() > most:
+        return _interpolate_sorted(points.select(F.struct(*keep).alias("p")), line)
+    rows = line.toArrow().sort_by("z")
+    shared = points.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("z", "x", "y")))
+
+    @F.arrow_udf("struct<cx:double,cy:double>")
+    def at(z: pa.Array) -> pa.Array:
+        zs, *coords = shared.value
+        v = z.to_numpy(zero_copy_only=False).astype(np.float64)
+        none = np.isnan(v) | (len(zs) == 0)
+        if len(zs) == 0:
+            got = [np.zeros(len(v))] * 2
+        else:
+            v = np.clip(np.where(none, zs[0], v), zs[0], zs[-1])
+            i = np.searchsorted(zs, v, "right") - 1
+            k = np.minimum(i + 1, len(zs) - 1)
+            f = np.divide(v - zs[i], zs[k] - zs[i], out=np.zeros(len(v)), where=k > i)
+            got = [c[i] + f * (c[k] - c[i]) for c in coords]
+        return pa.StructArray.from_arrays([pa.array(g, mask=none) for g in got], names=["cx", "cy"])
+
+    return points.select(*keep, at(F.col("z").cast("double")).alias("_at")).select(*keep, "_at.cx", "_at.cy")
+
+
+def _interpolate_sorted(packed: DataFrame, line: DataFrame) -> DataFrame:
+    """The same for any number of control points: segments and points in one range sort by z, where a point takes the last segment before it, from its own partition or from those before. Points of one z may fill many partitions."""
+    c = ranked(line.withColumn("one", F.lit(0)), "one", ["z"])
+    after = c.select((F.col("rank") - 1).alias("rank"), F.col("z").alias("z1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    seg = c.join(after, "rank", "left").select("z", F.struct(F.col("z").alias("z0"), F.col("x").alias("x0"), F.col("y").alias("y0"), "z1", "x1", "y1").alias("seg"))
+    ends = line.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    z = F.col("p.z").cast("double")
+    known = z.isNotNull() & ~F.isnan(z)
+    p = packed.where(known).crossJoin(F.broadcast(ends)).select(F.least(F.greatest(z, F.col("lo")), F.col("hi")).alias("z"), "p", F.lit(None).cast(seg.schema["seg"].dataType).alias("seg"), F.xxhash64("p").alias("h"))
+    s = seg.select("z", F.lit(None).cast(packed.schema["p"].dataType).alias("p"), "seg", F.lit(None).cast("long").alias("h"))
+    # A segment has no hash and so stands before the points of its z.
+    both = kept(p.unionByName(s).repartitionByRange("z", "h").sortWithinPartitions("z", "h").withColumn("part", F.spark_partition_id()))
+    last = both.where("seg is not null").groupBy("part").agg(F.max_by("seg", "z").alias("seg"))
+    parts = both.select("part").distinct().join(last, "part", "left")
+    carried = parts.select("part", F.last("seg", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    here = F.last("seg", ignorenulls=True).over(Window.partitionBy("part").orderBy("z", "h").rowsBetween(Window.unboundedPreceding, 0))
+    got = both.withColumn("here", here).where("p is not null").join(F.broadcast(carried), "part").select("z", "p", F.coalesce("here", "carried").alias("s"))
+    f = F.coalesce((F.col("z") - F.col("s.z0")) / (F.col("s.z1") - F.col("s.z0")), F.lit(0.0))
+    on = lambda a: F.col(f"s.{a}0") + f * (F.coalesce(f"s.{a}1", f"s.{a}0") - F.col(f"s.{a}0"))
+    none = F.lit(None).cast("double")
+    return got.select("p.*", on("x").alias("cx"), on("y").alias("cy")).unionAll(packed.where(~known).select("p.*", none.alias("cx"), none.alias("cy")))
 
 
 #: Points of one chunk that one task gathers; a chunk of more meets several tasks.
