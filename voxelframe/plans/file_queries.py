@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames
 from ..operators import calibrate, catalog, chunks, energy, order, patches, sampling, support
-from ..sources import files, surfaces, surveys, zarr
+from ..sources import files, surfaces, surveys, volumes, zarr
 from . import views as V
 from .queries import CHUNK, MATRIX, _grid_points, _ratio, _samples, query, rounded
 
@@ -54,13 +54,46 @@ def points_file(s, d):
 
 @query
 def image_stack(s, d):
-    """The prediction as slices of 16-bit rows, sampled at points."""
+    """The prediction as slices of 16-bit rows, sampled at points: only runs of rows that points lie in are read."""
+    path = _stack(s, d)
+    p = _grid_points(s, d)
+    wanted = p.select(*[frames.nearest(F.col(c), n).alias(c) for c, n in zip("zy", EXTENT, strict=False)])
+    got = surfaces.sample(p, volumes.row_runs(wanted, path, 64, gap=2), *EXTENT)
+    return got.select("vec_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+
+def _stack(s, d):
     at = F.map_from_entries(F.collect_list(F.struct("x", F.col("pred").cast("int"))))
     rows = V.vox(s, d).groupBy("z", "y").agg(at.alias("m")).select("z", "y", F.expr("transform(sequence(0L, 63L), i -> coalesce(m[i], 0))").alias("values"))
     path = files.folder(s)
     surfaces.write_rows(rows, path, 64, 64)
-    got = surfaces.sample(_grid_points(s, d), surfaces.image_rows(s, path, 64), *EXTENT)
-    return got.select("vec_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    return path
+
+
+@query
+def stack_rows(s, d):
+    """Sums of the rows 8 .. 39 of the slices 5 .. 19; the filters choose the files and the bytes that are read."""
+    volumes.register(s)
+    rows = s.read.format("image_rows").options(path=_stack(s, d), width=64, rows_a_task=16).load().where("z >= 5 and z < 20 and y between 8 and 39")
+    return rows.select("z", "y", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total")).where("total > 0")
+
+
+@query
+def array_where(s, d):
+    """The voxels of a box by filters on the table, from raw chunks of which only the planes in the box are read."""
+    volumes.register(s)
+    inside = " and ".join(f"{c} >= {lo} and {c} < {hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True))
+    return s.read.format("voxel_array").options(path=_array(s, d, "pred", CHUNK, "0", None), span=2).load().where(inside)
+
+
+@query
+def cleaned_array(s, d):
+    """Planes 5 to 39 cleaned and counted from 0, written as an array that appears when all its chunks are there, and read back."""
+    volumes.register(s)
+    v, path = V.vox(s, d), files.folder(s)
+    clean = chunks.clean(*[chunks.pack(v, c, CHUNK, EXTENT) for c in ("pred", "ct")])
+    chunks.rechunk(clean, (8, 32, 32), (35, 64, 64), first=5).write.format("voxel_array").options(path=path, shape="35,64,64", chunks="8,32,32", codec="zstd").mode("append").save()
+    return s.read.format("voxel_array").options(path=path).load()
 
 
 @query
