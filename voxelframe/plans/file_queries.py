@@ -36,11 +36,11 @@ def array_box(s, d):
 
 @query
 def array_sample(s, d):
-    """Points meet the chunks of their own bounding box."""
+    """Only chunks that points lie in are read: the points' keys are a semi-join on the table of chunks."""
     p, path = _grid_points(s, d), _array(s, d, "pred", CHUNK, "0")
-    box = p.agg(*[f(frames.nearest(F.col(c), 64)) for c in "zyx" for f in (F.min, F.max)]).first()
-    (z0, z1), *yx = [(box[i], box[i + 1] + 1) for i in (0, 2, 4)]
-    return sampling.lookup_chunks(p, zarr.read(s, path, "0", z0, z1, *yx), CHUNK, EXTENT).select("vec_id", "value")
+    near = p.select(*[F.floor(frames.nearest(F.col(c), n) / k).cast("int").alias(f"c{c}") for c, n, k in zip("zyx", EXTENT, CHUNK, strict=True)]).distinct()
+    keys = volumes.chunk_keys(s, path).join(near, chunks.KEY, "left_semi")
+    return sampling.lookup_chunks(p, volumes.chunks_of(keys, path), CHUNK, EXTENT).select("vec_id", "value")
 
 
 @query
@@ -72,18 +72,26 @@ def _stack(s, d):
 
 @query
 def stack_rows(s, d):
-    """Sums of the rows 8 .. 39 of the slices 5 .. 19; the filters choose the files and the bytes that are read."""
+    """Sums of the rows 8 .. 39 of the slices 5 .. 19; the windows choose the files and the bytes that are read."""
     volumes.register(s)
-    rows = s.read.format("image_rows").options(path=_stack(s, d), width=64, rows_a_task=16).load().where("z >= 5 and z < 20 and y between 8 and 39")
+    rows = s.read.format("image_rows").options(path=_stack(s, d), width=64, rows_a_task=16, z="5,20", y="8,40").load()
     return rows.select("z", "y", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total")).where("total > 0")
 
 
 @query
-def array_where(s, d):
-    """The voxels of a box by filters on the table, from raw chunks of which only the planes in the box are read."""
+def array_window(s, d):
+    """The voxels of a box from raw chunks, of which only the planes in the box are read."""
     volumes.register(s)
-    inside = " and ".join(f"{c} >= {lo} and {c} < {hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True))
-    return s.read.format("voxel_array").options(path=_array(s, d, "pred", CHUNK, "0", None), span=2).load().where(inside)
+    windows = {c: f"{lo},{hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True)}
+    return s.read.format("voxel_array").options(path=_array(s, d, "pred", CHUNK, "0", None), span=2, **windows).load()
+
+
+@query
+def array_where(s, d):
+    """The same by a filter on the table of chunks, before any is read, and one on the voxels."""
+    path = _array(s, d, "pred", CHUNK, "0")
+    keys = volumes.chunk_keys(s, path).where(" and ".join(f"{c}1 > {lo} and {c}0 < {hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True)))
+    return chunks.unpack(volumes.chunks_of(keys, path)).where(" and ".join(f"{c} >= {lo} and {c} < {hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True)))
 
 
 @query

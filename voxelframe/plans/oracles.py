@@ -83,6 +83,7 @@ def _files(core: dict[str, str], planes: str) -> dict[str, str]:
         "array_survey": sql(planes.format(w=""), "vox"),
         "array_box": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
         "array_where": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
+        "array_window": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
         "cleaned_array": core["chunk_clean_window"],
         "stack_rows": sql("SELECT z, y, sum(pred)::bigint total FROM vox WHERE z>=5 AND z<20 AND y BETWEEN 8 AND 39 GROUP BY 1,2 HAVING sum(pred)>0", "vox"),
         "array_sample": core["nearest_sample"],

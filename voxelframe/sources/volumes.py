@@ -1,12 +1,16 @@
-"""Stored arrays and stacks of image rows as Spark data sources: filters choose the files and the parts of them that are read.
-
-`register(spark)` makes two formats known. `voxel_array` (options path, level '0', rows
-'voxels' or 'chunks', span: chunks along x that one task reads) has the rows z, y, x,
-value of voxels that are not 0, or a chunk table. `image_rows` (options path, width,
-header, rows_a_task) has z, y, values. Comparisons of the places are pushed: whole
-files that cannot match are not opened, and of the others only the wanted planes or rows
-are read, where the codec allows. `voxel_array` is a sink for chunk tables too (options
-path, level, shape, chunks, codec): the array appears when every task has ended.
+"""Stored arrays and stacks of image rows, of which only what is wanted is opened and read.
+
+`chunk_keys` is a table of an array's chunks before anything is read: filters and joins
+of that table choose the files, and `chunks_of` reads those. `row_runs` does the same for
+rows of image stacks. `register(spark)` makes two data sources known, with one input
+partition a few chunks or rows: `voxel_array` (options path, level '0', span: chunks along
+x that one task reads, and windows z, y, x as 'from,to') has z, y, x, value of voxels that
+are not 0; `image_rows` (options path, width, header, rows_a_task, windows z, y) has z, y,
+values. Of files without compression only the wanted planes or rows are read. Windows are
+options, not pushed filters: Spark 4.1 keeps a Python source's pushed filters with the
+table, so that a second use of one DataFrame would see the filters of the first.
+`voxel_array` is a sink for chunk tables too (options path, level, shape, chunks, codec):
+the array appears when every task has ended.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators.chunks import KEY, PLACE
 from ..operators.chunks import SCHEMA as CHUNK_SCHEMA
@@ -36,30 +41,67 @@ VOXEL_SCHEMA = "z long, y long, x long, value long"
 _CHUNK_ARROW = pa.schema([*[(c, pa.int32()) for c in (*KEY, *PLACE[:3])], ("shape", pa.list_(pa.int32())), ("data", pa.binary())])
 
 
-def narrow(filters: list[Filter], bounds: dict[str, list[int]]) -> list[Filter]:
-    """Cuts the inclusive bounds of the columns by the filters; returns the filters that Spark must still apply."""
-    left = []
-    for f in filters:
-        name = ".".join(f.attribute) if hasattr(f, "attribute") else None
-        value = getattr(f, "value", None)
-        if name not in bounds or (value is None and not isinstance(f, IsNotNull)):
-            left.append(f)
-            continue
-        b = bounds[name]
-        if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-            b[0] = max(b[0], math.floor(value) + 1 if isinstance(f, GreaterThan) else math.ceil(value))
-        elif isinstance(f, (LessThan, LessThanOrEqual)):
-            b[1] = min(b[1], math.ceil(value) - 1 if isinstance(f, LessThan) else math.floor(value))
-        elif isinstance(f, EqualTo):
-            b[:] = max(b[0], math.ceil(value)), min(b[1], math.floor(value))
-        elif isinstance(f, In):
-            known = [v for v in value if v is not None]
-            if known:
-                b[:] = max(b[0], math.ceil(min(known))), min(b[1], math.floor(max(known)))
-            left.append(f)
-        elif not isinstance(f, IsNotNull):
-            left.append(f)
-    return left
+def _window(options, name: str, n: int) -> tuple[int, int]:
+    """An option 'from,to' (either may be empty) as a range within 0 .. n."""
+    lo, hi = (options.get(name) or ",").split(",")
+    lo, hi = max(0, int(lo) if lo.strip() else 0), min(n, int(hi) if hi.strip() else n)
+    return lo, max(lo, hi)
+
+
+def array_meta(root: str) -> Meta:
+    system, place = fs.FileSystem.from_uri(root)
+    with system.open_input_file(f"{place}/.zarray") as f:
+        return parse_meta(f.read().decode())
+
+
+def block(system, place: str, m: Meta, key: tuple[int, ...], cut: list[tuple[int, int]] | None = None) -> tuple[list[int], list[int], np.ndarray] | None:
+    """First place, shape and values of a stored chunk, cut at the array's end, or of a window within it; None where it is not stored. Of a raw block only the window's planes are read."""
+    path = f"{place}/{m.separator.join(map(str, key))}"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    start = [k * c for k, c in zip(key, m.chunks, strict=True)]
+    cut = cut or [(0, min(c, n - s)) for c, n, s in zip(m.chunks, m.shape, start, strict=True)]
+    (z0, z1), (y0, y1), (x0, x1) = cut
+    with system.open_input_file(path) as f:
+        if m.codec is None and m.order == "C":
+            plane = m.chunks[1] * m.chunks[2]
+            f.seek(z0 * plane)
+            a = np.frombuffer(f.read((z1 - z0) * plane), np.uint8).reshape(-1, *m.chunks[1:])
+        else:
+            a = np.frombuffer(decode(f.read(), m.codec), np.uint8, math.prod(m.chunks)).reshape(m.chunks, order=m.order)[z0:z1]
+    return [s + c[0] for s, c in zip(start, cut, strict=True)], [b - a for a, b in cut], a[:, y0:y1, x0:x1]
+
+
+def chunk_keys(spark: SparkSession, path: str, level: str = "0") -> DataFrame:
+    """cz, cy, cx, z0, y0, x0, z1, y1, x1 (ends excluded) of every chunk of an array's grid, stored or not. Nothing is read but the description."""
+    m = array_meta(f"{path}/{level}")
+    tall, deep, wide = (-(-n // c) for n, c in zip(m.shape, m.chunks, strict=True))
+    at = [F.floor(F.col("id") / (deep * wide)), F.floor(F.col("id") / wide) % deep, F.col("id") % wide]
+    keys = spark.range(tall * deep * wide).select(*[c.cast("int").alias(k) for c, k in zip(at, KEY, strict=True)])
+    ends = [F.least(F.col(k) * c + c, F.lit(n)).alias(f"{k[1]}1") for k, c, n in zip(KEY, m.chunks, m.shape, strict=True)]
+    return keys.select(*KEY, *[(F.col(k) * c).alias(p) for k, c, p in zip(KEY, m.chunks, PLACE, strict=False)], *ends)
+
+
+#: Chunks that one task reads, one after another.
+CHUNKS_A_TASK = 8
+
+
+def chunks_of(keys: DataFrame, path: str, level: str = "0") -> DataFrame:
+    """A chunk table of the keys(cz, cy, cx), which are counted, made distinct and dealt evenly first. Chunks that are not stored, or not of the grid, have no row."""
+    root = f"{path}/{level}"
+    m = array_meta(root)
+    inside = " and ".join(f"{k} between 0 and {-(-n // c) - 1}" for k, n, c in zip(KEY, m.shape, m.chunks, strict=True))
+    some = keys.select(*[F.col(k).cast("int").alias(k) for k in KEY]).where(inside).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if got := block(system, place, m, key):
+                    row = dict(zip([*KEY, *PLACE, "data"], [*key, *got[0], got[1], np.ascontiguousarray(got[2]).tobytes()], strict=True))
+                    yield pa.RecordBatch.from_pylist([row], _CHUNK_ARROW)
+
+    return some.repartition(max(1, -(-some.count() // CHUNKS_A_TASK)), *KEY).mapInArrow(run, CHUNK_SCHEMA)
 
 
 @dataclass
@@ -75,63 +117,24 @@ class ChunkRow(InputPartition):
 class ArrayReader(DataSourceReader):
     def __init__(self, options):
         self.root = f"{options['path']}/{options.get('level', '0')}"
-        self.voxels = options.get("rows", "voxels") == "voxels"
         self.span = int(options.get("span", 1))
-        system, place = fs.FileSystem.from_uri(self.root)
-        with system.open_input_file(f"{place}/.zarray") as f:
-            self.meta: Meta = parse_meta(f.read().decode())
-        self.grid = [-(-n // c) for n, c in zip(self.meta.shape, self.meta.chunks, strict=True)]
-        # Of voxels, the wanted places; of chunks, the wanted keys and first places.
-        self.bounds = {k: [0, n - 1] for k, n in zip(("z", "y", "x") if self.voxels else KEY, self.meta.shape if self.voxels else self.grid, strict=True)}
-        if not self.voxels:
-            self.bounds |= {k: [0, n - 1] for k, n in zip(PLACE[:3], self.meta.shape, strict=True)}
-
-    def pushFilters(self, filters):
-        yield from narrow(filters, self.bounds)
-
-    def _wanted(self, axis: int) -> range:
-        size = self.meta.chunks[axis]
-        if self.voxels:
-            lo, hi = self.bounds["zyx"[axis]]
-            return range(lo // size, hi // size + 1) if lo <= hi else range(0)
-        (lo, hi), (first, last) = self.bounds[KEY[axis]], self.bounds[PLACE[axis]]
-        return range(max(lo, -(-first // size)), min(hi, last // size) + 1)
+        self.meta = array_meta(self.root)
+        self.windows = [_window(options, a, n) for a, n in zip("zyx", self.meta.shape, strict=True)]
 
     def partitions(self):
-        z, y, x = map(self._wanted, range(3))
+        z, y, x = (range(lo // c, -(-hi // c)) if lo < hi else range(0) for (lo, hi), c in zip(self.windows, self.meta.chunks, strict=True))
         return [ChunkRow(cz, cy, lo, min(lo + self.span, x.stop)) for cz, cy in product(z, y) for lo in range(x.start, x.stop, self.span)]
 
     def read(self, partition):
         if partition is None:
             return
         system, place = fs.FileSystem.from_uri(self.root)
-        m = self.meta
         for cx in range(partition.lo, partition.hi):
             key = (partition.cz, partition.cy, cx)
-            path = f"{place}/{m.separator.join(map(str, key))}"
-            if system.get_file_info(path).type == fs.FileType.NotFound:
-                continue
-            start = [k * c for k, c in zip(key, m.chunks, strict=True)]
-            shape = [min(c, n - s) for c, n, s in zip(m.chunks, m.shape, start, strict=True)]
-            cut = [(0, n) for n in shape]
-            if self.voxels:
-                cut = [(max(self.bounds[a][0] - s, 0), min(self.bounds[a][1] + 1 - s, n)) for a, s, n in zip("zyx", start, shape, strict=True)]
-            with system.open_input_file(path) as f:
-                if m.codec is None and m.order == "C":
-                    # Planes of a raw block lie one after another: only the wanted ones are read.
-                    plane = m.chunks[1] * m.chunks[2]
-                    f.seek(cut[0][0] * plane)
-                    block = np.frombuffer(f.read((cut[0][1] - cut[0][0]) * plane), np.uint8).reshape(-1, *m.chunks[1:])
-                else:
-                    block = np.frombuffer(decode(f.read(), m.codec), np.uint8, math.prod(m.chunks)).reshape(m.chunks, order=m.order)[cut[0][0] : cut[0][1]]
-            block = block[:, cut[1][0] : cut[1][1], cut[2][0] : cut[2][1]]
-            if self.voxels:
-                z, y, x = np.nonzero(block)
-                places = [pa.array(a + s + c[0]) for a, s, c in zip((z, y, x), start, cut, strict=True)]
-                yield pa.RecordBatch.from_arrays([*places, pa.array(block[z, y, x].astype(np.int64))], names=["z", "y", "x", "value"])
-            else:
-                row = dict(zip([*KEY, *PLACE, "data"], [*key, *start, shape, np.ascontiguousarray(block).tobytes()], strict=True))
-                yield pa.RecordBatch.from_pylist([row], _CHUNK_ARROW)
+            cut = [(max(lo - k * c, 0), min(hi - k * c, c)) for (lo, hi), k, c in zip(self.windows, key, self.meta.chunks, strict=True)]
+            if got := block(system, place, self.meta, key, cut):
+                at = np.nonzero(got[2])
+                yield pa.RecordBatch.from_arrays([*[pa.array(i + s) for i, s in zip(at, got[0], strict=True)], pa.array(got[2][at].astype(np.int64))], names=["z", "y", "x", "value"])
 
 
 @dataclass
@@ -190,7 +193,7 @@ class VoxelArray(DataSource):
         return "voxel_array"
 
     def schema(self):
-        return VOXEL_SCHEMA if self.options.get("rows", "voxels") == "voxels" else CHUNK_SCHEMA
+        return VOXEL_SCHEMA
 
     def reader(self, schema):
         return ArrayReader(self.options)
@@ -224,21 +227,16 @@ def _row_batch(z: int, lo: int, rows: np.ndarray) -> pa.RecordBatch:
 class RowReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.width, self.header, self.most = options["path"], int(options["width"]), int(options.get("header", 368)), int(options.get("rows_a_task", 4_096))
-        self.bounds = {"z": [-(1 << 62), 1 << 62], "y": [0, 1 << 62]}
-
-    def pushFilters(self, filters):
-        yield from narrow(filters, self.bounds)
+        self.z, self.y = (_window(options, a, 1 << 62) for a in "zy")
 
     def partitions(self):
         system, place = fs.FileSystem.from_uri(self.path)
         out = []
         for info in system.get_file_info(fs.FileSelector(place)):
             m = re.search(r"(\d+)\.[^./]*$", info.path)
-            if info.type != fs.FileType.File or not m or not self.bounds["z"][0] <= int(m[1]) <= self.bounds["z"][1]:
-                continue
-            n = (info.size - self.header) // (2 * self.width)
-            lo, hi = max(0, self.bounds["y"][0]), min(n - 1, self.bounds["y"][1]) + 1
-            out += [Rows(int(m[1]), info.path, a, min(a + self.most, hi)) for a in range(lo, hi, self.most)]
+            if info.type == fs.FileType.File and m and self.z[0] <= int(m[1]) < self.z[1]:
+                lo, hi = self.y[0], min(self.y[1], (info.size - self.header) // (2 * self.width))
+                out += [Rows(int(m[1]), info.path, a, min(a + self.most, hi)) for a in range(lo, hi, self.most)]
         return out
 
     def read(self, partition):
@@ -260,8 +258,7 @@ class ImageRows(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known, and let Spark push filters into them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the formats known."""
     for source in (VoxelArray, ImageRows):
         spark.dataSource.register(source)
 
