@@ -16,7 +16,7 @@ HELD = 1 << 20
 #: Border rules: the edge is repeated, or it is the mirror and is not.
 REPEAT, MIRROR = "symmetric", "reflect"
 
-Kernel = Callable[[Sequence[np.ndarray]], Sequence[np.ndarray]]
+Kernel = Callable[..., Sequence[np.ndarray]]
 
 
 def _pieces(h: int, w: int, size: int, reach: int):
@@ -61,14 +61,15 @@ def _pieces(h: int, w: int, size: int, reach: int):
     return run
 
 
-def apply(grid: DataFrame, h: int, w: int, values: Sequence[str], reach: int, border: str, kernel: Kernel, out: Sequence[str], size: int = BLOCK, up: int = 1, names: tuple[str, str] = ("v", "u")) -> DataFrame:
+def apply(grid: DataFrame, h: int, w: int, values: Sequence[str], reach: int, border: str, kernel: Kernel, out: Sequence[str], size: int = BLOCK, up: int = 1, names: tuple[str, str] = ("v", "u"), edges: bool = False) -> DataFrame:
     """names[0], names[1] and the columns `out` (double) of every cell of a grid of h x w.
 
     grid(v, u, *values) has a row a cell; cells without a row, and null values, are 0;
     of repeated cells the largest value of each column counts; cells outside go. The
     kernel gets an array a value, of a block with `reach` more cells on each side, the
     border rule applied beyond the grid, and returns an array an output, of the block
-    (`up` times as many cells on each side). Memory is bounded by the block.
+    (`up` times as many cells on each side). With `edges` it is also told whether the
+    block lies at the grid's top, bottom, left and right. Memory is bounded by the block.
     """
     if not 0 <= reach <= size:
         raise ValueError("the halo must not be wider than a block")
@@ -97,7 +98,7 @@ def apply(grid: DataFrame, h: int, w: int, values: Sequence[str], reach: int, bo
                 lo, hi = (min(reach, v0), min(reach, u0)), (min(reach, h - v0 - dv), min(reach, w - u0 - du))
                 x = x[:, reach - lo[0] : reach + dv + hi[0], reach - lo[1] : reach + du + hi[1]]
                 x = np.pad(x, ((0, 0), (reach - lo[0], reach - hi[0]), (reach - lo[1], reach - hi[1])), mode=border)
-                got = kernel(list(x))
+                got = kernel(list(x), (v0 == 0, v0 + dv == h, u0 == 0, u0 + du == w)) if edges else kernel(list(x))
                 v, u = np.divmod(np.arange(dv * up * du * up), du * up)
                 yield pa.RecordBatch.from_arrays([pa.array(v + v0 * up), pa.array(u + u0 * up), *[pa.array(np.ascontiguousarray(g, np.float64).reshape(-1)) for g in got]], names=[*names, *out])
 

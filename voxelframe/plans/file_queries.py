@@ -7,10 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, order, patches, sampling, support
+from ..operators import calibrate, catalog, chunks, energy, order, patches, rays, sampling, support
 from ..sources import files, surfaces, surveys, volumes, zarr
 from . import views as V
-from .queries import CHUNK, MATRIX, _grid_points, _ratio, _samples, query, rounded
+from .queries import CHUNK, MATRIX, _grid_points, _packed, _ratio, _samples, query, rounded
 
 EXTENT = (64, 64, 64)
 #: Windows of z, y and x.
@@ -191,6 +191,5 @@ def slice_p99(s, d):
 @query
 def layer_table(s, d):
     """Three layers along the normals, contrast applied, keyed by layer."""
-    p = sampling.along_normal(_grid_points(s, d), (-1, 0, 1))
-    got = sampling.lookup(p, V.vox(s, d), EXTENT)
-    return got.select("vec_id", (F.col("t") + 1).cast("int").alias("layer"), frames.contrast(F.col("value")).alias("u8"))
+    got = rays.sampled(_grid_points(s, d), _packed(s, d, "pred"), (-1, 0, 1), CHUNK, EXTENT)
+    return got.select("vec_id", F.posexplode("pred").alias("layer", "value")).select("vec_id", "layer", frames.contrast(F.col("value")).alias("u8"))

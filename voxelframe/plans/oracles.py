@@ -7,7 +7,7 @@ import math
 from ..functions import frames
 from ..operators.stencil import DIFF, SMOOTH
 from .file_queries import BOX
-from .queries import CHUNK, MATRIX, PLANES
+from .queries import CHUNK, MATRIX, PLANES, TILE, TILE_VOXELS
 from .views import sql
 
 COUNTS = "count(*) FILTER (pred>127) positives, count(*) FILTER (pred>127 AND ct<=0) phantom"
@@ -46,7 +46,7 @@ REFLECT = "(CASE WHEN {c}<0 THEN -({c})-1 WHEN {c}>={n} THEN 2*{n}-1-({c}) ELSE
 ISLANDS = "isl AS (SELECT y,x,arg_min(m,(abs(m),m)) snap FROM (SELECT y,x,(min(z)+max(z))/2-32 m FROM (SELECT y,x,z,z-row_number() OVER (PARTITION BY y,x ORDER BY z) run FROM vox WHERE pred>127) GROUP BY y,x,run) GROUP BY y,x)"
 
 
-def _conv(src: str, weights: dict[tuple[int, int], float], agg: str = "sum(w*t.value)", border: str = MIRROR, h: int = 50, w: int = 40) -> str:
+def _conv(src: str, weights: dict[tuple[int, int], float], agg: str = "sum(w*t.value)", border: str = MIRROR, h: int | str = 50, w: int = 40) -> str:
     rows = ",".join(f"({i},{j},{float(k)!r}::double)" for (i, j), k in weights.items())
     return f"SELECT a.v,a.u,{agg} AS value FROM {src} a CROSS JOIN (VALUES {rows}) k(i,j,w) JOIN {src} t ON t.v={border.format(c='a.v+i', n=h)} AND t.u={border.format(c='a.u+j', n=w)} GROUP BY a.v,a.u"
 
@@ -103,6 +103,29 @@ def _files(core: dict[str, str], planes: str) -> dict[str, str]:
     }
 
 
+SNAP_NORMALS = f"""go AS (SELECT vec_id,t,x+nx*t x,y+ny*t y,z+nz*t z FROM gp, (SELECT (range-12)::double t FROM range(25))),
+hit AS (SELECT vec_id,t FROM ({_lookup('go', 'pred')}) WHERE val>127),
+run AS (SELECT vec_id,(min(t)+max(t))/2 m FROM (SELECT vec_id,t,t-row_number() OVER (PARTITION BY vec_id ORDER BY t) g FROM hit) GROUP BY vec_id,g),
+best AS (SELECT vec_id,arg_min(m,(abs(m),m)) snap FROM run GROUP BY 1)
+SELECT vec_id,snap FROM pts LEFT JOIN best USING (vec_id)"""
+
+
+def _render() -> str:
+    """Mesh cells, enlarged pixels, derivatives by joins of shifted pixels, tiles, and samples."""
+    axes = "".join(f", s{c} AS (SELECT v,u,hh,{c} AS value FROM px)" for c in "xyz")
+    slopes = "".join(f", {c}{d} AS ({_conv('s' + c, w, h='a.hh', w=100)})" for c in "xyz" for d, w in (("u", DU), ("v", DV)))
+    ends = ", ".join(f"max(greatest({lo},{hi}))-min(least({lo},{hi}))+1 \"b{c}\"" for c in "xyz" for lo, hi in ((_key(f"{c}-n{c}", 64), _key(f"{c}+n{c}", 64)),))
+    value = "cast(floor(CASE WHEN val<=128 THEN val*0.5 ELSE 64+(val-128)*191.0::double/127 END) as bigint)"
+    return f"""hgt AS (SELECT max(gv)+1 h FROM mesh),
+mm AS (SELECT v,u,h,coalesce(m.x,0)::double x,coalesce(m.y,0)::double y,coalesce(m.z,0)::double z FROM (SELECT h,unnest(range(h)) v FROM hgt) CROSS JOIN (SELECT range u FROM range(50)) LEFT JOIN (SELECT gv,gu,gu+x%3 x,gv%61+x%2 y,x z FROM mesh WHERE valid) m ON m.gv=v AND m.gu=u),
+px AS (SELECT ov v,ou u,2*f.h hh,sum(k*x) x,sum(k*y) y,sum(k*z) z FROM (SELECT *,(CASE WHEN i=1 THEN fv-floor(fv) ELSE 1-(fv-floor(fv)) END)*(CASE WHEN j=1 THEN fu-floor(fu) ELSE 1-(fu-floor(fu)) END) k FROM (SELECT h,ov,least(greatest((ov+0.5)/2-0.5,0),h-1)::double fv FROM (SELECT h,unnest(range(2*h)) ov FROM hgt)) CROSS JOIN (SELECT range ou,least(greatest((range+0.5)/2-0.5,0),49)::double fu FROM range(100)) CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j)) f JOIN mm ON mm.v=least(floor(fv)+i,f.h-1) AND mm.u=least(floor(fu)+j,49) GROUP BY ALL){axes}{slopes},
+cr AS (SELECT v,u,yu.value*zv.value-zu.value*yv.value a,zu.value*xv.value-xu.value*zv.value b,xu.value*yv.value-yu.value*xv.value c FROM xu JOIN xv USING (v,u) JOIN yu USING (v,u) JOIN yv USING (v,u) JOIN zu USING (v,u) JOIN zv USING (v,u)),
+pn AS (SELECT v,u,x,y,z,a/greatest(sqrt(a*a+b*b+c*c),1e-9) nx,b/greatest(sqrt(a*a+b*b+c*c),1e-9) ny,c/greatest(sqrt(a*a+b*b+c*c),1e-9) nz FROM px JOIN cr USING (v,u) WHERE x<>0 OR y<>0 OR z<>0),
+til AS (SELECT v//{TILE} tv,u//{TILE} tu,{ends} FROM pn GROUP BY 1,2),
+go AS (SELECT v,u,t,x+nx*t x,y+ny*t y,z+nz*t z FROM pn JOIN til ON tv=v//{TILE} AND tu=u//{TILE} AND "bx"*"by"*"bz"<={TILE_VOXELS}, (VALUES (-1.0::double),(0.0::double),(1.0::double)) o(t))
+SELECT cast(t+1 as int) layer,v,u,{value} u8 FROM ({_lookup('go', 'pred')})"""
+
+
 def oracle_sql() -> dict[str, str]:
     planes = f"SELECT z, positives, phantom, {FRAC} phantom_frac FROM (SELECT z, {COUNTS} FROM vox {{w}} GROUP BY z)"
     reg, tip = _register("x", "y", "z"), _register("x+10*nx", "y+10*ny", "z+10*nz")
@@ -168,6 +191,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_clean": sql("SELECT z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0", "vox"),
         "chunk_rechunk": sql(planes.format(w=""), "vox"),
         "chunk_clean_window": sql("SELECT z-5 z, y, x, pred AS \"value\" FROM vox WHERE ct>0 AND pred>0 AND z>=5 AND z<40", "vox"),
+        "snap_normals": sql(f", {GRID}, {SNAP_NORMALS}", "pts", "vox"),
+        "render_mesh": sql(f", {_render()}", "mesh", "vox"),
         "batch_status": "SELECT o_orderstatus, count(*) jobs FROM orders GROUP BY 1",
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
         "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 >=1 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",

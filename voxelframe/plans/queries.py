@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, order, sampling, snap, stencil, support, winding
+from ..operators import calibrate, catalog, chunks, energy, order, rays, sampling, snap, stencil, support, winding
 from . import views as V
 
 QUERIES: dict[str, Callable] = {}
@@ -150,23 +150,28 @@ def _grid_points(s, d):
     return V.pts(s, d).select("vec_id", *[((F.col(c) - 500) / 16).alias(c) for c in "xyz"], "nx", "ny", "nz")
 
 
+def _packed(s, d, *values):
+    v = V.vox(s, d)
+    return {c: chunks.pack(v, c, CHUNK, (64, 64, 64)) for c in values}
+
+
 @query
 def nearest_sample(s, d):
-    return sampling.lookup(_grid_points(s, d), V.vox(s, d), (64, 64, 64)).select("vec_id", "value")
+    return sampling.lookup_chunks(_grid_points(s, d), _packed(s, d, "pred")["pred"], CHUNK, (64, 64, 64)).select("vec_id", "value")
 
 
 @query
 def sample_offsets(s, d):
-    p = sampling.along_normal(_grid_points(s, d), (-4, 0, 4))
-    return sampling.lookup(p, V.vox(s, d), (64, 64, 64)).select("vec_id", "t", "value")
+    got = rays.sampled(_grid_points(s, d), _packed(s, d, "pred"), (-4, 0, 4), CHUNK, (64, 64, 64))
+    return got.select("vec_id", F.posexplode("pred").alias("i", "value")).select("vec_id", (F.col("i") * 4.0 - 4.0).alias("t"), F.col("value").cast("long").alias("value"))
 
 
 @query
 def dual_sample(s, d):
-    p, v = _grid_points(s, d), V.vox(s, d)
-    a = sampling.lookup(p, v, (64, 64, 64), "pred").select("vec_id", F.col("value").alias("a"))
-    b = sampling.lookup(p, v, (64, 64, 64), "ct").select("vec_id", F.col("value").alias("b"))
-    return rounded(a.join(b, "vec_id").withColumn("ratio", (F.col("a") + 1) / (F.col("b") + 1)), "ratio")
+    """Both volumes in one gather."""
+    got = rays.sampled(_grid_points(s, d), _packed(s, d, "pred", "ct"), (0,), CHUNK, (64, 64, 64))
+    a, b = (F.col(c)[0].cast("long") for c in ("pred", "ct"))
+    return rounded(got.select("vec_id", a.alias("a"), b.alias("b"), ((a + 1) / (b + 1)).alias("ratio")), "ratio")
 
 
 @query
@@ -408,5 +413,24 @@ def chunk_clean_window(s, d):
     return chunks.unpack(chunks.rechunk(chunks.clean(*_chunked(s, d)), (8, 32, 32), (35, 64, 64), first=5))
 
 
+@query
+def snap_normals(s, d):
+    """How far along its normal each point has the nearest run of predicted voxels, 12 steps both ways."""
+    return rays.snapped(_grid_points(s, d), chunks.pack(V.vox(s, d), "pred", CHUNK, (64, 64, 64)), CHUNK, (64, 64, 64), reach=12).select("vec_id", "snap")
+
+
+#: Pixels on a side of a rendered tile, and voxels that its box may have.
+TILE, TILE_VOXELS = 16, 24_000
+
+
+@query
+def render_mesh(s, d):
+    """Three layers of a mesh, enlarged twice, as contrasted bytes; tiles of too large a box are skipped."""
+    m = V.mesh(s, d).where("valid").select("gv", "gu", (F.col("gu") + F.col("x") % 3).alias("x"), (F.col("gv") % 61 + F.col("x") % 2).alias("y"), F.col("x").alias("z"))
+    h = V.mesh(s, d).agg(F.max("gv") + 1).first()[0] or 0
+    got = rays.render(rays.surface(m, h, 50, 2, SIDE), chunks.pack(V.vox(s, d), "pred", CHUNK, (64, 64, 64)), 1, CHUNK, (64, 64, 64), TILE, TILE_VOXELS)
+    return got.select("layer", "v", "u", frames.contrast(F.col("value")).alias("u8"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
