@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, order, patches, rays, sampling, support
+from ..operators import batch, calibrate, catalog, chunks, energy, order, patches, rays, sampling, support
 from ..sources import files, surfaces, surveys, volumes, zarr
 from . import views as V
 from .queries import CHUNK, MATRIX, _grid_points, _packed, _ratio, _samples, query, rounded
@@ -151,6 +152,29 @@ def patch_canvas(s, d):
     return rounded(patches.canvas(patches.scan(s, path), 10, 10), "lr")
 
 
+def _patch_mean(table, broken):
+    """A patch's mean log ratio over its valid pixels; none where less than a third of them are. Patches on the third diagonals fail where `broken`."""
+    first = table.slice(0, 1).to_pylist()[0]
+    if broken and (first["pv"] + first["pu"]) % 3 == 0:
+        raise OSError("no answer")
+    good = table.filter(table["valid"])
+    if good.num_rows < 0.3 * table.num_rows:
+        return None
+    return good.group_by(["pv", "pu"]).aggregate([("lr", "mean")]).append_column("n", pa.array([good.num_rows], pa.int64()))
+
+
+@query
+def batch_resume(s, d):
+    """Patches as jobs, in two runs: in the first some fail, the second takes up those alone. The ledger of both, with what is stored."""
+    path = files.folder(s)
+    rows = _ratio(s, d).select(F.floor(F.col("v") / 10).alias("pv"), F.floor(F.col("u") / 10).alias("pu"), "valid", "lr")
+    rows = rows.withColumn("job", F.concat_ws("_", F.lit("patch"), "pv", "pu"))
+    for broken in (True, False):
+        batch.run(rows, lambda t, b=broken: _patch_mean(t, b), path)
+    got = batch.results(s, path, "job string, lr_mean double, n long")
+    return rounded(batch.ledger(s, path).join(got, "job", "left").select("job", "run", "status", "message", F.col("lr_mean").alias("mean"), "n"), "mean")
+
+
 def _annotated(s, d):
     m = V.mesh(s, d)
     c = V.pts(s, d).select((F.col("vec_id") % 7 + 1).alias("collection"), F.col("vec_id").alias("seq"), ((F.col("y") - 700) / 12 * 2).alias("u"), ((F.col("x") - 700) / 100 * 2).alias("v"))

@@ -94,6 +94,9 @@ def _files(core: dict[str, str], planes: str) -> dict[str, str]:
         "survey_files": sql(f"SELECT 'Alpha' AS name, {frac} FROM (SELECT {COUNTS} FROM vox) UNION ALL SELECT 'beta', {frac} FROM (SELECT {COUNTS} FROM vox WHERE z%8=0)", "vox"),
         "calib_file": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(coalesce(frac,1-pow(1-share,k)),4) est, round(k,3) k, round(band,4) band_abs, round(frac,4) anchor FROM smp, fit, band", "vox"),
         "patch_canvas": sql(f', {RATIO}, pat AS (SELECT v,u,lr,{ok} ok FROM rat), shr AS (SELECT *, avg(ok::int) OVER (PARTITION BY v//10,u//10) share FROM pat) SELECT v AS "row", u col, CASE WHEN ok THEN round(lr,6)+0.0 ELSE 0 END lr, ok covered FROM shr WHERE share>=0.3', "energy"),
+        "batch_resume": sql(f""", {RATIO}, job AS (SELECT v//10 pv,u//10 pu,avg(valid::int)>=0.3 ok,count(*) FILTER (valid) n,avg(lr) FILTER (valid) mean,(v//10+u//10)%3=0 broken FROM rat GROUP BY v//10,u//10),
+runs AS (SELECT *, 1 AS run, CASE WHEN broken THEN 'failed' WHEN ok THEN 'done' ELSE 'empty' END status FROM job UNION ALL SELECT *, 2, CASE WHEN ok THEN 'done' ELSE 'empty' END FROM job WHERE broken)
+SELECT 'patch_'||pv||'_'||pu job, run, status, CASE WHEN status='failed' THEN 'OSError: no answer' END message, CASE WHEN ok THEN round(mean,6)+0.0 END mean, CASE WHEN ok THEN n END n FROM runs""", "energy"),
         "annotate_export": f"WITH {clicks} SELECT kind, cast(dense_rank() OVER (PARTITION BY kind ORDER BY c) as int) k, (CASE WHEN kind='same' THEN 'same_wrap' ELSE 'wraps' END)||c AS name, CASE WHEN kind<>'same' THEN 1 END fill, cast(row_number() OVER (PARTITION BY c ORDER BY id)-1 as int) i, x, y, z, CASE WHEN kind<>'same' THEN c*0.5::double END wind_a FROM hit",
         "export_counts": f"WITH {clicks} SELECT kind, count(DISTINCT c) collections FROM hit GROUP BY 1",
         "mid_layer": sql('SELECT v, u, round(avg(v53),5) m53, round(avg(v70),5) m70 FROM energy WHERE "offset"=4 GROUP BY 1,2', "energy"),
