@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 
 #: Labelled rows that the classifiers are fitted on at most (least hash first), and pseudo-labels that one view gives the other a round and class.
 LABELLED, GIVEN, ROUNDS = 20_000, 500, 3
@@ -141,7 +141,10 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
     f = stored(features(docs))
     kind = dict(docs.dtypes)["doc_id"]
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
-    rows = f.join(known, "doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most).select("t", "m", "y").collect()
+    known = stored(known)
+    # The sample is drawn from the labels and broadcast (at most `most` ids), so features are not shuffled.
+    some = F.broadcast(known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most))
+    rows = f.join(some, "doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most).select("t", "m", "y").collect()
     y = np.array([r.y for r in rows], float)
     if len(set(y)) < 2:
         p = F.lit(float(y[0]) if len(y) else 0.5)
@@ -152,7 +155,6 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
         check = np.zeros(len(y), bool)
     fit, test = ~check, check if check.any() else ~check
     pool = [[a[fit] for a in x], [y[fit], y[fit]]]
-    unlabelled = f.join(known.select("doc_id"), "doc_id", "left_anti")
     for turn in range(rounds + 1):
         views = []
         for i in range(2):
@@ -161,7 +163,9 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
         if turn == rounds:
             break
         state = spark.sparkContext.broadcast((views, (0.5, 0.5, 0.0)))
-        scored = unlabelled.select("doc_id", "t", "m").mapInArrow(_score(state), f"doc_id {kind}, text_score double, meta_score double, score double")
+        scored = f.mapInArrow(_score(state), f"doc_id {kind}, text_score double, meta_score double, score double").drop("score")
+        # Only ids and scores meet the labels' ids, once a round.
+        scored = stored(scored.where(" or ".join(f"{v}_score >= {SURE} or 1 - {v}_score >= {SURE}" for v in ("text", "meta"))).join(known.select("doc_id"), "doc_id", "left_anti"))
         sure = None
         for i, name in enumerate(("text_score", "meta_score")):
             for label in (0, 1):
@@ -169,6 +173,7 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
                 best = scored.where(p >= SURE).orderBy(p.desc(), F.xxhash64("doc_id"), "doc_id").limit(given).select("doc_id", F.lit(1 - i).alias("to"), F.lit(label).alias("y"))
                 sure = best if sure is None else sure.union(best)
         taught = f.join(F.broadcast(sure), "doc_id").select("t", "m", "to", "y").collect()
+        dropped(scored)
         for i in range(2):
             mine = [r for r in taught if r.to == i]
             if mine:
