@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.frames import to_grid
+from .order import ranked
 from .sampling import bilinear
 
 #: One annotation file: collections of points.
@@ -35,8 +36,7 @@ def pending(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def export(points: DataFrame) -> DataFrame:
     """One JSON a collection, points numbered from 1 in order; null wind_a is written, as readers need it."""
     w = Window.partitionBy("collection").orderBy("ts", "event_id")
-    # Only the keys are numbered in one task; the points stay where they are.
-    num = points.select("collection").distinct().withColumn("k", F.row_number().over(Window.orderBy("collection")))
+    num = ranked(points.select("collection").distinct().withColumn("one", F.lit(0)), "one", ["collection"], "k").select("collection", (F.col("k") + 1).alias("k"))
     color = F.array(*[F.array(*map(F.lit, c)) for c in PALETTE])
     d = points.withColumn("i", F.row_number().over(w))
     entry = F.struct(F.col("i").cast("string").alias("key"), F.struct(F.col("i").cast("long").alias("creation_time"), F.array(*[F.round(c, 3) for c in ("x", "y", "z")]).alias("p"), F.lit(None).cast("double").alias("wind_a")).alias("value"))
@@ -85,6 +85,13 @@ def export_kinds(points: DataFrame, now: int = 0) -> DataFrame:
     return d.select("kind", "k", name.alias("name"), F.when(F.col("kind") == "same", text(*both)).otherwise(text(*both, *fill)).alias("json"))
 
 
+def kind_files(exported: DataFrame) -> DataFrame:
+    """kind, json: one file a kind of the rows of `export_kinds`, as `load` reads it, collections in their order. A file is one string, made in one task: below 2 GB, as annotations are made by hand."""
+    entry = F.concat(F.lit('"'), F.col("k").cast("string"), F.lit('":'), F.col("json"))
+    parts = exported.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("k", entry.alias("text")))).alias("parts"))
+    return parts.select("kind", F.concat(F.lit('{"collections":{'), F.concat_ws(",", F.transform("parts", lambda p: p["text"])), F.lit("}}")).alias("json"))
+
+
 def kinds(exported: DataFrame) -> DataFrame:
     """Collections of each kind."""
     return exported.groupBy("kind").agg(F.count(F.lit(1)).alias("collections"))

@@ -32,7 +32,10 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def canvas(pixels: DataFrame, size: int, width: int) -> DataFrame:
-    """pixels(v0, u0, pv, pu, lr, valid) → row, col, lr, covered on one canvas of patches `width` pixels wide; uncovered and non-finite ratios are 0."""
+    """pixels(v0, u0, pv, pu, lr, valid) → row, col, lr, covered on one canvas of patches `width` pixels wide; uncovered and non-finite ratios are 0. Where patches overlap, the one whose file name comes last stays, valid or not."""
     at = lambda corner, inner: (F.floor(F.col(corner) / size) * width + F.col(inner)).cast("long")
     lr = filled(F.when(F.col("valid"), F.col("lr")))
-    return pixels.select(at("v0", "pv").alias("row"), at("u0", "pu").alias("col"), F.when(F.abs(lr) < float("inf"), lr).otherwise(0.0).alias("lr"), F.coalesce("valid", F.lit(False)).alias("covered"))
+    name = F.concat(F.lit("patch_v"), F.col("v0").cast("string"), F.lit("_u"), F.col("u0").cast("string"), F.lit(".npz"))
+    pixel = F.struct(F.when(F.abs(lr) < float("inf"), lr).otherwise(0.0).alias("lr"), F.coalesce("valid", F.lit(False)).alias("covered"))
+    placed = pixels.select(at("v0", "pv").alias("row"), at("u0", "pu").alias("col"), name.alias("name"), pixel.alias("pixel"))
+    return placed.groupBy("row", "col").agg(F.max_by("pixel", F.struct("name", "pixel")).alias("pixel")).select("row", "col", "pixel.*")

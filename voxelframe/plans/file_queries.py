@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import frames
 from ..operators import batch, calibrate, catalog, chunks, energy, order, patches, rays, sampling, support
 from ..sources import files, surfaces, surveys, volumes, zarr
+from ..streaming import survey as streaming
 from . import views as V
 from .queries import CHUNK, MATRIX, _grid_points, _packed, _ratio, _samples, query, rounded
 
 EXTENT = (64, 64, 64)
+#: Rows of a surface that one file holds (even, as every second is read back).
+BAND = 8
 #: Windows of z, y and x.
 BOX = ((5, 40), (10, 50), (3, 33))
 
@@ -46,11 +49,14 @@ def array_sample(s, d):
 
 @query
 def points_file(s, d):
-    """Surface points, 20 a row, every second of both."""
+    """Surface points, 20 a row and BAND rows a file, every second of both."""
     path = files.folder(s)
-    surfaces.write_points(V.pts(s, d).withColumns({"file": F.lit("a.ppm"), "v": F.floor(F.col("vec_id") / 20).cast("int"), "u": (F.col("vec_id") % 20).cast("int")}), path)
+    v = F.floor(F.col("vec_id") / 20)
+    band = F.floor(v / BAND).cast("int")
+    surfaces.write_points(V.pts(s, d).withColumns({"file": F.concat(band.cast("string"), F.lit(".ppm")), "v": (v - band * BAND).cast("int"), "u": (F.col("vec_id") % 20).cast("int")}), path)
     got = surfaces.points(s, path, step=2).withColumn("valid", frames.present(F.col("x"), F.col("y"), F.col("z")))
-    return rounded(got.drop("file"), "x", "y", "z", "nx", "ny", "nz")
+    first = F.regexp_extract("file", r"(\d+)\.ppm$", 1).cast("int") * BAND
+    return rounded(got.withColumn("v", (F.col("v") + first).cast("int")).drop("file"), "x", "y", "z", "nx", "ny", "nz")
 
 
 @query
@@ -79,6 +85,18 @@ def stack_rows(s, d):
     return rows.select("z", "y", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total")).where("total > 0")
 
 
+@query
+def stream_survey(s, d):
+    """Chunks that arrive in three lots, the first again in the last; the survey stops after each lot and goes on."""
+    v, source, out = V.vox(s, d), files.folder(s), files.folder(s)
+    preds, scan = (order.kept(chunks.pack(v, c, CHUNK, EXTENT)) for c in ("pred", "ct"))
+    lot = F.pmod(F.xxhash64(*chunks.KEY), F.lit(3))
+    for which in (lot == 1, lot == 0, (lot == 2) | (lot == 1)):
+        preds.where(which).write.mode("append").parquet(source)
+        streaming.survey(s, source, scan, out)
+    return rounded(streaming.answer(s, out), "phantom_frac")
+
+
 @query
 def array_window(s, d):
     """The voxels of a box from raw chunks, of which only the planes in the box are read."""
@@ -107,10 +125,14 @@ def cleaned_array(s, d):
 
 @query
 def mesh_files(s, d):
+    """The mesh as meshes of BAND rows, written and read in parallel."""
     path, c = files.folder(s), V.mesh(s, d)
-    cells = c.select(F.lit("m").alias("mesh"), "gv", "gu", *[F.when(F.col("valid"), F.col(k)).otherwise(0.0).alias(k) for k in "xyz"])
+    band = F.floor(F.col("gv") / BAND).cast("int")
+    cells = c.select(band.cast("string").alias("mesh"), (F.col("gv") - band * BAND).alias("gv"), "gu", *[F.when(F.col("valid"), F.col(k)).otherwise(0.0).alias(k) for k in "xyz"])
     surfaces.write_meshes(cells, path, 0.5)
-    return surfaces.meshes(s, path).drop("mesh")
+    first = F.regexp_extract("mesh", r"(\d+)$", 1).cast("int") * BAND
+    # The last band may be narrower than the mesh: what it lacks was never a cell.
+    return surfaces.meshes(s, path).withColumn("gv", (F.col("gv") + first).cast("int")).drop("mesh")
 
 
 @query
@@ -192,6 +214,14 @@ def annotate_export(s, d):
     return rounded(out, "x", "y", "z", places=4)
 
 
+@query
+def constraint_files(s, d):
+    """The two kinds as files of all their collections, loaded again."""
+    both = catalog.kind_files(_annotated(s, d))
+    got = [catalog.load(both.where(F.col("kind") == k)).withColumn("kind", F.lit(k)) for k in ("same", "relative")]
+    return rounded(got[0].unionByName(got[1]), "x", "y", "z", places=4)
+
+
 @query
 def export_counts(s, d):
     return catalog.kinds(_annotated(s, d))

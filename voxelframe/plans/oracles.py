@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from ..functions import frames
+from ..operators.catalog import PALETTE
 from ..operators.stencil import DIFF, SMOOTH
 from .file_queries import BOX
 from .queries import CHUNK, MATRIX, PLANES, TILE, TILE_VOXELS
@@ -71,18 +72,27 @@ spr AS (SELECT collection, count(*) n, median(abs(resid-m))+1e-6 mad, max(abs(re
 NAMED = "row_number() OVER (ORDER BY collection)"
 
 
+def _mesh_places(places: int) -> str:
+    """Points placed on the mesh by its valid corners, or by one cell beyond it."""
+    return sql(f", hgt AS (SELECT max(gv)+1 h FROM mesh), att AS (SELECT vec_id id, (x-700)/100 v, (y-700)/12 u, h FROM pts, hgt), ins AS (SELECT *, floor(v)>=0 AND floor(v)<h-1 AND floor(u)>=0 AND floor(u)<49 inner_ FROM att), cor AS (SELECT id, floor(v)+i gv, floor(u)+j gu, (CASE WHEN i=1 THEN v-floor(v) ELSE 1-(v-floor(v)) END)*(CASE WHEN j=1 THEN u-floor(u) ELSE 1-(u-floor(u)) END) w FROM ins, (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) WHERE inner_ UNION ALL SELECT id, least(greatest(floor(v),0),h-1), least(greatest(floor(u),0),49), 1.0::double FROM ins WHERE NOT inner_) SELECT id, round(sum(w*m.x)/nullif(sum(w) FILTER (m.valid),0),{places}) x, round(sum(w*m.y)/nullif(sum(w) FILTER (m.valid),0),{places}) y, round(sum(w*m.z)/nullif(sum(w) FILTER (m.valid),0),{places}) z FROM cor LEFT JOIN (SELECT * FROM mesh WHERE valid) m ON m.gv=cor.gv AND m.gu=cor.gu GROUP BY id", "pts", "mesh")
+
+
+_COLOURS = "".join(f"[{', '.join(str(c[i]) for c in PALETTE)}][(k-1)%6+1]::double {name}, " for i, name in enumerate(("red", "green", "blue")))
+
+
 def _files(core: dict[str, str], planes: str) -> dict[str, str]:
     """SQL of the queries that go through files."""
     frac = "round(phantom/positives,6) frac"
     axes = ", ".join(f"round({c},6)+0.0 {c}" for c in ("x", "y", "z", "nx", "ny", "nz"))
     inside = " AND ".join(f"{c}>={lo} AND {c}<{hi}" for c, (lo, hi) in zip("zyx", BOX, strict=True))
     ok = "valid AND ((v//10+u//10)%3<>0 OR (v+u)%5=0)"
-    clicks = f"hit AS (SELECT b.*, id%7+1 c, CASE WHEN (id%7+1)%2=1 THEN 'same' ELSE 'relative' END kind FROM ({core['bilinear_lookup'].replace(',5)+0.0 ', ',4)+0.0 ').replace(',5) ', ',4) ')}) b WHERE x IS NOT NULL)"
+    clicks = f"hit AS (SELECT b.*, id%7+1 c, CASE WHEN (id%7+1)%2=1 THEN 'same' ELSE 'relative' END kind FROM ({_mesh_places(4)}) b WHERE x IS NOT NULL)"
     lut = "cast(floor(CASE WHEN val<=128 THEN val*0.5 ELSE 64+(val-128)*191.0::double/127 END) as bigint)"
     return {
         "array_survey": sql(planes.format(w=""), "vox"),
         "array_box": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
         "array_where": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
+        "stream_survey": sql(planes.format(w=""), "vox"),
         "array_window": sql(f'SELECT z, y, x, pred AS "value" FROM vox WHERE pred>0 AND {inside}', "vox"),
         "cleaned_array": core["chunk_clean_window"],
         "stack_rows": sql("SELECT z, y, sum(pred)::bigint total FROM vox WHERE z>=5 AND z<20 AND y BETWEEN 8 AND 39 GROUP BY 1,2 HAVING sum(pred)>0", "vox"),
@@ -98,6 +108,7 @@ def _files(core: dict[str, str], planes: str) -> dict[str, str]:
 runs AS (SELECT *, 1 AS run, CASE WHEN broken THEN 'failed' WHEN ok THEN 'done' ELSE 'empty' END status FROM job UNION ALL SELECT *, 2, CASE WHEN ok THEN 'done' ELSE 'empty' END FROM job WHERE broken)
 SELECT 'patch_'||pv||'_'||pu job, run, status, CASE WHEN status='failed' THEN 'OSError: no answer' END message, CASE WHEN ok THEN round(mean,6)+0.0 END mean, CASE WHEN ok THEN n END n FROM runs""", "energy"),
         "annotate_export": f"WITH {clicks} SELECT kind, cast(dense_rank() OVER (PARTITION BY kind ORDER BY c) as int) k, (CASE WHEN kind='same' THEN 'same_wrap' ELSE 'wraps' END)||c AS name, CASE WHEN kind<>'same' THEN 1 END fill, cast(row_number() OVER (PARTITION BY c ORDER BY id)-1 as int) i, x, y, z, CASE WHEN kind<>'same' THEN c*0.5::double END wind_a FROM hit",
+        "constraint_files": f"WITH {clicks} SELECT kind, dense_rank() OVER (PARTITION BY kind ORDER BY c) collection, cast(row_number() OVER (PARTITION BY c ORDER BY id) as int) n, x, y, z FROM hit",
         "export_counts": f"WITH {clicks} SELECT kind, count(DISTINCT c) collections FROM hit GROUP BY 1",
         "mid_layer": sql('SELECT v, u, round(avg(v53),5) m53, round(avg(v70),5) m70 FROM energy WHERE "offset"=4 GROUP BY 1,2', "energy"),
         "projection_u8": sql("SELECT v, u, cast(floor((x53-lo)/greatest(hi-lo,1)*255) as bigint) u8 FROM (SELECT v,u,max(v53) x53 FROM energy GROUP BY 1,2), (SELECT min(m) lo, max(m) hi FROM (SELECT max(v53) m FROM energy GROUP BY v,u))", "energy"),
@@ -177,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "calib_report": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(share,6) share, round(coalesce(frac,1-pow(1-share,k)),6) est, CASE WHEN frac IS NULL THEN round(band,6) ELSE 0 END band, frac IS NOT NULL measured FROM smp, fit, band", "vox"),
         "gaussian_density": sql(f", {DENSE}, hot AS (SELECT v,u,(value>200)::int::double AS value FROM dense), g1 AS ({_conv('hot', {(0, i - 12): x for i, x in enumerate(GK)})}), g2 AS ({_conv('g1', {(i - 12, 0): x for i, x in enumerate(GK)})}) SELECT v,u,round(value/nullif((SELECT max(value) FROM g2),0),5)+0.0 density FROM g2", "energy"),
         "mesh_resize": sql(f", {DENSE}, av AS (SELECT i ov, least(greatest((i+0.5)/2-0.5,0),49)::double f FROM range(100) t(i)), au AS (SELECT i ou, least(greatest((i+0.5)/2-0.5,0),39)::double f FROM range(80) t(i)) SELECT ov,ou,round(sum((CASE WHEN i=1 THEN av.f-floor(av.f) ELSE 1-(av.f-floor(av.f)) END)*(CASE WHEN j=1 THEN au.f-floor(au.f) ELSE 1-(au.f-floor(au.f)) END)*d.value),5) AS value FROM av CROSS JOIN au CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) JOIN dense d ON d.v=least(floor(av.f)+i,49) AND d.u=least(floor(au.f)+j,39) GROUP BY 1,2", "energy"),
-        "bilinear_lookup": sql(", hgt AS (SELECT max(gv)+1 h FROM mesh), att AS (SELECT vec_id id, (x-700)/100 v, (y-700)/12 u, h FROM pts, hgt), ins AS (SELECT *, floor(v)>=0 AND floor(v)<h-1 AND floor(u)>=0 AND floor(u)<49 inner_ FROM att), cor AS (SELECT id, floor(v)+i gv, floor(u)+j gu, (CASE WHEN i=1 THEN v-floor(v) ELSE 1-(v-floor(v)) END)*(CASE WHEN j=1 THEN u-floor(u) ELSE 1-(u-floor(u)) END) w FROM ins, (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) WHERE inner_ UNION ALL SELECT id, least(greatest(floor(v),0),h-1), least(greatest(floor(u),0),49), 1.0::double FROM ins WHERE NOT inner_) SELECT id, round(sum(w*m.x)/nullif(sum(w) FILTER (m.valid),0),5) x, round(sum(w*m.y)/nullif(sum(w) FILTER (m.valid),0),5) y, round(sum(w*m.z)/nullif(sum(w) FILTER (m.valid),0),5) z FROM cor LEFT JOIN (SELECT * FROM mesh WHERE valid) m ON m.gv=cor.gv AND m.gu=cor.gu GROUP BY id", "pts", "mesh"),
+        "bilinear_lookup": _mesh_places(5),
         "centre_interp": sql(f", {SEG} SELECT event_id, round(cx,6) cx, round(cy,6) cy FROM mid", "collections", "centre"),
         "polar_unwrap": sql(f", {POLAR} SELECT event_id, n::int n, round(r,5) r, round(angle,5)+0.0 angle FROM pol", "collections", "centre"),
         "trend_fit": sql(f", {TREND} SELECT collection, round(max(ca),4)+0.0 per_angle, round(max(cz),4)+0.0 per_z, round(sum(resid*resid),4) sse FROM tre GROUP BY 1", "collections", "centre"),
@@ -185,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "step_ratio": sql(f", {POLAR}, dif AS (SELECT collection, abs(r-lag(r) OVER (PARTITION BY collection ORDER BY n)) d FROM pol) SELECT collection, round(CASE WHEN count(d)>=4 THEN max(d)/(median(d)+1e-6) ELSE 0 END,4) step_ratio FROM dif GROUP BY 1", "collections", "centre"),
         "changepoint": sql(f", {SPREAD}, jmp AS (SELECT t.collection, k.n k, abs(median(t.resid) FILTER (t.n>k.n)-median(t.resid) FILTER (t.n<=k.n)) j FROM tre k JOIN spr s ON s.collection=k.collection AND s.n>=8 AND k.n BETWEEN 3 AND s.n-4 JOIN tre t ON t.collection=k.collection GROUP BY 1,2), top AS (SELECT collection, max(j) j FROM jmp GROUP BY 1) SELECT spr.collection, round(coalesce(j/(1.4826*mad),0),4) hop FROM spr LEFT JOIN top USING (collection)", "collections", "centre"),
         "row_runs": "WITH r AS (SELECT DISTINCT l_partkey%100 slice, l_orderkey*7%9414 AS row FROM lineitem), n AS (SELECT *, (row-lag(row) OVER (PARTITION BY slice ORDER BY row)>64)::int nw FROM r), g AS (SELECT *, cast(sum(coalesce(nw,0)) OVER (PARTITION BY slice ORDER BY row) as bigint) run FROM n) SELECT slice, run, min(row) lo, max(row) hi, count(*) n FROM g GROUP BY 1,2",
+        "constraint_export": sql(f", k AS (SELECT collection, row_number() OVER (ORDER BY collection) k FROM (SELECT DISTINCT collection FROM collections)) SELECT collection, true spelled, collection::varchar id, 'same'||k AS name, {_COLOURS} false absolute, i, i created, round(x,3)+0.0 x, round(y,3)+0.0 y, round(z,3)+0.0 z, NULL::double wind_a FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY ts,event_id) i FROM collections) JOIN k USING (collection)", "collections"),
+        "canvas_overlap": sql(f", {RATIO} SELECT arow AS \"row\", acol col, arg_max(r,fname) lr, arg_max(valid,fname) covered FROM (SELECT v//10*10+v%5 arow, u//10*10+u%5 acol, 'patch_v'||(v-v%5)||'_u'||(u-u%5)||'.npz' fname, CASE WHEN valid THEN round(lr,6)+0.0 ELSE 0 END r, valid FROM rat) GROUP BY 1,2", "energy"),
         "constraint_import": sql("SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY ts,event_id)::int n, round(x,3)+0.0 x, round(y,3)+0.0 y, round(z,3)+0.0 z FROM collections", "collections"),
         "discover_pairs": "WITH l AS (SELECT regexp_extract(url,'([a-z]+\\.[a-z]+)/',1) sample, url, page_id FROM pages), p AS (SELECT sample, arg_min(url,page_id) preds FROM l WHERE starts_with(url,'https://') GROUP BY 1), c AS (SELECT sample, arg_min(url,page_id) ct FROM l WHERE starts_with(url,'http://') GROUP BY 1) SELECT sample, preds, ct, CASE WHEN regexp_extract(preds,'page=(\\d)',1)='' THEN '2' ELSE regexp_extract(preds,'page=(\\d)',1) END AS level FROM p JOIN c USING (sample)",
         "prefix_listing": "SELECT page_id, count(*) n, min(x) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html,'<p>([^<]+)</p>',1)) x FROM pages) GROUP BY 1",

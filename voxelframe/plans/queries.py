@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import frames
-from ..operators import calibrate, catalog, chunks, energy, order, rays, sampling, snap, stencil, support, winding
+from ..operators import calibrate, catalog, chunks, energy, order, patches, rays, sampling, snap, stencil, support, winding
 from . import views as V
 
 QUERIES: dict[str, Callable] = {}
@@ -333,7 +333,12 @@ def row_runs(s, d):
 
 @query
 def constraint_export(s, d):
-    return catalog.export(V.collections(s, d))
+    """Every field of the exported JSON, and whether it spells out the null that readers need."""
+    j = catalog.export(V.collections(s, d)).withColumn("spelled", F.contains("json", F.lit('"wind_a":null')))
+    j = j.select("collection", "spelled", F.explode(F.from_json("json", catalog.CONSTRAINTS)["collections"]).alias("id", "c"))
+    j = j.select("collection", "spelled", "id", "c.name", *[F.col("c.color")[i].alias(k) for i, k in enumerate(("red", "green", "blue"))], F.col("c.metadata.winding_is_absolute").alias("absolute"), F.explode("c.points").alias("i", "p"))
+    point = [F.col("p.creation_time").alias("created"), *[F.col("p.p")[i].alias(c) for i, c in enumerate("xyz")], F.col("p.wind_a").alias("wind_a")]
+    return rounded(j.select("collection", "spelled", "id", "name", "red", "green", "blue", "absolute", F.col("i").cast("long").alias("i"), *point), "x", "y", "z", places=3)
 
 
 @query
@@ -432,5 +437,12 @@ def render_mesh(s, d):
     return got.select("layer", "v", "u", frames.contrast(F.col("value")).alias("u8"))
 
 
+@query
+def canvas_overlap(s, d):
+    """Patches at corners 5 apart on a canvas of patches 10 wide: the last file name wins where they overlap."""
+    p = _ratio(s, d).select((F.col("v") - F.col("v") % 5).alias("v0"), (F.col("u") - F.col("u") % 5).alias("u0"), (F.col("v") % 5).alias("pv"), (F.col("u") % 5).alias("pu"), "lr", "valid")
+    return rounded(patches.canvas(p, 10, 10), "lr")
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)

@@ -1 +1 @@
-"""Spark-native analytics for chunked volumes and the surfaces traced through them."""
+"""Surveys of volumes whose chunks arrive over time (an extension: nothing that is re-expressed here streams)."""
