@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 #: Grid of k: points and bounds.
 POINTS, LOW, HIGH = 4_000, 1.0, 25.0
 
@@ -49,6 +51,7 @@ def document(samples: DataFrame, k: DataFrame) -> DataFrame:
     )
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """By falling share, then name."""
-    return rows.orderBy(F.desc("share"), "name")
+def ranked(rows: DataFrame, ord: str) -> DataFrame:
+    """rows with `place` (from 0): by falling share, of equal shares in the order of the catalogue's column."""
+    keyed = rows.withColumns({"_all": F.lit(0), "_share": -F.col("share")})
+    return order.ranked(keyed, "_all", ["_share", ord], "place").drop("_all", "_share")

@@ -155,6 +155,25 @@ def survey_files(s, d):
     return rounded(surveys.anchors(s, f"{path}/survey_*.json", "Alpha"), "frac")
 
 
+@query
+def slab_files(s, d):
+    """A slab survey's report, written and read back: its totals beside each of its planes."""
+    path = files.folder(s)
+    surveys.write(support.slabs(V.vox(s, d), 16, 2), path, "slabs", mode="slabs", slab_stride=2, threshold=127)
+    kind = f"mode string, slab_stride int, threshold int, sampled_support_frac double, {surveys.SURVEY}, per_plane array<struct<z:bigint,positives:bigint,phantom:bigint,phantom_frac:double>>"
+    r = s.read.schema(kind).json(f"{path}/survey_slabs.json").withColumn("p", F.explode("per_plane")).drop("per_plane")
+    return rounded(r.select("*", "p.*").drop("p"), "sampled_support_frac", "sampled_phantom_frac", "phantom_frac")
+
+
+@query
+def cube_files(s, d):
+    """Cubes with their thresholds, written and read back as what to keep and what to drop."""
+    path = files.folder(s)
+    c = support.cubes(V.vox(s, d), 16).withColumns({"cube": F.lit(16), "threshold": F.lit(127), "keep_threshold": F.lit(0.5)})
+    c.write.parquet(path)
+    return rounded(s.read.parquet(path).withColumn("keep", F.col("support") >= F.col("keep_threshold")), "support")
+
+
 @query
 def calib_file(s, d):
     path, t = files.folder(s), _samples(s, d).withColumn("name", F.col("z").cast("string"))

@@ -102,6 +102,8 @@ def _files(core: dict[str, str], planes: str) -> dict[str, str]:
         "mesh_files": sql("SELECT cast(gv as int) gv, cast(gu as int) gu, CASE WHEN valid THEN x ELSE 0 END x, CASE WHEN valid THEN y ELSE 0 END y, CASE WHEN valid THEN z ELSE 0 END z, valid, 0.5::double AS \"scale\" FROM mesh", "mesh"),
         "affine_file": sql("SELECT vec_id, round(" + "+".join(f"{v}*{c}" if c else f"{v}" for v, c in zip(MATRIX[0], ("x", "y", "z", ""), strict=True)) + ",4) x, round(x,4) bx, round(y,4) \"by\", round(z,4) bz FROM pts", "pts"),
         "survey_files": sql(f"SELECT 'Alpha' AS name, {frac} FROM (SELECT {COUNTS} FROM vox) UNION ALL SELECT 'beta', {frac} FROM (SELECT {COUNTS} FROM vox WHERE z%8=0)", "vox"),
+        "slab_files": sql(f", p AS (SELECT z, {COUNTS} FROM vox WHERE (z//16)%2=0 GROUP BY 1) SELECT 'slabs' AS mode, 2 slab_stride, 127 threshold, count(*) OVER () planes_sampled, sum(positives) OVER ()::bigint sampled_positives, sum(phantom) OVER ()::bigint sampled_phantom, round(sum(phantom) OVER ()/sum(positives) OVER (),6) sampled_phantom_frac, round(1-sum(phantom) OVER ()/sum(positives) OVER (),6) sampled_support_frac, z, positives, phantom, {FRAC} phantom_frac FROM p", "vox"),
+        "cube_files": sql(f"SELECT *, 16 AS \"cube\", 127 threshold, 0.5::double keep_threshold, support>=0.5 keep FROM ({_cubes(16, 0, 'true')})", "vox"),
         "calib_file": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(coalesce(frac,1-pow(1-share,k)),4) est, round(k,3) k, round(band,4) band_abs, round(frac,4) anchor FROM smp, fit, band", "vox"),
         "patch_canvas": sql(f', {RATIO}, pat AS (SELECT v,u,lr,{ok} ok FROM rat), shr AS (SELECT *, avg(ok::int) OVER (PARTITION BY v//10,u//10) share FROM pat) SELECT v AS "row", u col, CASE WHEN ok THEN round(lr,6)+0.0 ELSE 0 END lr, ok covered FROM shr WHERE share>=0.3', "energy"),
         "batch_resume": sql(f""", {RATIO}, job AS (SELECT v//10 pv,u//10 pu,avg(valid::int)>=0.3 ok,count(*) FILTER (valid) n,avg(lr) FILTER (valid) mean,(v//10+u//10)%3=0 broken FROM rat GROUP BY v//10,u//10),
@@ -186,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "sobel_normals": sql(f", {DENSE} SELECT v,u,a.value du,b.value dv FROM ({_conv('dense', DU)}) a JOIN ({_conv('dense', DV)}) b USING (v,u)", "energy"),
         "surface_normals": sql(f", {DENSE}, " + ", ".join(f"s{c} AS (SELECT v,u,({e})::double AS value FROM dense)" for c, e in (("x", "u*40+v*v"), ("y", "v*50-u*6"), ("z", "value"))) + ", " + ", ".join(f"{c}{d} AS ({_conv('s' + c, w)})" for c in "xyz" for d, w in (("u", DU), ("v", DV))) + ", cr AS (SELECT v,u,yu.value*zv.value-zu.value*yv.value a,zu.value*xv.value-xu.value*zv.value b,xu.value*yv.value-yu.value*xv.value c FROM xu JOIN xv USING (v,u) JOIN yu USING (v,u) JOIN yv USING (v,u) JOIN zu USING (v,u) JOIN zv USING (v,u)) SELECT v,u," + ",".join(f"round({k}/greatest(sqrt(a*a+b*b+c*c),1e-9),5)+0.0 n{n}" for k, n in zip("abc", "xyz", strict=True)) + " FROM cr", "energy"),
         "calib_report": sql(f", {SAMPLES}, band AS (SELECT max(abs(frac-(1-pow(1-share,k)))) band FROM smp, fit WHERE frac IS NOT NULL) SELECT z::varchar AS name, round(share,6) share, round(coalesce(frac,1-pow(1-share,k)),6) est, CASE WHEN frac IS NULL THEN round(band,6) ELSE 0 END band, frac IS NOT NULL measured FROM smp, fit, band", "vox"),
+        "calib_ranked": sql(f", {SAMPLES} SELECT row_number() OVER (ORDER BY round(share,2) DESC, z)-1 place, z::varchar AS name, round(share,2) share, frac IS NOT NULL measured FROM smp", "vox"),
         "gaussian_density": sql(f", {DENSE}, hot AS (SELECT v,u,(value>200)::int::double AS value FROM dense), g1 AS ({_conv('hot', {(0, i - 12): x for i, x in enumerate(GK)})}), g2 AS ({_conv('g1', {(i - 12, 0): x for i, x in enumerate(GK)})}) SELECT v,u,round(value/nullif((SELECT max(value) FROM g2),0),5)+0.0 density FROM g2", "energy"),
         "mesh_resize": sql(f", {DENSE}, av AS (SELECT i ov, least(greatest((i+0.5)/2-0.5,0),49)::double f FROM range(100) t(i)), au AS (SELECT i ou, least(greatest((i+0.5)/2-0.5,0),39)::double f FROM range(80) t(i)) SELECT ov,ou,round(sum((CASE WHEN i=1 THEN av.f-floor(av.f) ELSE 1-(av.f-floor(av.f)) END)*(CASE WHEN j=1 THEN au.f-floor(au.f) ELSE 1-(au.f-floor(au.f)) END)*d.value),5) AS value FROM av CROSS JOIN au CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) c(i,j) JOIN dense d ON d.v=least(floor(av.f)+i,49) AND d.u=least(floor(au.f)+j,39) GROUP BY 1,2", "energy"),
         "bilinear_lookup": _mesh_places(5),
@@ -213,5 +216,6 @@ def oracle_sql() -> dict[str, str]:
         "priority_order": "SELECT c_name, 0 tier, c_custkey::varchar AS at FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT c_name, 1, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment='BUILDING')",
         "surface_stride": "SELECT p_partkey%50 u, p_partkey//50 v, p_retailprice FROM part WHERE p_partkey//50 >=1 AND (p_partkey//50-1)%4=0 AND (p_partkey%50)%5=0",
     }
+    out["snap_microns"] = f"SELECT round(median(s.value)*9.6,6)+0.0 microns FROM ({out['snap_median5']}) s"
     out |= _files(out, planes)
     return {k: v.replace(") , ", "), ") for k, v in out.items()}

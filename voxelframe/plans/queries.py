@@ -119,6 +119,14 @@ def calib_report(s, d):
     return rounded(calibrate.report(t, calibrate.fit(t.where("frac is not null"))), "share", "est", "band")
 
 
+@query
+def calib_ranked(s, d):
+    """The report by falling share, equal ones in the order of the planes."""
+    t = _samples(s, d).withColumn("name", F.col("z").cast("string"))
+    r = calibrate.report(t, calibrate.fit(t.where("frac is not null"))).withColumn("share", F.round("share", 2))
+    return calibrate.ranked(r.withColumn("z", F.col("name").cast("long")), "z").select("place", "name", "share", "measured")
+
+
 @query
 def drift_fit(s, d):
     return rounded(V.pts(s, d).agg(F.regr_slope("x", "z").alias("slope"), F.regr_intercept("x", "z").alias("intercept")), "slope", "intercept")
@@ -233,6 +241,13 @@ def snap_median5(s, d):
     return stencil.median5(got, 64, 64, SIDE)
 
 
+@query
+def snap_microns(s, d):
+    """The median of the smoothed snap field in micrometres."""
+    mid = order.percentiles(snap_median5(s, d), [], "value", {"mid": 0.5})
+    return rounded(mid.select(frames.microns(F.col("mid")).alias("microns")), "microns")
+
+
 @query
 def bbox(s, d):
     """Bounding box of each tile's valid points; tiles without one are skipped."""

@@ -12,9 +12,9 @@ PLANE = ("z", "positives", "phantom", "phantom_frac")
 
 
 def document(planes: DataFrame, **header) -> DataFrame:
-    """One row: the header's values, totals, and the planes in order of z. The list is as long as the volume has planes."""
+    """One row: the header's values (of a slab survey mode and slab_stride), totals, and the planes in order of z. The list is as long as the volume has planes."""
     one = planes.agg(F.count(F.lit(1)).alias("planes_sampled"), F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"), F.coalesce(F.sum("phantom"), F.lit(0)).alias("phantom"), F.sort_array(F.collect_list(F.struct(*PLANE))).alias("per_plane"))
-    total = [F.col("positives").alias("sampled_positives"), F.col("phantom").alias("sampled_phantom"), fraction().alias("sampled_phantom_frac")]
+    total = [F.col("positives").alias("sampled_positives"), F.col("phantom").alias("sampled_phantom"), fraction().alias("sampled_phantom_frac"), (1 - fraction()).alias("sampled_support_frac")]
     return one.select(*[F.lit(v).alias(k) for k, v in header.items()], "planes_sampled", *total, "per_plane")
 
 
