@@ -19,8 +19,8 @@ def tokens(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(len, words, items): the distinct windows of n item words; the whole item where it is shorter but not empty."""
-    w = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    """(len, words, items): the distinct windows of n item words; the whole item where it is shorter but not empty. Items without an id, or without words, are no items and have no windows."""
+    w = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     w = w.withColumn("len", F.least(F.lit(n), F.size("t")))
     w = w.select("item_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("len") + 1), lambda i: F.slice(F.col("t"), i, F.col("len")))).alias("words"))
     return w.groupBy("len", "words").agg(F.collect_set("item_id").alias("items"))
@@ -91,9 +91,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs with `clean_words`: the normalised words outside hit windows."""
-    h = hits(docs, benchmark, n).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_sha"), "positions")
-    text = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    d = docs.join(h, docs["doc_id"].eqNullSafe(h["_id"]) & (text == h["_sha"]), "left")
-    kept = F.filter(tokens(F.col("text")), lambda _, i: ~F.array_contains(F.col("positions"), i))
-    return d.withColumn("clean_words", kept).drop("_id", "_sha", "positions")
+    """docs with `clean_words`: the normalised words outside hit windows. A column of that name is replaced; null texts have no words."""
+    h = hits(docs, benchmark, n).select(F.col("doc_id").alias("id"), F.col("_text").alias("sha"), "positions")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "clean_words"]).alias("doc"))
+    text = F.sha2(F.coalesce(F.col("doc.text"), F.lit("")), 256)
+    d = packed.join(h, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (text == F.col("sha")), "left")
+    kept = F.filter(tokens(F.col("doc.text")), lambda _, i: ~F.array_contains(F.col("positions"), i))
+    return d.select("doc", F.struct(kept.alias("clean_words")).alias("clean")).select("doc.*", "clean.*")

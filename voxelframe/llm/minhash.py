@@ -205,11 +205,13 @@ def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     If a doc_id has several texts, each further one is judged under an id of its own,
     a hash of both above the ids in use, so that a text never goes with another.
     """
-    sha = F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")), 256)
-    texts = docs.where("doc_id is not null").select("doc_id", sha.alias("_sha")).distinct()
-    least = texts.groupBy("doc_id").agg(F.min("_sha").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    own = F.xxhash64("doc_id", "_sha").bitwiseAND(F.lit(2**63 - 1)).bitwiseOR(F.lit(2**62))
-    more = stored(texts.join(least, "doc_id").where("_sha <> _least").select(F.col("doc_id").alias("_id"), "_sha", own.alias("_own")))
-    named = docs.join(more, (docs["doc_id"] == more["_id"]) & (sha == more["_sha"]), "left").withColumn("_key", F.coalesce("_own", docs["doc_id"].cast("long"))).drop("_id", "_sha", "_own")
-    gone = classes(named.select(F.col("_key").alias("doc_id"), "text"), k, percent).where("not kept").select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(gone, "_key", "left_anti").select(*docs.columns)
+    # The input is one struct, so that no name of its columns meets one of ours.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    doc_id, sha = F.col("doc.doc_id"), F.sha2(F.coalesce(F.col("doc.text").cast("binary"), F.lit("").cast("binary")), 256)
+    texts = packed.where(doc_id.isNotNull()).select(doc_id.alias("doc_id"), sha.alias("sha")).distinct()
+    least = texts.groupBy("doc_id").agg(F.min("sha").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = F.xxhash64("doc_id", "sha").bitwiseAND(F.lit(2**63 - 1)).bitwiseOR(F.lit(2**62))
+    more = stored(texts.join(least, "doc_id").where("sha <> least").select(F.col("doc_id").alias("id"), "sha", own.alias("own")))
+    named = packed.join(more, (doc_id == F.col("id")) & (sha == F.col("sha")), "left").select("doc", F.coalesce("own", doc_id.cast("long")).alias("key"))
+    gone = classes(named.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")), k, percent).where("not kept").select(F.col("doc_id").alias("key")).distinct()
+    return named.join(gone, "key", "left_anti").select("doc.*")
