@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, stored
+from .shared import stored
 
 #: Labelled rows that the classifiers are fitted on at most (least hash first), and pseudo-labels that one view gives the other a round and class.
 LABELLED, GIVEN, ROUNDS = 20_000, 500, 3
@@ -165,7 +165,7 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
         state = spark.sparkContext.broadcast((views, (0.5, 0.5, 0.0)))
         scored = f.mapInArrow(_score(state), f"doc_id {kind}, text_score double, meta_score double, score double").drop("score")
         # Only ids and scores meet the labels' ids, once a round.
-        scored = stored(scored.where(" or ".join(f"{v}_score >= {SURE} or 1 - {v}_score >= {SURE}" for v in ("text", "meta"))).join(known.select("doc_id"), "doc_id", "left_anti"))
+        scored = scored.where(" or ".join(f"{v}_score >= {SURE} or 1 - {v}_score >= {SURE}" for v in ("text", "meta"))).join(known.select("doc_id"), "doc_id", "left_anti").persist()
         sure = None
         for i, name in enumerate(("text_score", "meta_score")):
             for label in (0, 1):
@@ -173,7 +173,7 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int
                 best = scored.where(p >= SURE).orderBy(p.desc(), F.xxhash64("doc_id"), "doc_id").limit(given).select("doc_id", F.lit(1 - i).alias("to"), F.lit(label).alias("y"))
                 sure = best if sure is None else sure.union(best)
         taught = f.join(F.broadcast(sure), "doc_id").select("t", "m", "to", "y").collect()
-        dropped(scored)
+        scored.unpersist()
         for i in range(2):
             mine = [r for r in taught if r.to == i]
             if mine:
