@@ -125,11 +125,11 @@ def cleaned_array(s, d):
 
 @query
 def mesh_files(s, d):
-    """The mesh as meshes of BAND rows, written and read in parallel."""
+    """The mesh as meshes of BAND rows, deflated in tiles, written and read in parallel."""
     path, c = files.folder(s), V.mesh(s, d)
     band = F.floor(F.col("gv") / BAND).cast("int")
     cells = c.select(band.cast("string").alias("mesh"), (F.col("gv") - band * BAND).alias("gv"), "gu", *[F.when(F.col("valid"), F.col(k)).otherwise(0.0).alias(k) for k in "xyz"])
-    surfaces.write_meshes(cells, path, 0.5)
+    surfaces.write_meshes(cells, path, 0.5, deflate=True, tile=16)
     first = F.regexp_extract("mesh", r"(\d+)$", 1).cast("int") * BAND
     # The last band may be narrower than the mesh: what it lacks was never a cell.
     return surfaces.meshes(s, path).withColumn("gv", (F.col("gv") + first).cast("int")).drop("mesh")

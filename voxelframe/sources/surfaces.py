@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,13 +60,53 @@ def image_rows(spark: SparkSession, path: str, width: int, header: int = 368, y0
     return files.mapInArrow(run, "z long, y long, values array<int>")
 
 
-#: Fixed values of image files: the types' letters, tags of width, height, bits, compression, strips, samples, tile width and sample format.
+#: Fixed values of image files: the types' letters, and tags of width, height, bits, compression, strips, samples, rows a strip, predictor, tiles and sample format.
 _TIFF_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
-_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIPS, _SAMPLES, _STRIP_BYTES, _TILE, _FORMAT = 256, 257, 258, 259, 273, 277, 279, 322, 339
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIPS, _SAMPLES, _ROWS, _STRIP_BYTES, _PREDICTOR, _TILE, _TILE_ROWS, _TILES, _TILE_BYTES, _FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 323, 324, 325, 339
+#: Fixed values of compressions: none, LZW and two numbers of deflate; and of LZW's codes.
+_PLAIN, _LZW, _DEFLATE = 1, 5, (8, 32946)
+_CLEAR, _END_OF_DATA = 256, 257
+
+
+def lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, that grow one code early; a clear code starts anew."""
+    out, held, bits, size, last = bytearray(), 0, 0, 9, b""
+    table: list[bytes] = []
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < size:
+            continue
+        bits -= size
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == _END_OF_DATA:
+            break
+        if code == _CLEAR:
+            table, size, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("broken LZW data")
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out += word
+        last = word
+        size = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+def unpredicted(raw: bytes, h: int, w: int, end: str, width: int, predictor: int) -> np.ndarray:
+    """Rows of floats of a strip or tile. Predictor 2 holds differences of neighbours' words; 3 differences of bytes, the most significant bytes of a row first."""
+    if predictor == 3:
+        planes = np.cumsum(np.frombuffer(raw, np.uint8, h * w * width).reshape(h, width * w), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(planes.reshape(h, width, w).transpose(0, 2, 1)).view(f">f{width}").reshape(h, w)
+    words = np.frombuffer(raw, f"{end}u{width}", h * w).reshape(h, w)
+    if predictor == 2:
+        words = np.cumsum(words, axis=1, dtype=f"u{width}").astype(f"{end}u{width}")
+    return words.view(f"{end}f{width}")
 
 
 def float_image(content: bytes) -> np.ndarray:
-    """The first image of an uncompressed file of strips with one 32- or 64-bit float a pixel; others raise ValueError."""
+    """The first image of a file with one 32- or 64-bit float a pixel, in strips or tiles, plain, LZW or deflate, with predictor 1, 2 or 3; others raise ValueError."""
     end = {b"II": "<", b"MM": ">"}.get(content[:2])
     if end is None or struct.unpack_from(end + "H", content, 2)[0] != 42:
         raise ValueError("not an image file of the classic layout")
@@ -78,12 +119,22 @@ def float_image(content: bytes) -> np.ndarray:
         if letter := _TIFF_TYPES.get(kind):
             size = count * struct.calcsize(end + letter)
             tags[tag] = struct.unpack_from(f"{end}{count}{letter}", content, place + 8 if size <= 4 else struct.unpack_from(end + "I", content, place + 8)[0])
-    one = {k: tags.get(k, (d,))[0] for k, d in ((_BITS, 1), (_COMPRESSION, 1), (_SAMPLES, 1), (_FORMAT, 1))}
-    if one[_COMPRESSION] != 1 or one[_SAMPLES] != 1 or one[_FORMAT] != 3 or one[_BITS] not in (32, 64) or _TILE in tags:
+    one = {k: tags.get(k, (1,))[0] for k in (_BITS, _COMPRESSION, _SAMPLES, _FORMAT, _PREDICTOR)}
+    if one[_COMPRESSION] not in (_PLAIN, _LZW, *_DEFLATE) or one[_SAMPLES] != 1 or one[_FORMAT] != 3 or one[_BITS] not in (32, 64) or one[_PREDICTOR] not in (1, 2, 3):
         raise ValueError(f"image layout not supported: {one}")
-    raw = b"".join(content[o : o + k] for o, k in zip(tags[_STRIPS], tags[_STRIP_BYTES], strict=True))
-    h, w = tags[_HEIGHT][0], tags[_WIDTH][0]
-    return np.frombuffer(raw, f"{end}f{one[_BITS] // 8}", h * w).reshape(h, w)
+    tiled = _TILE in tags
+    if missing := {_HEIGHT, _WIDTH, *((_TILE_ROWS, _TILES, _TILE_BYTES) if tiled else (_STRIPS, _STRIP_BYTES))} - set(tags):
+        raise ValueError(f"image without the tags {sorted(missing)}")
+    h, w, width = tags[_HEIGHT][0], tags[_WIDTH][0], one[_BITS] // 8
+    ph, pw = (tags[_TILE_ROWS][0], tags[_TILE][0]) if tiled else (min(h, tags.get(_ROWS, (h,))[0]), w)
+    out = np.zeros((-(-h // ph) * ph, -(-w // pw) * pw), f"{end}f{width}")
+    places = [(v, u) for v in range(0, h, ph) for u in range(0, w, pw)]
+    for (v, u), start, size in zip(places, tags[_TILES if tiled else _STRIPS], tags[_TILE_BYTES if tiled else _STRIP_BYTES], strict=True):
+        raw = content[start : start + size]
+        raw = lzw(raw) if one[_COMPRESSION] == _LZW else zlib.decompress(raw) if one[_COMPRESSION] in _DEFLATE else raw
+        rows = ph if tiled else min(ph, h - v)
+        out[v : v + rows, u : u + pw] = unpredicted(raw, rows, pw, end, width, one[_PREDICTOR])
+    return out[:h, :w]
 
 
 def meshes(spark: SparkSession, path: str, missing: str = "zero") -> DataFrame:
@@ -146,21 +197,41 @@ def write_points(grid: DataFrame, path: str) -> int:
     return out.write(grid.select("file", "v", "u", *_AXES).groupBy("file").applyInPandas(one, _FILE))
 
 
-def encode_image(a: np.ndarray) -> bytes:
-    """A little-endian image file of one uncompressed strip of 64-bit floats, readable by `float_image`."""
+def encode_image(a: np.ndarray, deflate: bool = False, tile: int | None = None) -> bytes:
+    """A little-endian image file of 64-bit floats, readable by `float_image`: one plain strip; or deflated, with byte differences (predictor 3); or in square tiles, whose side is a multiple of 16."""
     h, w = a.shape
-    data = a.astype("<f8").tobytes()
-    tags = {_WIDTH: w, _HEIGHT: h, _BITS: 64, _COMPRESSION: 1, _STRIPS: 8, _SAMPLES: 1, 278: h, _STRIP_BYTES: len(data), _FORMAT: 3}
-    entries = b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in sorted(tags.items()))
-    return b"II" + struct.pack("<HI", 42, 8 + len(data)) + data + struct.pack("<H", len(tags)) + entries + bytes(4)
-
-
-def write_meshes(cells: DataFrame, path: str, scale: float = 1.0) -> int:
+    side = (tile, tile) if tile else (max(h, 1), max(w, 1))
+    full = np.zeros((-(-h // side[0]) * side[0], -(-w // side[1]) * side[1]), "<f8")
+    full[:h, :w] = a
+    parts = []
+    for v in range(0, full.shape[0], side[0]):
+        for u in range(0, full.shape[1], side[1]):
+            part = np.ascontiguousarray(full[v : v + side[0], u : u + side[1]])
+            if deflate:
+                planes = part.astype(">f8").view(np.uint8).reshape(side[0], side[1], 8).transpose(0, 2, 1).reshape(side[0], -1)
+                parts.append(zlib.compress(np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes(), 6))
+            else:
+                parts.append(part.tobytes())
+    starts = [8 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    where = {_TILE: [tile], _TILE_ROWS: [tile], _TILES: starts, _TILE_BYTES: [len(p) for p in parts]} if tile else {_STRIPS: starts, _ROWS: [h], _STRIP_BYTES: [len(p) for p in parts]}
+    tags = {_WIDTH: [w], _HEIGHT: [h], _BITS: [64], _COMPRESSION: [_DEFLATE[0] if deflate else _PLAIN], _SAMPLES: [1], _PREDICTOR: [3 if deflate else 1], _FORMAT: [3], **where}
+    data = b"".join(parts)
+    entries, lists = b"", b""
+    for tag, values in sorted(tags.items()):
+        value = values[0]
+        if len(values) > 1:  # behind the data
+            value = 8 + len(data) + len(lists)
+            lists += struct.pack(f"<{len(values)}I", *values)
+        entries += struct.pack("<HHII", tag, 4, len(values), value)
+    return b"II" + struct.pack("<HI", 42, 8 + len(data) + len(lists)) + data + lists + struct.pack("<H", len(tags)) + entries + bytes(4)
+
+
+def write_meshes(cells: DataFrame, path: str, scale: float = 1.0, deflate: bool = False, tile: int | None = None) -> int:
     """cells(mesh, gv, gu, x, y, z) as folders `<path>/<mesh>` of x.tif, y.tif, z.tif and meta.json, readable by `meshes`. Absent cells and nulls are zeros. A mesh is made in one task. Returns the number of files."""
 
     def one(d: pd.DataFrame) -> pd.DataFrame:
         a, root = _grid(d, "gv", "gu", ["x", "y", "z"]), f"{path}/{d['mesh'].iloc[0]}"
-        images = {f"{root}/{c}.tif": encode_image(a[:, :, i]) for i, c in enumerate("xyz")} | {f"{root}/meta.json": f'{{"scale": [{scale}, {scale}]}}'.encode()}
+        images = {f"{root}/{c}.tif": encode_image(a[:, :, i], deflate, tile) for i, c in enumerate("xyz")} | {f"{root}/meta.json": f'{{"scale": [{scale}, {scale}]}}'.encode()}
         return pd.DataFrame({"path": list(images), "content": list(images.values())})
 
     return out.write(cells.select("mesh", "gv", "gu", "x", "y", "z").groupBy("mesh").applyInPandas(one, _FILE))
