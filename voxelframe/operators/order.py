@@ -136,6 +136,13 @@ def running_medians(ranks: DataFrame) -> DataFrame:
     counts of earlier places by rank block tell; they come from an equi-join by rank
     block. A task holds a few S values, all joins together about N log N rows.
     """
+    kind = dict(ranks.dtypes)["key"]
+    medians = f"key {kind}, n long, median double"
+    longest = ranks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    if longest <= LEAST_BLOCK:  # every path is one block, and nothing came before it
+        alone = ranks.groupBy("key").agg(F.collect_list(F.struct("n", "v")).alias("own"))
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("array<double>")
+        return alone.select("key", zero.alias("start"), zero.alias("below"), none.alias("old"), "own").mapInArrow(_medians, medians)
     size = ranks.groupBy("key").agg(F.greatest(F.ceil(F.sqrt(F.count(F.lit(1)))), F.lit(LEAST_BLOCK)).cast("long").alias("s"), F.count(F.lit(1)).alias("size"))
     d = ranks.join(size, "key").select("key", "n", "v", "s", F.floor((F.col("n") - 1) / F.col("s")).alias("pb"), F.floor(F.col("rank") / F.col("s")).alias("rb"))
     cells = d.groupBy("key", "pb", "rb").agg(F.count(F.lit(1)).alias("c"))
@@ -154,5 +161,4 @@ def running_medians(ranks: DataFrame) -> DataFrame:
     under = near.groupBy("key", "pb").agg(F.min("under").alias("below"))
     own = d.groupBy("key", "pb").agg(F.first("s").alias("s"), F.collect_list(F.struct("n", "v")).alias("own"))
     blocks = own.join(under, ["key", "pb"], "left").join(olds, ["key", "pb"], "left")
-    kind = dict(ranks.dtypes)["key"]
-    return blocks.select("key", (F.col("pb") * F.col("s")).cast("long").alias("start"), F.coalesce("below", F.lit(0)).cast("long").alias("below"), "old", "own").mapInArrow(_medians, f"key {kind}, n long, median double")
+    return blocks.select("key", (F.col("pb") * F.col("s")).cast("long").alias("start"), F.coalesce("below", F.lit(0)).cast("long").alias("below"), "old", "own").mapInArrow(_medians, medians)
