@@ -131,11 +131,19 @@ def queue(docs: DataFrame, seed: int = 11, passes: int = PASSES) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 11, passes: int = PASSES) -> DataFrame:
     """The mix itself: documents range-sorted by virtual finish time, repeated as served; a cut document keeps its first words, joined by single spaces, and n_chars, where docs have it, says their length. All columns of docs stay, whatever their names."""
-    d = sized(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text", F.xxhash64("text").alias("tie"))).drop("text")
-    _, q = _queue(d, docs.select("doc_id").count(), seed, passes)
+    tie = F.xxhash64("text").alias("tie")
+    # The queue is made of keys and sizes; texts meet what is served of them once, and go to their place.
+    _, q = _queue(sized(docs.select("doc_id", "source", "text", tie)).drop("text"), docs.select("doc_id").count(), seed, passes)
+    served = q.where("served > 0").groupBy("doc_id", "source", "tie", "start", "size").agg(F.collect_list(F.struct("pass", "virtual_finish", "served")).alias("serves"))
+    # Rows of one id, source and text are told apart by their order.
+    same = Window.partitionBy("doc_id", "source", "tie")
+    served = served.withColumn("nth", F.row_number().over(same.orderBy("start"))).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("nth").alias("_nth"), "size", "serves")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", tie).withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64("doc"))))
+    met = rows.join(served, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("tie") == F.col("_tie")) & (F.col("nth") == F.col("_nth")))
+    q = met.select("doc", "doc_id", "size", F.explode("serves").alias("serve")).select("doc", "doc_id", "size", "serve.*")
     whole = F.col("served") >= F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("served").cast("int")), " ")
-    q = q.where("served > 0").withColumn("_text", F.when(whole, F.col("doc.text")).otherwise(cut))
+    q = q.withColumn("_text", F.when(whole, F.col("doc.text")).otherwise(cut))
     kinds = dict(docs.dtypes)
     new = {"text": F.col("_text"), "n_chars": F.when(whole, F.col("doc.n_chars")).otherwise(F.length("_text").cast(kinds["n_chars"]))} if "n_chars" in kinds else {"text": F.col("_text")}
     q = q.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id", "pass")
