@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs and the queries that apply them.
+"""Training-data operators: thirteen Spark jobs and the queries that apply them.
 
 Nothing else in the library imports this package.
 """
