@@ -202,6 +202,45 @@ def test_class_model_by_a_small_head_and_edges(spark, edges, empty):
     assert classlm.score(edges, classlm.learn(empty)).count() == len(EDGES)
 
 
+def test_class_model_takes_texts_in_small_pieces(monkeypatch):
+    """A worker's words and their numbers take many times their texts' bytes, so of a large batch a few whole texts are taken at once; nothing is lost or counted twice."""
+    texts = [None, b"", *(b" ".join(b"w%d" % (i * j % 97) for j in range(i % 50 * 9)) for i in range(400)), b"long " * 3_000, b"x"]
+    head = pa.array([b"", *(b"w%d" % i for i in range(40))], pa.binary())
+    cls, one = np.arange(len(head) + 1, dtype=np.int32) % 3, np.ones((4, 4))
+    shared = lambda *x: type("Shared", (), {"value": x[0] if len(x) == 1 else x})
+    ids = pa.array(range(len(texts)))
+    plain, rows = pa.record_batch([pa.array(texts, pa.binary())], ["t"]), pa.record_batch([ids, ids, pa.array(texts, pa.binary())], ["row", "doc_id", "t"])
+    seen, given = [], classlm.tokens
+    monkeypatch.setattr(classlm, "tokens", lambda x: (seen.append([len(i or b"") for i in x.to_pylist()]), given(x))[1])
+
+    def found(run, batch):
+        return pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)]))).to_pylist()
+
+    def results():
+        counts, pairs, tail = {}, {}, {}
+        for r in found(classlm._count, plain):
+            counts[r["word"]] = counts.get(r["word"], 0) + r["n"]
+        for r in found(classlm._pairs(shared(head)), plain):
+            for c, n in zip(np.frombuffer(r["c"], np.int32), np.frombuffer(r["n"], np.int32), strict=True):
+                pairs[r["w"], r["side"], c] = pairs.get((r["w"], r["side"], c), 0) + n
+        for r in found(classlm._tail(shared(head, cls), 3), plain):
+            for c, n in zip(np.frombuffer(r["code"], np.int32), np.frombuffer(r["n"], np.int32), strict=True):
+                tail[r["word"], c] = tail.get((r["word"], c), 0) + n
+            tail[r["word"]] = sorted(tail.get(r["word"], []) + r["prev"])
+        return counts, pairs, tail, found(classlm._score(shared(head, np.ones(len(head)), cls[:-1].astype(int), one, np.ones(4), 5.0, 9.0)), rows)
+
+    words = [w for x in texts for w in (x or b"").split()]
+    small = 8_000
+    monkeypatch.setattr(classlm, "PIECE", small)
+    monkeypatch.setattr(classlm, "REST", 500)
+    monkeypatch.setattr(classlm, "TOKENS", 5_000)
+    got = results()
+    assert len(seen) > 100 and all(sum(x) <= small or len(x) == 1 for x in seen)
+    assert got[0] == {w: words.count(w) for w in {*words}} | {b"": len(texts)}
+    monkeypatch.setattr(classlm, "PIECE", 1 << 40)
+    assert got == results()
+
+
 def test_class_model_sums_to_one(spark):
     d = spark.createDataFrame([(1, "a b c a b"), (2, "b c")], "doc_id long, text string")
     m = classlm.learn(d, clustered=3, classes=2)

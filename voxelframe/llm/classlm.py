@@ -25,6 +25,8 @@ HEAD = 100_000
 END = b""
 #: Word pairs are summed in the worker over so many tokens, and what stands beside words outside the head over so many of these.
 TOKENS, REST = 4_000_000, 1_000_000
+#: Bytes of texts whose words are taken at once: words and their numbers take many times that, and Spark's batches hold 10,000 texts.
+PIECE = 2 << 20
 #: Counts up to this size have their gains tabulated.
 LEVELS = 16
 
@@ -43,6 +45,16 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return at, words
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of PIECE bytes of text, or of one longer text."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64), 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def encoded(texts: pa.Array, head: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Every token's place in the head (which has END), or len(head), the places where texts start, and the words, without ends."""
     at, words = tokens(texts)
@@ -80,10 +92,21 @@ def unpacked(col: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarr
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            found = tokens(batch.column(0))[1].value_counts()
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([len(batch)], pa.int64())])], names=["word", "n"])
+    """Words and how often each comes, summed over many texts."""
+    kept: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(kept)
+        kept.clear()
+        yield from found.group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(100_000)
+
+    for batch in pieces(batches):
+        found = tokens(batch.column(0))[1].value_counts()
+        kept.append(pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([len(batch)], pa.int64())])], names=["word", "n"]))
+        if sum(map(len, kept)) > REST:
+            yield from flush()
+    if kept:
+        yield from flush()
 
 
 def fingerprint(word: bytes) -> int:
@@ -101,20 +124,22 @@ def _pairs(shared):
 
         def flush() -> Iterator[pa.RecordBatch]:
             code, n = tallied(kept)
-            l, r = code >> 32, code & (2**32 - 1)
-            for side, w, c in ((1, l, r), (0, r, l)):
-                order = np.arange(len(w)) if side else np.argsort((w << 32) | c)
-                w, c, m = w[order], c[order], n[order]
+            n = n.astype(np.int32)
+            for side in (1, 0):
+                if not side:  # the words of a pair change places
+                    code = (code & (2**32 - 1)) << 32 | code >> 32
+                    order = np.argsort(code)
+                    code, n = code[order], n[order]
+                    del order
+                w = (code >> 32).astype(np.int32)
                 first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 own = w[first] < other
-                lists = [packed(np.append(first, len(w)), x) for x in (c, m)]
-                out = pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int32)), pa.array(np.full(len(first), side, np.int8)), *lists], names=["w", "side", "c", "n"])
+                lists = [packed(np.append(first, len(w)), x) for x in ((code & (2**32 - 1)).astype(np.int32), n)]
+                out = pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.full(len(first), side, np.int8)), *lists], names=["w", "side", "c", "n"])
                 yield out if own.all() else out.filter(pa.array(own))
 
         size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches):
             x, _, _ = encoded(batch.column(0), head)
             code = x.astype(np.int64)
             code[1:] |= code[:-1] << 32
@@ -340,9 +365,7 @@ def _tail(shared, k: int):
             return pa.RecordBatch.from_arrays([words, packed(at, code & (2**32 - 1)), packed(at, n), pa.ListArray.from_arrays(pa.array(to), pa.array(prev))], names=["word", "code", "n", "prev"])
 
         size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches):
             x, at, words = encoded(batch.column(0), head)
             t, _, mine = outside(x, at, words, other)
             if not len(t):
@@ -553,9 +576,7 @@ def _score(shared):
         own = np.append(np.where(cls < tail, np.log10(np.maximum(count, 1e-300) / np.maximum(in_class[cls], 1)), np.log10((count + 1) / rare)), 0.0)
         base, is_known, of = np.append(np.log10((count + 1) / below), 0.0), np.append(count > 0, False).astype(np.int64), np.append(cls, -1).astype(np.int32)
         log_step = np.pad(np.log10(np.maximum(step, 1e-300)), (0, 1))
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches, 2):
             x, at, words = encoded(batch.column(2), head)
             c = of[x]
             before = np.r_[c[-1], c[:-1]]  # a text's last token is END
